@@ -83,9 +83,9 @@ def solve(s: Stats, kind: str, alpha: float = 0.0, w0=None) -> tuple[np.ndarray,
 
 
 def fold_score(test: Stats, w: np.ndarray, a: float) -> dict:
-    sse = test.sse(w, a)
-    sst = test.Cyy
-    n = test.n
+    sse = float(test.sse(w, a))
+    sst = float(test.Cyy)
+    n = float(test.n)
     return {"n": int(round(n)), "sse": sse, "sst": sst,
             "mse": sse / n if n else None,
             "rmse": float(np.sqrt(max(sse, 0.0) / n)) if n else None,
@@ -185,7 +185,7 @@ def best_of(scores: list[dict], n_candidates: int, metric: str = "r2") -> tuple[
         if not vals:
             continue
         m = float(np.mean(vals))
-        if m > best_v:
+        if m > best_v:  # strictly better: the first candidate keeps a tie
             best, best_v = ci, m
     return best, best_v
 

@@ -28,4 +28,7 @@ def prep(spark: SparkSession, sf: str, cols: list[str] | None, key: str = "regio
     p = calendar_parts(p, "day", ("month",))
     p = cyclical(p, "month", 12, ("sin", "cos"))
     p = lag_feature(p, "y")
-    return drop_nulls(p, cols)
+    # Persisted: studies read the prepared panel in several passes (moments,
+    # Gram, splits); the panel is an aggregate, far smaller than lineitem,
+    # and a lost block is rebuilt from its short lineage.
+    return drop_nulls(p, cols).persist()

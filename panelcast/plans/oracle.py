@@ -108,3 +108,10 @@ def lasso2_coef(alpha: str = "alpha") -> str:
         w1, w2 = both(s1, s2)
         cases.append(f"WHEN sign({w1}) = {s1} AND sign({w2}) = {s2} THEN [{w1}, {w2}]")
     return "CASE " + " ".join(cases) + " END"
+
+
+def ridge2_ws(alpha: str = "alpha") -> tuple[str, str]:
+    """``w1, w2`` of the two-input Ridge from stats columns."""
+    lam = f"(({alpha}) / n)"
+    d = f"((a11 + {lam}) * (a22 + {lam}) - a12 * a12)"
+    return (f"(((a22 + {lam}) * c1 - a12 * c2) / {d})", f"(((a11 + {lam}) * c2 - a12 * c1) / {d})")
