@@ -615,3 +615,33 @@ def q_network_search(spark, sf):
     from pyspark.sql import Window
     return t.withColumn("rank", F.row_number().over(Window.orderBy("best_val_loss", "trial"))) \
             .withColumn("best_val_loss", R("best_val_loss"))
+
+
+# ============================================================ whole studies
+@register("linear_study")
+def q_linear_study(spark, sf):
+    """The linear study end to end: scale on all rows, degree-3 interactions
+    with bias (26 terms), 30% holdout, Ridge and Lasso each searched over
+    ten penalties on five folds of the training rows (one Gram pass), Ridge
+    kept only if strictly better, refit, nonzero coefficients by size."""
+    d = prep(spark, sf, F_LINEAR + ["y_prev", "y"])
+    z = Standardizer(F_LINEAR).fit(d).transform(d)
+    x = poly(z, F_LINEAR, 3, interaction_only=True, bias=True, prefix="t")
+    names = poly_names(F_LINEAR, 3, True, True)
+    terms = [f"t{i}" for i in range(len(names))]
+    x = splits.holdout(x, 0.3, SEED, "hash")
+    train = splits.kfold(x.where(~F.col("is_test")), K, SEED, "hash", salt="|cv")
+    gs = linear.GramSet(train, terms, "y", by=["fold"])
+    best = {}
+    for kind in ("ridge", "lasso"):
+        cands = linear.linear_candidates(kind, ALPHAS)
+        ci, score = linear.best_of(linear.cv_scores(gs, cands), len(cands))
+        best[kind] = (cands[ci]["alpha"], score)
+    fam = selection.best_family("ridge", best["ridge"][1], "lasso", best["lasso"][1])
+    model = gs.fit(fam, best[fam][0])
+    test = metrics(model.transform(x.where("is_test")), "y", "prediction").first()
+    coefs = spark.createDataFrame(model.coef_rows(names), "term string, coef double")
+    out = selection.sort_coefs(coefs)
+    return out.select("term", R("coef").alias("coef"), "position",
+                      F.lit(fam).alias("family"), F.lit(best[fam][0]).alias("alpha"),
+                      F.lit(float(test["r2"])).alias("test_r2"))
