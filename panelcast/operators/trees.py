@@ -10,11 +10,24 @@ the nearest setting is used and recorded in ``notes``.
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPARK_MAX_DEPTH = 30   # Spark's cap; "no limit" maps here
+# Per-task budget for node statistics while growing trees: smaller means more
+# passes over the data per level, but bounded memory next to other tasks.
+TREE_TASK_MEMORY_MB = int(os.environ.get("PANELCAST_TREE_TASK_MB", "32"))
+
+
+def _task_mb() -> int:
+    """``spark.panelcast.treeTaskMemoryMB`` of the active session (clusters
+    with large executors can raise it to Spark's usual 256)."""
+    from pyspark.sql import SparkSession
+    s = SparkSession.getActiveSession()
+    v = s.conf.get("spark.panelcast.treeTaskMemoryMB", None) if s is not None else None
+    return int(v) if v else TREE_TASK_MEMORY_MB
 
 
 def _depth(d):
@@ -48,7 +61,7 @@ def tree(params: dict, seed: int = 42, strict: bool = True, features: str = "fea
     est = DecisionTreeRegressor(featuresCol=features, labelCol=label, predictionCol=prediction, seed=seed,
                                 maxDepth=_depth(params.get("max_depth")),
                                 minInstancesPerNode=int(params.get("min_samples_leaf") or 1),
-                                maxBins=64, checkpointInterval=10)
+                                maxBins=64, checkpointInterval=10, maxMemoryInMB=_task_mb())
     return est, notes
 
 
@@ -70,7 +83,7 @@ def forest(params: dict, seed: int = 42, strict: bool = True, features: str = "f
                                 maxDepth=_depth(params.get("max_depth")),
                                 minInstancesPerNode=leaf,
                                 featureSubsetStrategy=_feature_share(params.get("max_features", 1.0)),
-                                maxBins=64, checkpointInterval=10)
+                                maxBins=64, checkpointInterval=10, maxMemoryInMB=_task_mb())
     return est, notes
 
 
@@ -102,7 +115,7 @@ def boost(params: dict, seed: int = 42, strict: bool = True, features: str = "fe
                        stepSize=float(params.get("learning_rate", 0.1)),
                        subsamplingRate=float(params.get("subsample", 1.0)),
                        featureSubsetStrategy=_feature_share(params.get("colsample_bytree", 1.0)),
-                       maxBins=64, checkpointInterval=10)
+                       maxBins=64, checkpointInterval=10, maxMemoryInMB=_task_mb())
     return est, notes
 
 
