@@ -16,3 +16,104 @@ def flagship(spark: SparkSession, sf: str, k: int = 5, seed: int = 42) -> DataFr
     spec = ModelSpec("ols_degree2", "ols", F_COMPARE, degree=2)
     pred = cross_validate(spec, d)
     return metrics(pred, "y", "prediction", ["fold"]).orderBy("fold")
+
+
+def comparison_study(spark: SparkSession, sf: str, boost: dict | None = None, forest: dict | None = None,
+                     boost2: dict | None = None, k: int = 5, seed: int = 42) -> dict[str, DataFrame]:
+    """Least squares on the degree-2 expansion, boosting and a vote of
+    boosting, forest and a second boosting, on the same folds; fold scores,
+    ranking per fold, leaderboard, stability of the top two, box and line
+    tables.  Defaults are small settings; pass the reference's for full size."""
+    from ..operators import charts, selection
+    from ..operators.fitting import compare, fold_scores
+    boost = boost or {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1, "colsample_bytree": 0.8}
+    forest = forest or {"n_estimators": 20, "max_depth": 10}
+    boost2 = boost2 or {"n_estimators": 20, "learning_rate": 0.05, "num_leaves": 31, "subsample": 0.8,
+                        "colsample_bytree": 0.8}
+    d = splits.kfold(prep(spark, sf, F_COMPARE + ["y"]), k, seed, "hash").persist()
+    specs = [ModelSpec("least_squares", "ols", F_COMPARE, degree=2),
+             ModelSpec("boosting", "boost", F_COMPARE, boost, strict=False),
+             ModelSpec("voting", "voting", F_COMPARE, members=[("boost", boost), ("forest", forest), ("boost", boost2)],
+                       strict=False)]
+    scores = fold_scores(compare(specs, d, parallelism=3)).persist()
+    board = selection.leaderboard(scores)
+    return {"scores": scores, "ranks": selection.rank_models(scores), "leaderboard": board,
+            "stability": selection.stability(board, 0.05, 2), "box": charts.box_summary(scores),
+            "lines": charts.fold_lines(scores)}
+
+
+def two_series_study(spark: SparkSession, sf: str, names=("EUROPE", "ASIA"), seed: int = 42) -> dict[str, DataFrame]:
+    """Two series prepared apart (here: one panel's series), stacked, scaled
+    and expanded together, 30% held out, vote of boosting and forest."""
+    from ..functions.features import lag_feature, union_series
+    from ..operators import charts
+    from ..operators.fitting import fit
+    from .common import F_NETWORK
+    p = prep(spark, sf, None).drop("y_prev")
+    frames = {n: p.where(F.col("series") == n).drop("series") for n in names}
+    d = lag_feature(union_series(frames), "y").dropna(subset=F_NETWORK + ["y"])
+    d = splits.holdout(d, 0.3, seed, "hash")
+    spec = ModelSpec("voting", "voting", F_NETWORK, degree=2, strict=False,
+                     members=[("boost", {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1,
+                                         "colsample_bytree": 0.8}),
+                              ("forest", {"n_estimators": 20, "max_depth": 10})])
+    m = fit(spec, d.where(~F.col("is_test")))
+    pred = m.transform(d.where("is_test"))
+    return {"metrics": metrics(pred, "y", "prediction"), "scatter": charts.actual_vs_predicted(pred)}
+
+
+def boost_log_study(spark: SparkSession, sf: str, model_path: str, grid: dict | None = None,
+                    seed: int = 42) -> dict[str, DataFrame]:
+    """Log target, scale on all rows, 30% holdout, grid search on training
+    folds (negative RMSE in log space), refit, metrics after expm1, split
+    counts, saved model."""
+    from ..operators import trees as tr
+    from ..operators.fitting import compare, fit, fold_scores
+    from ..sources import io
+    from ..session import scratch_path
+    from .common import F_TREE
+    grid = grid or {"n_estimators": [10, 20], "learning_rate": [0.1], "max_depth": [3, 5]}
+    d = splits.holdout(prep(spark, sf, F_TREE + ["y"]), 0.3, seed, "hash")
+    train = splits.kfold(d.where(~F.col("is_test")), 5, seed, "hash", salt="|cv").persist()
+    cands = splits.grid_candidates(grid)
+    specs = [ModelSpec(f"c{i}", "boost", F_TREE, c, log_target=True, strict=False) for i, c in enumerate(cands)]
+    pred = compare(specs, train).withColumn("y", F.log1p("y")).withColumn("prediction", F.log1p("prediction"))
+    sc = fold_scores(pred).groupBy("model_order").agg(F.avg(-F.col("rmse")).alias("score"))
+    best = sc.orderBy(F.col("score").desc(), "model_order").first()["model_order"]
+    m = fit(specs[best], train)
+    io.save_model(m.model, model_path)
+    nodes = tr.node_table(spark, m.members[0], scratch_path(spark, "boost_log_nodes"))
+    return {"search": sc, "metrics": metrics(m.transform(d.where("is_test")), "y", "prediction"),
+            "split_importance": tr.split_importance(nodes, F_TREE)}
+
+
+def pca_study(spark: SparkSession, sf: str, names: dict | None = None) -> dict[str, DataFrame]:
+    """Standardise, all components, loadings, explained and cumulative
+    variance with percent labels."""
+    from ..operators import charts
+    from ..operators.pca import pca
+    from ..sources.fixture import fixture_panel
+    from .common import DISPLAY, F_PCA
+    d = fixture_panel(spark, sf).dropna(subset=F_PCA).persist()
+    m = pca(d, F_PCA)
+    ev = charts.variance_labels(charts.cumulative(m.explained(spark)))
+    return {"scores": m.transform(d), "loadings": m.loadings(spark, names or DISPLAY), "variance": ev}
+
+
+def network_study(spark: SparkSession, sf: str, trials: int = 3, epochs: int = 30,
+                  seed: int = 42) -> dict[str, DataFrame]:
+    """Random search over the network space (validation share for early
+    stopping), best trial refit-free (best weights kept), test metrics."""
+    from ..functions.expand import Standardizer, poly, poly_names
+    from ..operators.mlp import fit_mlp, row_key, sample_configs
+    from .common import F_NETWORK
+    d = splits.validation(splits.holdout(prep(spark, sf, F_NETWORK + ["y"]), 0.3, seed, "hash"), 0.2, seed)
+    x = poly(Standardizer(F_NETWORK).fit(d).transform(d), F_NETWORK, 2, prefix="t")
+    terms = [f"t{i}" for i in range(len(poly_names(F_NETWORK, 2)))]
+    x = row_key(x).persist()
+    fits = [fit_mlp(x.where(~F.col("is_test")), terms, "y", c) for c in sample_configs(trials, seed, epochs)]
+    best = min(range(len(fits)), key=lambda i: min(h["val_loss"] for h in fits[i].history))
+    rows = [(i, "-".join(map(str, f.config.hidden)), f.config.learning_rate,
+             float(min(h["val_loss"] for h in f.history))) for i, f in enumerate(fits)]
+    return {"trials": spark.createDataFrame(rows, "trial int, layers string, learning_rate double, val_loss double"),
+            "metrics": metrics(fits[best].transform(x.where("is_test")), "y", "prediction")}

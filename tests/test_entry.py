@@ -20,3 +20,12 @@ def test_selection_ties_keep_declared_order(spark):
     assert r == {"c": 1, "a": 2, "b": 3}
     b = {x.model: x.position for x in selection.leaderboard(t).collect()}
     assert b["a"] < b["b"]
+
+
+def test_two_series_and_pca_studies(spark, tmp_path):
+    from panelcast.plans import studies
+    r = studies.two_series_study(spark, "/root/testdata/sf0.001")
+    assert r["metrics"].count() == 1
+    p = studies.pca_study(spark, "/root/testdata/sf0.001")
+    v = p["variance"].orderBy("component").collect()
+    assert abs(v[-1].cumulative - 1.0) < 1e-9 and v[-1].label == "100.0%"

@@ -65,3 +65,10 @@ def test_param_grid_and_sample(spark):
     assert g.where("max_depth IS NULL").count() == 3
     s = splits.param_sample(g, 4, 42)
     assert s.count() == 4 and s.select("candidate").distinct().count() == 4
+
+
+def test_exact_folds_need_no_row_exchange(spark, panel):
+    local = spark.createDataFrame(_prep(panel).collect(), _prep(panel).schema)   # a plain scan below the split
+    f = splits.kfold(local, 5, 42, "exact")
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
