@@ -90,6 +90,30 @@ def _drop_internal(terms: list[str], spec: ModelSpec, extra: list[str] = ()) ->
     return SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(qi(c) for c in drop)}) FROM __THIS__")
 
 
+def _moments(spec: ModelSpec, df: DataFrame, target: str, scaler: StandardizerModel | None):
+    """One aggregation for everything a fit needs before its Gram pass: the
+    scaler (unless given), the target mean and raw feature means.  Returns
+    the scaler and the shift of ``[terms..., label]`` (degree-1 terms of
+    unscaled inputs shift by their mean; scaled terms are O(1) already)."""
+    feats = list(spec.features)
+    need_scaler = spec.scale and feats and scaler is None
+    aggs = [F.avg(_label(spec, target)).alias("__my")]
+    for i, c in enumerate(feats):
+        aggs.append(F.avg(c).alias(f"__m{i}"))
+        if need_scaler:
+            aggs.append(F.stddev_pop(c).alias(f"__s{i}"))
+    row = df.agg(*aggs).first()
+    if need_scaler:
+        scaler = StandardizerModel(feats, [row[f"__m{i}"] for i in range(len(feats))],
+                                   [row[f"__s{i}"] for i in range(len(feats))], "__z")
+    shift = []
+    if feats:
+        for t in poly_terms(len(feats), spec.degree, spec.interaction_only, spec.bias):
+            shift.append(float(row[f"__m{t[0]}"] or 0.0) if (len(t) == 1 and not spec.scale) else 0.0)
+    shift.append(float(row["__my"] or 0.0))
+    return scaler, shift
+
+
 def _label(spec: ModelSpec, target: str):
     y = F.col(target).cast("double")
     return F.log1p(y) if spec.log_target else y
@@ -98,11 +122,14 @@ def _label(spec: ModelSpec, target: str):
 def fit(spec: ModelSpec, train: DataFrame, target: str = "y",
         scaler: StandardizerModel | None = None) -> Fitted:
     """Fit preprocessing and estimator on ``train``."""
+    shift = None
+    if spec.kind in LINEAR:
+        scaler, shift = _moments(spec, train, target, scaler)
     pre, terms = _prep_stages(spec, train, scaler)
     xt = PipelineModel(pre).transform(train).withColumn("__label", _label(spec, target))
     notes, members = [], []
     if spec.kind in LINEAR:
-        lf = GramSet(xt, terms, "__label", by=()).fit(spec.kind, float(spec.params.get("alpha", 0.0)))
+        lf = GramSet(xt, terms, "__label", by=(), shift=shift).fit(spec.kind, float(spec.params.get("alpha", 0.0)))
         lf.meta["terms"] = spec.term_names()
         post = [lf.stage("prediction")]
         fitted_linear = lf
@@ -138,10 +165,10 @@ def fit(spec: ModelSpec, train: DataFrame, target: str = "y",
 def _linear_single_pass(spec: ModelSpec, df: DataFrame, target: str, fold: str,
                         scaler: StandardizerModel | None) -> DataFrame:
     """All folds of a linear model from one Gram pass (global scaling)."""
-    sc = scaler or (Standardizer(spec.features, "__z").fit(df) if spec.scale and spec.features else None)
+    sc, shift = _moments(spec, df, target, scaler)
     pre, terms = _prep_stages(spec, df, sc)
     xt = PipelineModel(pre).transform(df).withColumn("__label", _label(spec, target))
-    gs = GramSet(xt, terms, "__label", by=(fold,))
+    gs = GramSet(xt, terms, "__label", by=(fold,), shift=shift)
     pred = None
     for (f,) in sorted(gs.mats):
         lf = gs.fit(spec.kind, float(spec.params.get("alpha", 0.0)), keep=lambda k, f=f: k[0] != f)

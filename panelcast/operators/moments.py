@@ -24,16 +24,25 @@ def column_means(df: DataFrame, cols: list[str]) -> list[float]:
     return [float(row[f"m{i}"]) if row[f"m{i}"] is not None else 0.0 for i in range(len(cols))]
 
 
+# Up to this many sums the Gram matrix is one built-in aggregation (JVM,
+# whole-stage codegen); above it, generated code would grow past the JIT
+# method limit, so tasks fold rows into partial matrices with NumPy.
+JVM_MAX_SUMS = 66      # q(q+1)/2 for q = 11: ten inputs and the target
+
+
 def fold_gram(df: DataFrame, cols: list[str], target: str, by: list[str] | tuple = ("fold",),
-              shift: list[float] | None = None) -> DataFrame:
+              shift: list[float] | None = None, method: str = "auto") -> DataFrame:
     """Long table ``(by..., i, j, value)`` of ``sum(z_i * z_j)`` for ``i <= j``
     over ``z = [1, cols - shift, target - shift_y]``; ``i = 0`` is the count
-    and the plain sums."""
+    and the plain sums.  ``method``: ``jvm``, ``arrow`` or ``auto``."""
     by = list(by)
     names = list(cols) + [target]
     q = len(names) + 1
     if shift is None:
         shift = column_means(df, names)
+    n_sums = q * (q + 1) // 2
+    if method == "jvm" or (method == "auto" and n_sums <= JVM_MAX_SUMS):
+        return _fold_gram_jvm(df, names, by, shift)
     shift_arr = np.asarray(shift, dtype=float)
     iu0, iu1 = np.triu_indices(q)
     key_fields = [df.schema[b] for b in by]
@@ -67,6 +76,22 @@ def fold_gram(df: DataFrame, cols: list[str], target: str, by: list[str] | tuple
     return parts.groupBy(*by, "i", "j").agg(F.sum("value").alias("value"))
 
 
+def _fold_gram_jvm(df: DataFrame, names: list[str], by: list[str], shift) -> DataFrame:
+    """One ``groupBy(by).agg`` of all cross products (partial on the map
+    side: one row per task and group is shuffled), then unpivoted."""
+    z = [F.lit(1.0)] + [F.col(c).cast("double") - F.lit(float(s)) for c, s in zip(names, shift)]
+    q = len(z)
+    aggs, labels = [], []
+    for i in range(q):
+        for j in range(i, q):
+            aggs.append(F.sum(z[i] * z[j]).alias(f"g_{i}_{j}"))
+            labels.append((i, j))
+    wide = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    stack = ", ".join(f"{i}, {j}, g_{i}_{j}" for i, j in labels)
+    return wide.selectExpr(*[f"`{b}`" for b in by], f"stack({len(labels)}, {stack}) AS (i, j, value)") \
+               .withColumn("i", F.col("i").cast("int")).withColumn("j", F.col("j").cast("int"))
+
+
 def gram_matrices(gram: DataFrame, by: list[str] | tuple = ("fold",)) -> dict[tuple, np.ndarray]:
     """Collect the (small) long Gram table into symmetric matrices per group."""
     by = list(by)
