@@ -51,7 +51,7 @@ def _coef_unpivot(rel: str, keys: str, b0="b0", w1="w1", w2="w2") -> str:
 
 def _path(spark, sf, kind: str) -> DataFrame:
     gs = linear.GramSet(_dz(spark, sf), Z, "y", by=())
-    rows, w_prev = [], None
+    rows = []
     for i, a in enumerate(ALPHAS):
         s = gs.stats()
         w, b = linear.solve(s, kind, a)
@@ -189,7 +189,7 @@ def q_best_candidate(spark, sf):
     cands, scores = _search(spark, sf, "ridge")
     rows = [(s["candidate"], cands[s["candidate"]]["alpha"], s["r2"]) for s in scores]
     t = spark.createDataFrame(rows, "candidate int, alpha double, score double")
-    b = selection.best_candidate(t.withColumnRenamed("score", "score"), "score", "candidate")
+    b = selection.best_candidate(t, "score", "candidate")
     alpha = {i: c["alpha"] for i, c in enumerate(cands)}
     m = F.create_map(*[F.lit(x) for kv in alpha.items() for x in kv])
     return b.select("candidate", m[F.col("candidate")].alias("alpha"), R("mean_score").alias("mean_score"))
