@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def box_summary(t: DataFrame, by: str = "model", value: str = "r2", exact: bool = True,
+def box_summary(t: DataFrame, by: str = "model", value: str = "r2", exact: bool = False,
                 accuracy: int = 10000) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (farthest point inside the fence) and the
-    number of points outside, per group.  ``exact`` uses ``percentile``
-    (linear interpolation); on large tables use ``exact=False``
-    (``percentile_approx``, bounded memory per group)."""
+    number of points outside, per group.  By default ``percentile_approx``
+    (bounded memory per group, whatever its size); ``exact=True`` uses
+    ``percentile`` with linear interpolation, which buffers a group's values
+    in one task: for small tables such as fold scores."""
     if exact:
         q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     else:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK = 4096
+DIRECT_MAX = 4_000_000   # partitions x parameters up to which partials go straight to the driver
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -167,9 +168,14 @@ class MLPFit:
 
 
 def fit_mlp(df: DataFrame, features: list[str], label: str, cfg: MLPConfig,
-            valid: str = "is_valid", rowkey: str = "_rowkey") -> MLPFit:
+            valid: str = "is_valid", rowkey: str = "_rowkey", reduce: str = "auto") -> MLPFit:
     """Train on rows with ``valid`` false, monitor ``val_loss`` on the rest.
-    ``df`` should be materialised (it is read once per epoch)."""
+    ``df`` should be materialised (it is read once per epoch).
+
+    ``reduce``: ``chunks`` sums task partials by parameter chunk in a
+    shuffle (many reducers; for many tasks or parameters); ``direct``
+    collects the task partials (one stage; when partitions x parameters is
+    small); ``auto`` picks by that product."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
@@ -183,6 +189,8 @@ def fit_mlp(df: DataFrame, features: list[str], label: str, cfg: MLPConfig,
     n_chunks = (P + CHUNK - 1) // CHUNK
     data = df.select(*feats, F.col(label).cast("double").alias("__y"),
                      F.col(valid).alias("__v"), F.col(rowkey).alias("__k"))
+    if reduce == "auto":
+        reduce = "direct" if data.rdd.getNumPartitions() * (P + 4) <= DIRECT_MAX else "chunks"
     schema = "chunk int, g array<double>"
     m, v = np.zeros(P), np.zeros(P)
     b1, b2, eps = 0.9, 0.999, 1e-7
@@ -219,11 +227,17 @@ def fit_mlp(df: DataFrame, features: list[str], label: str, cfg: MLPConfig,
             rows.append((-1, st.tolist()))
             yield pd.DataFrame(rows, columns=["chunk", "g"])
 
-        summed = (data.mapInPandas(part, schema)
-                  .groupBy("chunk").agg(Summarizer.sum(array_to_vector("g")).alias("s"))
-                  .collect())
+        partials = data.mapInPandas(part, schema)
+        if reduce == "direct":
+            parts: dict = {}
+            for r in partials.collect():      # partitions x (P + 4) doubles, bounded above
+                g_part = np.asarray(r["g"])
+                c = r["chunk"]
+                parts[c] = parts[c] + g_part if c in parts else g_part
+        else:
+            summed = partials.groupBy("chunk").agg(Summarizer.sum(array_to_vector("g")).alias("s")).collect()
+            parts = {r["chunk"]: r["s"].toArray() for r in summed}
         bc.unpersist()
-        parts = {r["chunk"]: r["s"].toArray() for r in summed}
         st = parts.pop(-1)
         n_tr = max(st[1], 1.0)
         grad = np.concatenate([parts[c] for c in range(n_chunks)])[:P] / n_tr

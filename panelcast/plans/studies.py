@@ -38,7 +38,7 @@ def comparison_study(spark: SparkSession, sf: str, boost: dict | None = None, fo
     scores = fold_scores(compare(specs, d, parallelism=3)).persist()
     board = selection.leaderboard(scores)
     return {"scores": scores, "ranks": selection.rank_models(scores), "leaderboard": board,
-            "stability": selection.stability(board, 0.05, 2), "box": charts.box_summary(scores),
+            "stability": selection.stability(board, 0.05, 2), "box": charts.box_summary(scores, exact=True),
             "lines": charts.fold_lines(scores)}
 
 

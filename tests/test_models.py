@@ -154,3 +154,12 @@ def test_unsupported_parameter_fails_loudly():
         tr.boost({"reg_alpha": 0.1})
     est, notes = tr.boost({"reg_alpha": 0.1, "num_leaves": 31}, strict=False)
     assert est.getMaxDepth() == 5 and notes
+
+
+def test_mlp_reduce_modes_agree(spark, folded):
+    from panelcast.operators.mlp import fit_mlp, row_key
+    d = row_key(splits.validation(folded, 0.2, 42)).persist()
+    cfg = MLPConfig(hidden=[6], l2=[1e-3], dropout=[0.2], learning_rate=0.01, epochs=4)
+    a = fit_mlp(d, FEATS[:3], "y", cfg, reduce="direct")
+    b = fit_mlp(d, FEATS[:3], "y", cfg, reduce="chunks")
+    assert np.allclose(a.theta, b.theta, rtol=1e-8, atol=1e-10)
