@@ -117,3 +117,63 @@ def network_study(spark: SparkSession, sf: str, trials: int = 3, epochs: int = 3
              float(min(h["val_loss"] for h in f.history))) for i, f in enumerate(fits)]
     return {"trials": spark.createDataFrame(rows, "trial int, layers string, learning_rate double, val_loss double"),
             "metrics": metrics(fits[best].transform(x.where("is_test")), "y", "prediction")}
+
+
+def tree_study(spark: SparkSession, sf: str, kind: str = "tree", grid: dict | None = None,
+               strict: bool = False, seed: int = 42, parallelism: int = 4) -> dict[str, DataFrame]:
+    """Grid search of a tree (``kind='tree'``) or forest (``'forest'``) on
+    five folds of the 70% training rows (R2), refit of the best candidate on
+    all training rows, holdout metrics and impurity importances, sorted.
+    ``grid`` defaults to the reference grid (presets)."""
+    from ..operators import presets, selection
+    from ..operators import trees as tr
+    from ..operators.fitting import compare, fit, fold_scores
+    from .common import F_TREE
+    grid = grid or (presets.TREE_GRID if kind == "tree" else presets.FOREST_GRID)
+    d = splits.holdout(prep(spark, sf, F_TREE + ["y"]), presets.HOLDOUT, seed, "hash")
+    train = splits.kfold(d.where(~F.col("is_test")), presets.FOLDS, seed, "hash", salt="|cv").persist()
+    cands = splits.grid_candidates(grid)
+    specs = [ModelSpec(f"c{i}", kind, F_TREE, c, scale=(kind == "forest"), strict=strict)
+             for i, c in enumerate(cands)]
+    sc = fold_scores(compare(specs, train, parallelism=parallelism))
+    board = sc.groupBy("model_order").agg(F.avg("r2").alias("mean_r2")).orderBy(F.col("mean_r2").desc(), "model_order")
+    best = board.first()["model_order"]
+    m = fit(specs[best], train)
+    imp = spark.createDataFrame(tr.impurity_importance(m.members[0], F_TREE), "feature string, importance double")
+    return {"search": board, "best": spark.createDataFrame([(best, str(cands[best]))], "candidate int, params string"),
+            "metrics": metrics(m.transform(d.where("is_test")), "y", "prediction"),
+            "importance": selection.sort_importance(imp)}
+
+
+def boost_search_study(spark: SparkSession, sf: str, space: dict | None = None, draws: int | None = None,
+                       seed: int = 42, parallelism: int = 4) -> dict[str, DataFrame]:
+    """Random search of boosting over ``draws`` candidates (R2, five folds
+    of the training rows) on the scaled degree-2 expansion, refit, holdout
+    metrics, gain importance, then five-fold scores of the winner on all
+    rows with their mean, population std and stability flag."""
+    from ..functions.expand import poly_names
+    from ..operators import presets, selection
+    from ..operators import trees as tr
+    from ..operators.fitting import compare, fit, fold_scores
+    from ..session import scratch_path
+    from .common import F_NETWORK
+    space = space or presets.BOOST_SPACE
+    draws = draws or presets.BOOST_DRAWS
+    grid = splits.param_grid(spark, space)
+    picked = splits.param_sample(grid, draws, seed).orderBy("draw").collect()   # draws rows (small)
+    d = splits.holdout(prep(spark, sf, F_NETWORK + ["y"]), presets.HOLDOUT, seed, "hash")
+    train = splits.kfold(d.where(~F.col("is_test")), presets.FOLDS, seed, "hash", salt="|cv").persist()
+    specs = [ModelSpec(f"draw{r['draw']}", "boost", F_NETWORK, {k: r[k] for k in space}, degree=2,
+                       strict=False) for r in picked]
+    sc = fold_scores(compare(specs, train, parallelism=parallelism))
+    board = sc.groupBy("model_order").agg(F.avg("r2").alias("mean_r2")).orderBy(F.col("mean_r2").desc(), "model_order")
+    best = board.first()["model_order"]
+    m = fit(specs[best], train)
+    nodes = tr.node_table(spark, m.members[0], scratch_path(spark, f"boost_search_nodes_{seed}"))
+    names = poly_names(F_NETWORK, 2)
+    allf = splits.kfold(d, presets.FOLDS, seed, "hash").persist()
+    cv = fold_scores(compare([specs[best]], allf)).select("fold", "r2")
+    summ = cv.agg(F.avg("r2").alias("mean_r2"), F.stddev_pop("r2").alias("std_r2")) \
+             .withColumn("status", F.when(F.col("std_r2") < presets.STABILITY_LIMIT, "OK").otherwise("CHECK"))
+    return {"search": board, "metrics": metrics(m.transform(d.where("is_test")), "y", "prediction"),
+            "gain_importance": tr.gain_importance(nodes, names), "fold_r2": cv, "stability": summ}

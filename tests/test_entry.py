@@ -29,3 +29,20 @@ def test_two_series_and_pca_studies(spark, tmp_path):
     p = studies.pca_study(spark, "/root/testdata/sf0.001")
     v = p["variance"].orderBy("component").collect()
     assert abs(v[-1].cumulative - 1.0) < 1e-9 and v[-1].label == "100.0%"
+
+
+def test_tree_and_boost_studies_small(spark):
+    from panelcast.plans import studies
+    t = studies.tree_study(spark, "/root/testdata/sf0.001", "tree", {"max_depth": [3, None], "min_samples_leaf": [5]})
+    assert t["search"].count() == 2 and t["importance"].count() == 7
+    b = studies.boost_search_study(spark, "/root/testdata/sf0.001",
+                                   {"n_estimators": [3, 5], "max_depth": [2], "reg_lambda": [1, 2]}, draws=2)
+    assert b["fold_r2"].count() == 5 and b["stability"].first().status in ("OK", "CHECK")
+
+
+def test_presets_have_reference_sizes():
+    from panelcast.operators import presets, splits
+    assert len(splits.grid_candidates(presets.TREE_GRID)) == 20
+    assert len(splits.grid_candidates(presets.FOREST_GRID)) == 324
+    assert len(splits.grid_candidates(presets.BOOST_LOG_GRID)) == 192
+    assert len(splits.grid_candidates(presets.BOOST_SPACE)) == 5184
