@@ -1,12 +1,14 @@
 """Moments and per-fold Gram matrices: the one pass linear models need.
 
 ``fold_gram`` computes, for every group (fold, or outer x inner fold), the
-count, sums and cross products of ``z = [1, x - c, y - c_y]``.  Each task
-folds its rows into one small matrix per group with NumPy (Arrow batches
-in, one batch of partial sums out), then a ``groupBy(group, i, j).sum``
-combines the partials.  Rows never leave their task; what is shuffled is
-``tasks x groups x q(q+1)/2`` partial sums, with ``q`` the number of
-columns plus two.  Centring on global means (``shift``) keeps the sums
+count, sums and cross products of ``z = [1, x - c, y - c_y]``.  With few
+columns this is one built-in aggregation (partial per task, codegen).
+With many, each task folds its rows into one small matrix per group with
+NumPy (Arrow batches in), cuts the upper triangle into blocks of 64 and
+emits one row per (group, block); ``groupBy(group, block)`` with 64 exact
+sums combines them, spread over groups x blocks reducers.  Rows never
+leave their task; what is shuffled is ``tasks x groups x q(q+1)/128``
+rows of 64 doubles, with ``q`` the number of columns plus two.  Centring on global means (``shift``) keeps the sums
 free of cancellation when a column's mean is large next to its spread.
 """
 
@@ -28,6 +30,7 @@ def column_means(df: DataFrame, cols: list[str]) -> list[float]:
 # whole-stage codegen); above it, generated code would grow past the JIT
 # method limit, so tasks fold rows into partial matrices with NumPy.
 JVM_MAX_SUMS = 66      # q(q+1)/2 for q = 11: ten inputs and the target
+BLOCK = 64             # partial sums per shuffled row on the wide path
 
 
 def fold_gram(df: DataFrame, cols: list[str], target: str, by: list[str] | tuple = ("fold",),
@@ -45,10 +48,12 @@ def fold_gram(df: DataFrame, cols: list[str], target: str, by: list[str] | tuple
         return _fold_gram_jvm(df, names, by, shift)
     shift_arr = np.asarray(shift, dtype=float)
     iu0, iu1 = np.triu_indices(q)
+    n_sums = len(iu0)
+    n_blocks = (n_sums + BLOCK - 1) // BLOCK
     key_fields = [df.schema[b] for b in by]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in key_fields]
-                          + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
-                             T.StructField("value", T.DoubleType())])
+                          + [T.StructField("block", T.IntegerType()),
+                             T.StructField("v", T.ArrayType(T.DoubleType()))])
 
     def partial(batches):
         acc: dict = {}
@@ -68,12 +73,23 @@ def fold_gram(df: DataFrame, cols: list[str], target: str, by: list[str] | tuple
                 k = key if isinstance(key, tuple) else (key,)
                 acc[k] = acc[k] + g if k in acc else g
         for k, g in acc.items():
-            out = {b: [k[t]] * len(iu0) for t, b in enumerate(by)}
-            out.update({"i": iu0.astype("int32"), "j": iu1.astype("int32"), "value": g[iu0, iu1]})
+            flat = np.zeros(n_blocks * BLOCK)
+            flat[:n_sums] = g[iu0, iu1]
+            blocks = flat.reshape(n_blocks, BLOCK)
+            out = {b: [k[t]] * n_blocks for t, b in enumerate(by)}
+            out.update({"block": np.arange(n_blocks, dtype="int32"), "v": list(blocks)})
             yield pd.DataFrame(out)
 
     parts = df.select(*by, *names).mapInPandas(partial, schema)
-    return parts.groupBy(*by, "i", "j").agg(F.sum("value").alias("value"))
+    # one row per (task, group, block) is shuffled; BLOCK exact sums per row
+    summed = parts.groupBy(*by, "block").agg(
+        F.array(*[F.sum(F.col("v")[t]) for t in range(BLOCK)]).alias("s"))
+    flat = summed.select(*by, "block", F.posexplode("s").alias("pos", "value")) \
+        .withColumn("idx", F.col("block") * BLOCK + F.col("pos")).where(F.col("idx") < n_sums)
+    ii = F.array(*[F.lit(int(x)) for x in iu0])
+    jj = F.array(*[F.lit(int(x)) for x in iu1])
+    return flat.select(*by, F.element_at(ii, F.col("idx") + 1).alias("i"),
+                       F.element_at(jj, F.col("idx") + 1).alias("j"), "value")
 
 
 def _fold_gram_jvm(df: DataFrame, names: list[str], by: list[str], shift) -> DataFrame:
