@@ -227,3 +227,26 @@ def scores_frame(spark: SparkSession, rows: list[dict], cols: list[str]) -> Data
     schema = T.StructType([T.StructField(c, types.get(c, T.StringType() if c in ("model", "kind", "family", "status") else T.DoubleType())) for c in cols])
     data = [tuple(None if r.get(c) is None else (int(r[c]) if isinstance(types.get(c), (T.IntegerType, T.LongType)) else (str(r[c]) if isinstance(schema[c].dataType, T.StringType) else float(r[c]))) for c in cols) for r in rows]
     return spark.createDataFrame(data, schema)
+
+
+def nested_cv_blocks(df: DataFrame, features: list[str], target: str, kind: str,
+                     alphas: list[float] | None = None, k_inner: int = 5, fold: str = "fold",
+                     metric: str = "r2") -> list[dict]:
+    """Nested search whose inner folds are contiguous chronological blocks
+    of each outer training set (so they depend on the outer fold).  One Gram
+    pass by outer fold gives every held-out fold's matrix; each outer fold
+    then takes one pass for its inner blocks (cut search + Gram)."""
+    from . import splits
+    from .moments import column_means
+    cands = linear_candidates(kind, alphas)
+    shift = column_means(df, list(features) + [target])
+    outer = GramSet(df, features, target, by=(fold,), shift=shift)
+    out = []
+    for f in outer.keys(0):
+        tr = splits.kfold(df.where(F.col(fold) != f), k_inner, mode="blocks", out="__inner")
+        inner = GramSet(tr, features, target, by=("__inner",), shift=shift)
+        ci, inner_best = best_of(cv_scores(inner, cands), len(cands), metric)
+        w, a = solve(inner.stats(), kind, cands[ci]["alpha"])          # all inner blocks = outer training rows
+        sc = fold_score(outer.stats(lambda k, f=f: k[0] == f), w, a)
+        out.append({"fold": int(f), "alpha": cands[ci]["alpha"], "inner_score": inner_best, **sc})
+    return out

@@ -645,3 +645,35 @@ def q_linear_study(spark, sf):
     return out.select("term", R("coef").alias("coef"), "position",
                       F.lit(fam).alias("family"), F.lit(best[fam][0]).alias("alpha"),
                       F.lit(float(test["r2"])).alias("test_r2"))
+
+
+@register("nested_cv_blocks", sql=f"""WITH {O.prep_ctes(_TWO_COLS)}, z0 AS (SELECT *,
+    CAST({O.hash_bits(O.hash_expr(SEED))} % {K} AS INTEGER) AS fold, {O.hash_expr(SEED)} AS h, {_zsql(F_TWO)} FROM clean),
+  ko AS (SELECT DISTINCT fold AS k FROM z0),
+  z AS (SELECT ko.k, t.*, CAST(ntile({K}) OVER (PARTITION BY ko.k ORDER BY t.day, t.h, t.series) - 1 AS INTEGER) AS inner_fold
+    FROM z0 t JOIN ko ON t.fold <> ko.k),
+  ki AS (SELECT DISTINCT inner_fold AS j FROM z),
+  ist AS (SELECT t.k, ki.j, {O.stats_cols(Z)} FROM z t JOIN ki ON t.inner_fold <> ki.j GROUP BY t.k, ki.j),
+  ico AS (SELECT k, j, alpha_idx, alpha, {O.coef_cols(2, 'alpha')} FROM ist, {_alpha_values()} c),
+  isc AS (SELECT ico.k, ico.j, ico.alpha_idx, ico.alpha,
+      1 - sum((s.y - (ico.b0 + ico.w1 * s.{Z[0]} + ico.w2 * s.{Z[1]})) * (s.y - (ico.b0 + ico.w1 * s.{Z[0]} + ico.w2 * s.{Z[1]})))
+        / (var_pop(s.y) * count(*)) AS r2
+    FROM z s JOIN ico ON s.k = ico.k AND s.inner_fold = ico.j GROUP BY ico.k, ico.j, ico.alpha_idx, ico.alpha),
+  ib AS (SELECT k, alpha_idx, alpha, avg(r2) AS m, row_number() OVER (PARTITION BY k ORDER BY avg(r2) DESC, alpha_idx) AS rn
+    FROM isc GROUP BY k, alpha_idx, alpha),
+  ost AS (SELECT ko.k, {O.stats_cols(Z)} FROM z0 t JOIN ko ON t.fold <> ko.k GROUP BY ko.k),
+  oco AS (SELECT ost.k, ib.alpha, ib.m, {O.coef_cols(2, 'ib.alpha')} FROM ost JOIN ib ON ost.k = ib.k AND ib.rn = 1),
+  osc AS (SELECT s.fold, oco.alpha, oco.m,
+      1 - sum((s.y - (oco.b0 + oco.w1 * s.{Z[0]} + oco.w2 * s.{Z[1]})) * (s.y - (oco.b0 + oco.w1 * s.{Z[0]} + oco.w2 * s.{Z[1]})))
+        / (var_pop(s.y) * count(*)) AS r2
+    FROM z0 s JOIN oco ON s.fold = oco.k GROUP BY s.fold, oco.alpha, oco.m)
+  SELECT fold, alpha, {O.r('m')} AS inner_score, {O.r('r2')} AS r2 FROM osc""")
+def q_nested_cv_blocks(spark, sf):
+    """Nested search with chronological inner blocks inside each outer
+    training set (the linear study's inner cv of five blocks)."""
+    d = splits.kfold(prep(spark, sf, _TWO_COLS), K, SEED, "hash")
+    d = Standardizer(F_TWO, suffix="_z").fit(d).transform(d).persist()
+    rows = [(r["fold"], r["alpha"], r["inner_score"], r["r2"])
+            for r in linear.nested_cv_blocks(d, Z, "y", "ridge", ALPHAS, K)]
+    return spark.createDataFrame(rows, "fold int, alpha double, inner_score double, r2 double") \
+        .withColumns({"inner_score": R("inner_score"), "r2": R("r2")})

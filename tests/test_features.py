@@ -89,3 +89,9 @@ def test_union_series_then_lag_equals_apart(spark, panel):
     u = fx.lag_feature(fx.union_series(frames), "y")
     apart = fx.lag_feature(p.where(F.col("series").isin("EUROPE", "ASIA")), "y")
     assert sorted(u.collect()) == sorted(apart.select(*u.columns).collect())
+
+
+def test_assemble_raises_on_null(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (None, 3.0)], "a double, b double")
+    with pytest.raises(Exception):
+        fx.assemble(df, ["a", "b"]).collect()

@@ -163,3 +163,9 @@ def test_mlp_reduce_modes_agree(spark, folded):
     a = fit_mlp(d, FEATS[:3], "y", cfg, reduce="direct")
     b = fit_mlp(d, FEATS[:3], "y", cfg, reduce="chunks")
     assert np.allclose(a.theta, b.theta, rtol=1e-8, atol=1e-10)
+
+
+def test_gram_fit_invariant_to_partitioning(folded):
+    a = linear.GramSet(folded.repartition(1), FEATS, "y", by=["fold"]).fit("ridge", 2.0)
+    b = linear.GramSet(folded.repartition(13), FEATS, "y", by=["fold"]).fit("ridge", 2.0)
+    assert np.allclose(a.coef, b.coef, rtol=1e-10) and abs(a.intercept - b.intercept) < 1e-9
