@@ -110,12 +110,15 @@ def q_lag_feature(spark, sf):
     return fx.lag_feature(fixture_panel(spark, sf).select("series", "day", "y"), "y")
 
 
-@register("union_series", sql=f"""WITH p AS ({O.panel_sql()}),
-  u AS (SELECT * FROM p WHERE series = 'EUROPE' UNION ALL SELECT * FROM p WHERE series = 'ASIA')
-  SELECT series, day, y, lag(y) OVER (PARTITION BY series ORDER BY day) AS y_prev FROM u""")
+@register("union_series", sql=f"""WITH p AS ({O.panel_sql()})
+  SELECT series, day, y, lag(y) OVER (PARTITION BY series ORDER BY day) AS y_prev FROM p""")
 def q_union_series(spark, sf):
+    """Every region's series read apart (one frame per region name, from the
+    region table: a dimension of fixed size), stacked, then the keyed lag."""
+    from ..sources.fixture import table
     p = fixture_panel(spark, sf).select("series", "day", "y")
-    frames = {n: p.where(F.col("series") == n).drop("series") for n in ("EUROPE", "ASIA")}
+    names = [r.r_name for r in table(spark, sf, "region").select("r_name").distinct().collect()]
+    frames = {n: p.where(F.col("series") == n).drop("series") for n in sorted(names)}
     return fx.lag_feature(fx.union_series(frames), "y").select("series", "day", "y", "y_prev")
 
 
