@@ -169,3 +169,27 @@ def test_gram_fit_invariant_to_partitioning(folded):
     a = linear.GramSet(folded.repartition(1), FEATS, "y", by=["fold"]).fit("ridge", 2.0)
     b = linear.GramSet(folded.repartition(13), FEATS, "y", by=["fold"]).fit("ridge", 2.0)
     assert np.allclose(a.coef, b.coef, rtol=1e-10) and abs(a.intercept - b.intercept) < 1e-9
+
+
+def test_voting_is_mean_of_members_and_importances_sum_to_one(spark, folded):
+    from panelcast.operators import trees as tr
+    boost = {"n_estimators": 3, "max_depth": 2}
+    forest = {"n_estimators": 4, "max_depth": 3}
+    vote = fit(ModelSpec("v", "voting", FEATS, members=[("boost", boost), ("forest", forest)]), folded)
+    a = fit(ModelSpec("b", "boost", FEATS, boost), folded)
+    b = fit(ModelSpec("f", "forest", FEATS, forest), folded)
+    key = ["series", "day"]
+    pv = {tuple(r[:2]): r[2] for r in vote.transform(folded).select(*key, "prediction").collect()}
+    pa = {tuple(r[:2]): r[2] for r in a.transform(folded).select(*key, "prediction").collect()}
+    pb = {tuple(r[:2]): r[2] for r in b.transform(folded).select(*key, "prediction").collect()}
+    assert max(abs(pv[k] - (pa[k] + pb[k]) / 2) for k in pv) < 1e-9
+    imp = tr.impurity_importance(b.members[0], FEATS)
+    assert abs(sum(v for _, v in imp) - 1.0) < 1e-9
+
+
+def test_split_counts_match_internal_nodes(spark, folded, tmp_path):
+    from panelcast.operators import trees as tr
+    m = fit(ModelSpec("t", "tree", FEATS, {"max_depth": 3}, scale=False), folded)
+    nodes = tr.node_table(spark, m.members[0], str(tmp_path / "tree"))
+    counts = {r.feature: r.importance for r in tr.split_importance(nodes, FEATS).collect()}
+    assert sum(counts.values()) == m.members[0].numNodes // 2      # binary tree: internal = (nodes - 1) / 2
