@@ -180,39 +180,66 @@ def _linear_single_pass(spec: ModelSpec, df: DataFrame, target: str, fold: str,
                                                   *([c + "__z" for c in spec.features] if spec.scale and spec.features else []))
 
 
-def cross_validate(spec: ModelSpec, df: DataFrame, target: str = "y", fold: str = "fold",
-                   scale_scope: str = "fold", parallelism: int = 2,
-                   keep: tuple = ("series", "day")) -> DataFrame:
-    """Out-of-fold predictions ``(keep..., fold, y, prediction)``: fold ``k``
-    is predicted by a model fitted on the other folds only."""
-    cols = [c for c in keep if c in df.columns] + [fold, target]
-    if spec.kind in LINEAR and (scale_scope == "global" or (spec.kind == "ols" and not spec.bias)
-                                or not spec.scale):
-        out = _linear_single_pass(spec, df, target, fold, None)
-        return out.select(*cols, "prediction")
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    glob = Standardizer(spec.features, "__z").fit(df) if (spec.scale and scale_scope == "global") else None
-
-    def one(f):
+def _single_pass_ok(spec: ModelSpec, scale_scope: str) -> bool:
+    return spec.kind in LINEAR and (scale_scope == "global" or spec.kind == "ols" or not spec.scale)
+
+
+def _fold_jobs(spec: ModelSpec, df: DataFrame, target: str, fold: str, scale_scope: str, cols: list[str]):
+    """One callable per fold: fit on the other folds, predict this one."""
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())   # k values
+    glob = Standardizer(spec.features, "__z").fit(df) if (spec.scale and spec.features
+                                                          and scale_scope == "global") else None
+
+    def job(f):
         m = fit(spec, df.where(F.col(fold) != f), target, glob)
         return m.transform(df.where(F.col(fold) == f)).select(*cols, "prediction")
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        parts = list(ex.map(one, folds))
+    return [lambda f=f: job(f) for f in folds]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def cross_validate(spec: ModelSpec, df: DataFrame, target: str = "y", fold: str = "fold",
+                   scale_scope: str = "fold", parallelism: int = 2,
+                   keep: tuple = ("series", "day")) -> DataFrame:
+    """Out-of-fold predictions ``(keep..., fold, y, prediction)``: fold ``k``
+    is predicted by a model fitted on the other folds only."""
+    cols = [c for c in keep if c in df.columns] + [fold, target]
+    if _single_pass_ok(spec, scale_scope):
+        return _linear_single_pass(spec, df, target, fold, None).select(*cols, "prediction")
+    jobs = _fold_jobs(spec, df, target, fold, scale_scope, cols)
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        parts = list(ex.map(lambda j: j(), jobs))
+    return _union(parts)
+
+
 def compare(specs: list[ModelSpec], df: DataFrame, target: str = "y", fold: str = "fold",
-            scale_scope: str = "fold", parallelism: int = 2) -> DataFrame:
+            scale_scope: str = "fold", parallelism: int = 2, keep: tuple = ("series", "day")) -> DataFrame:
     """Out-of-fold predictions of several models on the same folds, with
-    ``model`` and ``model_order`` (declaration order) columns."""
+    ``model`` and ``model_order`` (declaration order) columns.  Every
+    (model, fold) fit is submitted to one pool of ``parallelism`` concurrent
+    Spark jobs; linear models take their single Gram pass."""
+    cols = [c for c in keep if c in df.columns] + [fold, target]
+    jobs, tags, parts = [], [], {}
+    for i, s in enumerate(specs):
+        if _single_pass_ok(s, scale_scope):
+            parts[i] = [_linear_single_pass(s, df, target, fold, None).select(*cols, "prediction")]
+        else:
+            for j in _fold_jobs(s, df, target, fold, scale_scope, cols):
+                jobs.append(j)
+                tags.append(i)
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        done = list(ex.map(lambda j: j(), jobs))
+    for i, p in zip(tags, done):
+        parts.setdefault(i, []).append(p)
     out = None
     for i, s in enumerate(specs):
-        p = cross_validate(s, df, target, fold, scale_scope, parallelism) \
-            .withColumn("model", F.lit(s.name)).withColumn("model_order", F.lit(i))
+        p = _union(parts[i]).withColumn("model", F.lit(s.name)).withColumn("model_order", F.lit(i))
         out = p if out is None else out.unionByName(p)
     return out
 

@@ -532,7 +532,7 @@ def q_gain_importance(spark, sf):
     return tr.gain_importance(_boost_nodes(spark, sf), F_TREE).withColumn("importance", R("importance"))
 
 
-def _spark_ml_search(spark, d: DataFrame, specs: list[ModelSpec], parallelism: int = 4) -> DataFrame:
+def _spark_ml_search(spark, d: DataFrame, specs: list[ModelSpec], parallelism: int = 8) -> DataFrame:
     """Every candidate on every fold (fit on the others), scored from the
     union of out-of-fold predictions in one aggregation."""
     from ..operators.fitting import compare, fold_scores
@@ -580,7 +580,7 @@ def q_compare_models(spark, sf):
              ModelSpec("boosting", "boost", F_COMPARE, XGB_COMPARE, strict=False),
              ModelSpec("voting", "voting", F_COMPARE, members=[("boost", XGB_COMPARE), ("forest", RF_COMPARE),
                                                               ("boost", LGBM_COMPARE)], strict=False)]
-    sc = fold_scores(compare(specs, d, parallelism=3))
+    sc = fold_scores(compare(specs, d, parallelism=8))   # all 15 fold fits share one pool
     return sc.select("model", "model_order", "fold", R("r2").alias("r2"))
 
 
