@@ -431,3 +431,22 @@ def q_box_summary(spark, sf):
 def q_fold_lines(spark, sf):
     t = charts.fold_lines(_cmp_scores(spark, sf))
     return t.withColumn("r2", R("r2"))
+
+
+# ============================================== supplier-keyed panel (many series)
+_SUP_COLS = F_TWO + ["y"]
+
+
+@register("supplier_kfold_exact", sql=f"""WITH {O.prep_ctes(_SUP_COLS, 'supplier')}, h AS (SELECT *, {_H} AS h FROM clean)
+  SELECT series, day, CAST(ntile({K}) OVER (ORDER BY h, series, day) - 1 AS INTEGER) AS fold FROM h""")
+def q_supplier_kfold_exact(spark, sf):
+    d = prep(spark, sf, _SUP_COLS, key="supplier")
+    return splits.kfold(d, K, SEED, "exact").select("series", "day", "fold")
+
+
+@register("supplier_fold_metrics", sql=f"""WITH {O.prep_ctes(_SUP_COLS, 'supplier')},
+  f AS (SELECT *, CAST({O.hash_bits(_H)} % {K} AS INTEGER) AS fold FROM clean), p AS ({_cv_pred_sql('f', F_TWO)})
+  {_metrics_sql('p', 'fold')}""")
+def q_supplier_fold_metrics(spark, sf):
+    d = splits.kfold(prep(spark, sf, _SUP_COLS, key="supplier"), K, SEED, "hash")
+    return _round_metrics(metrics(cross_validate(_spec_two(), d), "y", "prediction", ["fold"]))
