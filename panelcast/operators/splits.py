@@ -68,24 +68,23 @@ def _match(cols: list[Column], values: tuple) -> Column:
 
 
 def exact_cuts(df: DataFrame, order_cols: list[str], levels: list[list[Column]],
-               positions: list[int], small: int = SMALL) -> dict[int, tuple]:
+               positions, small: int = SMALL) -> dict[int, tuple]:
     """Order-key tuples of the rows at 1-based ``positions`` in the order of
     ``order_cols`` (which must be unique and non-null).
 
     ``levels`` are successively finer bucket keys, each consistent with the
     order (a prefix of it); the last level should be fine enough that a
-    bucket is small.
+    bucket is small.  ``positions`` may be a function of the row count n,
+    which is then read off the first level's counts (no separate pass).
     """
-    want = sorted({p for p in positions if p > 0})
     found: dict[int, tuple] = {}
-    # each pending target: position -> (parent bucket values or None, rows before parent)
-    pending = {p: (None, 0) for p in want}
+    pending = None if callable(positions) else {p: (None, 0) for p in sorted({p for p in positions if p > 0})}
     prev: list[Column] | None = None
     for depth, key in enumerate(levels):
-        if not pending:
+        if pending is not None and not pending:
             break
         names = [f"_k{i}" for i in range(len(key))]
-        parents = {v[0] for v in pending.values()}
+        parents = {v[0] for v in pending.values()} if pending else {None}
         sub = df
         if prev is not None:
             cond = F.lit(False)
@@ -98,6 +97,12 @@ def exact_cuts(df: DataFrame, order_cols: list[str], levels: list[list[Column]],
         rows = grouped.collect()   # bounded: buckets of this level inside <= k parents
         if len(rows) > MAX_LEVEL_BUCKETS * max(1, len(parents)):
             raise RuntimeError("bucket level too fine; add a coarser level")
+        if pending is None:        # first level: n is the sum of its counts
+            n = sum(r["count"] for r in rows)
+            pending = {p: (None, 0) for p in sorted({p for p in positions(n) if p > 0})}
+            found["n"] = n
+            if not pending:
+                break
         by_parent: dict = {}
         for r in rows:
             pv = tuple(r[n] for n in pnames) if pnames else None
@@ -170,12 +175,11 @@ def holdout(df: DataFrame, frac: float = 0.3, seed: int = 42, mode: str = "hash"
     if mode != "exact":
         raise ValueError("mode must be 'hash' or 'exact'")
     order = [HASH] + list(keys)
-    n = d.count()
-    n_test = math.ceil(frac * n)
+    found = exact_cuts(d, order, _hash_levels(), lambda n: [math.ceil(frac * n)])
+    n_test = math.ceil(frac * found["n"])
     if n_test <= 0:
         return d.withColumn(out, F.lit(False)).drop(HASH)
-    cut = exact_cuts(d, order, _hash_levels(), [n_test])[n_test]
-    return d.withColumn(out, ~_tuple_gt(order, cut)).drop(HASH)
+    return d.withColumn(out, ~_tuple_gt(order, found[n_test])).drop(HASH)
 
 
 def validation(df: DataFrame, frac: float = 0.2, seed: int = 42, out: str = "is_valid",
@@ -206,10 +210,8 @@ def kfold(df: DataFrame, k: int = 5, seed: int = 42, mode: str = "hash", salt: s
         levels = _hash_levels([F.col(order)])
     else:
         raise ValueError("mode must be 'hash', 'exact' or 'blocks'")
-    n = d.count()
-    pos = _ntile_positions(n, k)
-    found = exact_cuts(d, order_cols, levels, pos)
-    cuts = [found[p] for p in pos if p > 0]
+    found = exact_cuts(d, order_cols, levels, lambda n: _ntile_positions(n, k))
+    cuts = [found[p] for p in _ntile_positions(found["n"], k) if p > 0]
     return _assign_by_cuts(d, order_cols, cuts, out).drop(HASH)
 
 
