@@ -20,8 +20,6 @@ def main():
     spark = get_session(f"local[{cpus}]", app="panelcast-bench", shuffle_partitions=int(cpus) * 2)
     spark.sparkContext.setLogLevel("ERROR")
 
-    from pyspark.sql import functions as F
-
     from panelcast.functions.metrics import metrics
     from panelcast.operators import linear, splits
     from panelcast.operators.fitting import ModelSpec, cross_validate

@@ -13,9 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .moments import Stats, fold_gram, gram_matrices
+from .moments import fold_gram, gram_matrices
 
 
 @dataclass

@@ -7,15 +7,13 @@ tables.  Doubles are rounded on both sides before comparison (see
 
 from __future__ import annotations
 
-import math
 import uuid
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
-from ..functions.expand import Standardizer, poly, poly_names
+from ..functions.expand import Standardizer
 from ..functions.features import rounded as R
 from ..functions.metrics import metrics, summarise
 from ..operators import charts, linear, selection, splits
@@ -24,7 +22,7 @@ from ..session import scratch_path
 from ..sources import io
 from ..sources.fixture import fixture_panel
 from . import oracle as O
-from .common import DISPLAY, F_COMPARE, F_LINEAR, F_PCA, F_TWO, prep
+from .common import DISPLAY, F_COMPARE, F_PCA, F_TWO, prep
 
 QUERIES: dict = {}
 ORACLES: dict = {}
