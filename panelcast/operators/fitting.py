@@ -184,15 +184,29 @@ def _single_pass_ok(spec: ModelSpec, scale_scope: str) -> bool:
     return spec.kind in LINEAR and (scale_scope == "global" or spec.kind == "ols" or not spec.scale)
 
 
-def _fold_jobs(spec: ModelSpec, df: DataFrame, target: str, fold: str, scale_scope: str, cols: list[str]):
-    """One callable per fold: fit on the other folds, predict this one."""
+def _fold_jobs(spec: ModelSpec, df: DataFrame, target: str, fold: str, scale_scope: str, cols: list[str],
+               progress: str | None = None):
+    """One callable per fold: fit on the other folds, predict this one.
+
+    With ``progress`` (a folder on shared storage) each fold's predictions
+    are written as a table there and read back: lineage is cut, and a rerun
+    after a failure reads finished folds instead of refitting them."""
+    from ..session import path_exists
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())   # k values
     glob = Standardizer(spec.features, "__z").fit(df) if (spec.scale and spec.features
                                                           and scale_scope == "global") else None
+    spark = df.sparkSession
 
     def job(f):
+        path = f"{progress.rstrip('/')}/{spec.name}/fold={f}" if progress else None
+        if path and path_exists(spark, path):
+            return spark.read.parquet(path)
         m = fit(spec, df.where(F.col(fold) != f), target, glob)
-        return m.transform(df.where(F.col(fold) == f)).select(*cols, "prediction")
+        pred = m.transform(df.where(F.col(fold) == f)).select(*cols, "prediction")
+        if path:
+            pred.write.mode("overwrite").parquet(path)
+            return spark.read.parquet(path)
+        return pred
 
     return [lambda f=f: job(f) for f in folds]
 
@@ -219,18 +233,21 @@ def cross_validate(spec: ModelSpec, df: DataFrame, target: str = "y", fold: str
 
 
 def compare(specs: list[ModelSpec], df: DataFrame, target: str = "y", fold: str = "fold",
-            scale_scope: str = "fold", parallelism: int = 2, keep: tuple = ("series", "day")) -> DataFrame:
+            scale_scope: str = "fold", parallelism: int = 2, keep: tuple = ("series", "day"),
+            progress: str | None = None) -> DataFrame:
     """Out-of-fold predictions of several models on the same folds, with
     ``model`` and ``model_order`` (declaration order) columns.  Every
     (model, fold) fit is submitted to one pool of ``parallelism`` concurrent
-    Spark jobs; linear models take their single Gram pass."""
+    Spark jobs; linear models take their single Gram pass.  ``progress``:
+    shared folder where finished (model, fold) predictions are kept, so a
+    long search resumes after a failure (model names must be unique)."""
     cols = [c for c in keep if c in df.columns] + [fold, target]
     jobs, tags, parts = [], [], {}
     for i, s in enumerate(specs):
         if _single_pass_ok(s, scale_scope):
             parts[i] = [_linear_single_pass(s, df, target, fold, None).select(*cols, "prediction")]
         else:
-            for j in _fold_jobs(s, df, target, fold, scale_scope, cols):
+            for j in _fold_jobs(s, df, target, fold, scale_scope, cols, progress):
                 jobs.append(j)
                 tags.append(i)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:

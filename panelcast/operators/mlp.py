@@ -168,14 +168,19 @@ class MLPFit:
 
 
 def fit_mlp(df: DataFrame, features: list[str], label: str, cfg: MLPConfig,
-            valid: str = "is_valid", rowkey: str = "_rowkey", reduce: str = "auto") -> MLPFit:
+            valid: str = "is_valid", rowkey: str = "_rowkey", reduce: str = "auto",
+            snapshot: str | None = None, snapshot_every: int = 25) -> MLPFit:
     """Train on rows with ``valid`` false, monitor ``val_loss`` on the rest.
     ``df`` should be materialised (it is read once per epoch).
 
     ``reduce``: ``chunks`` sums task partials by parameter chunk in a
     shuffle (many reducers; for many tasks or parameters); ``direct``
     collects the task partials (one stage; when partitions x parameters is
-    small); ``auto`` picks by that product."""
+    small); ``auto`` picks by that product.
+
+    ``snapshot``: a folder on shared storage where the training state
+    (weights, Adam moments, rate, best weights, counters) is written every
+    ``snapshot_every`` epochs; a rerun with the same folder resumes there."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
@@ -197,7 +202,22 @@ def fit_mlp(df: DataFrame, features: list[str], label: str, cfg: MLPConfig,
     lr = cfg.learning_rate
     best, best_theta, since_best, since_lr = np.inf, theta.copy(), 0, 0
     history = []
-    for epoch in range(cfg.epochs):
+    start = 0
+    if snapshot:
+        from ..session import path_exists
+        if path_exists(spark, snapshot):
+            st0 = json.loads(spark.read.json(snapshot).first()["state"])
+            theta, m, v = (np.asarray(st0[k]) for k in ("theta", "m", "v"))
+            best_theta = np.asarray(st0["best_theta"])
+            best, since_best, since_lr, lr = st0["best"], st0["since_best"], st0["since_lr"], st0["lr"]
+            history, start = st0["history"], st0["epoch"]
+    for epoch in range(start, cfg.epochs):
+        if snapshot and epoch > start and epoch % snapshot_every == 0:
+            state = {"theta": theta.tolist(), "m": m.tolist(), "v": v.tolist(), "best_theta": best_theta.tolist(),
+                     "best": best, "since_best": since_best, "since_lr": since_lr, "lr": lr,
+                     "history": history, "epoch": epoch}
+            spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1) \
+                 .write.mode("overwrite").json(snapshot)
         bc = spark.sparkContext.broadcast(theta)
 
         def part(batches, epoch=epoch, bc=bc):

@@ -120,11 +120,14 @@ def network_study(spark: SparkSession, sf: str, trials: int = 3, epochs: int = 3
 
 
 def tree_study(spark: SparkSession, sf: str, kind: str = "tree", grid: dict | None = None,
-               strict: bool = False, seed: int = 42, parallelism: int = 4) -> dict[str, DataFrame]:
+               strict: bool = False, seed: int = 42, parallelism: int = 4,
+               progress: str | None = None) -> dict[str, DataFrame]:
     """Grid search of a tree (``kind='tree'``) or forest (``'forest'``) on
     five folds of the 70% training rows (R2), refit of the best candidate on
     all training rows, holdout metrics and impurity importances, sorted.
-    ``grid`` defaults to the reference grid (presets)."""
+    ``grid`` defaults to the reference grid (presets); ``progress`` (shared
+    folder) keeps finished (candidate, fold) predictions so a long search
+    resumes after a failure."""
     from ..operators import presets, selection
     from ..operators import trees as tr
     from ..operators.fitting import compare, fit, fold_scores
@@ -135,7 +138,7 @@ def tree_study(spark: SparkSession, sf: str, kind: str = "tree", grid: dict | No
     cands = splits.grid_candidates(grid)
     specs = [ModelSpec(f"c{i}", kind, F_TREE, c, scale=(kind == "forest"), strict=strict)
              for i, c in enumerate(cands)]
-    sc = fold_scores(compare(specs, train, parallelism=parallelism))
+    sc = fold_scores(compare(specs, train, parallelism=parallelism, progress=progress))
     board = sc.groupBy("model_order").agg(F.avg("r2").alias("mean_r2")).orderBy(F.col("mean_r2").desc(), "model_order")
     best = board.first()["model_order"]
     m = fit(specs[best], train)
@@ -146,7 +149,7 @@ def tree_study(spark: SparkSession, sf: str, kind: str = "tree", grid: dict | No
 
 
 def boost_search_study(spark: SparkSession, sf: str, space: dict | None = None, draws: int | None = None,
-                       seed: int = 42, parallelism: int = 4) -> dict[str, DataFrame]:
+                       seed: int = 42, parallelism: int = 4, progress: str | None = None) -> dict[str, DataFrame]:
     """Random search of boosting over ``draws`` candidates (R2, five folds
     of the training rows) on the scaled degree-2 expansion, refit, holdout
     metrics, gain importance, then five-fold scores of the winner on all
@@ -165,7 +168,7 @@ def boost_search_study(spark: SparkSession, sf: str, space: dict | None = None,
     train = splits.kfold(d.where(~F.col("is_test")), presets.FOLDS, seed, "hash", salt="|cv").persist()
     specs = [ModelSpec(f"draw{r['draw']}", "boost", F_NETWORK, {k: r[k] for k in space}, degree=2,
                        strict=False) for r in picked]
-    sc = fold_scores(compare(specs, train, parallelism=parallelism))
+    sc = fold_scores(compare(specs, train, parallelism=parallelism, progress=progress))
     board = sc.groupBy("model_order").agg(F.avg("r2").alias("mean_r2")).orderBy(F.col("mean_r2").desc(), "model_order")
     best = board.first()["model_order"]
     m = fit(specs[best], train)

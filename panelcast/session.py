@@ -81,3 +81,12 @@ def materialize(df: DataFrame, reliable: bool = True) -> DataFrame:
         ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
     return df.cache()
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a finished table (its ``_SUCCESS`` marker) exists at ``path``
+    on the cluster's file system."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return bool(p.getFileSystem(conf).exists(p))

@@ -193,3 +193,26 @@ def test_split_counts_match_internal_nodes(spark, folded, tmp_path):
     nodes = tr.node_table(spark, m.members[0], str(tmp_path / "tree"))
     counts = {r.feature: r.importance for r in tr.split_importance(nodes, FEATS).collect()}
     assert sum(counts.values()) == m.members[0].numNodes // 2      # binary tree: internal = (nodes - 1) / 2
+
+
+def test_compare_resumes_from_progress(spark, folded, tmp_path):
+    from panelcast.operators.fitting import compare
+    spec = ModelSpec("tree3", "tree", FEATS, {"max_depth": 3}, scale=False)
+    prog = str(tmp_path / "progress")
+    a = {(r.series, r.day): r.prediction for r in compare([spec], folded, progress=prog).collect()}
+    b = {(r.series, r.day): r.prediction for r in compare([spec], folded, progress=prog).collect()}
+    assert a == b
+    from panelcast.session import path_exists
+    assert path_exists(spark, prog + "/tree3/fold=0")
+
+
+def test_mlp_snapshot_resume(spark, folded, tmp_path):
+    from panelcast.operators.mlp import fit_mlp, row_key
+    d = row_key(splits.validation(folded, 0.2, 42)).persist()
+    cfg = MLPConfig(hidden=[4], l2=[0.0], dropout=[0.0], learning_rate=0.01, epochs=6)
+    full = fit_mlp(d, FEATS[:2], "y", cfg)
+    snap = str(tmp_path / "snap")
+    short = MLPConfig(hidden=[4], l2=[0.0], dropout=[0.0], learning_rate=0.01, epochs=4)
+    fit_mlp(d, FEATS[:2], "y", short, snapshot=snap, snapshot_every=2)     # leaves a snapshot at epoch 2
+    resumed = fit_mlp(d, FEATS[:2], "y", cfg, snapshot=snap, snapshot_every=100)
+    assert np.allclose(resumed.theta, full.theta, rtol=1e-9, atol=1e-12)
