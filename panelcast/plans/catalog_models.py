@@ -453,9 +453,9 @@ def q_variance_labels(spark, sf):
 
 # ============================================================ trees, boosting
 _TREE_COLS = F_TREE + ["y"]
-XGB_COMPARE = {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1, "subsample": 1.0,
+BOOST_SMALL = {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1, "subsample": 1.0,
                "colsample_bytree": 0.8, "reg_alpha": 0.1, "reg_lambda": 1.5}
-LGBM_COMPARE = {"n_estimators": 20, "learning_rate": 0.05, "num_leaves": 31, "subsample": 0.8,
+BOOST_LEAFWISE_SMALL = {"n_estimators": 20, "learning_rate": 0.05, "num_leaves": 31, "subsample": 0.8,
                 "colsample_bytree": 0.8}
 RF_COMPARE = {"n_estimators": 20, "max_depth": 10}
 
@@ -479,19 +479,19 @@ def q_random_forest(spark, sf):
 
 @register("boosting")
 def q_boosting(spark, sf):
-    spec = ModelSpec("boost", "boost", F_NETWORK, XGB_COMPARE, scale=True, strict=False)
+    spec = ModelSpec("boost", "boost", F_NETWORK, BOOST_SMALL, scale=True, strict=False)
     return _holdout_fit(spark, sf, spec, F_NETWORK + ["y"])
 
 
 @register("boosting_log")
 def q_boosting_log(spark, sf):
-    spec = ModelSpec("boost_log", "boost", F_TREE, LGBM_COMPARE, scale=True, log_target=True, strict=False)
+    spec = ModelSpec("boost_log", "boost", F_TREE, BOOST_LEAFWISE_SMALL, scale=True, log_target=True, strict=False)
     return _holdout_fit(spark, sf, spec, _TREE_COLS)
 
 
 @register("voting")
 def q_voting(spark, sf):
-    spec = ModelSpec("voting", "voting", F_NETWORK, members=[("boost", XGB_COMPARE), ("forest", RF_COMPARE)],
+    spec = ModelSpec("voting", "voting", F_NETWORK, members=[("boost", BOOST_SMALL), ("forest", RF_COMPARE)],
                      degree=2, scale=True, strict=False)
     return _holdout_fit(spark, sf, spec, F_NETWORK + ["y"])
 
@@ -518,7 +518,7 @@ def q_importance_sorted(spark, sf):
 
 def _boost_nodes(spark, sf):
     d = prep(spark, sf, _TREE_COLS)
-    m = fit(ModelSpec("boost_log", "boost", F_TREE, LGBM_COMPARE, scale=False, log_target=True, strict=False), d)
+    m = fit(ModelSpec("boost_log", "boost", F_TREE, BOOST_LEAFWISE_SMALL, scale=False, log_target=True, strict=False), d)
     return tr.node_table(spark, m.members[0], scratch_path(spark, f"gbt-{uuid.uuid4().hex}"))
 
 
@@ -577,9 +577,9 @@ def q_compare_models(spark, sf):
     from ..operators.fitting import compare, fold_scores
     d = splits.kfold(prep(spark, sf, F_COMPARE + ["y"]), K, SEED, "hash").persist()
     specs = [ModelSpec("least_squares_degree2", "ols", F_COMPARE, degree=2),
-             ModelSpec("boosting", "boost", F_COMPARE, XGB_COMPARE, strict=False),
-             ModelSpec("voting", "voting", F_COMPARE, members=[("boost", XGB_COMPARE), ("forest", RF_COMPARE),
-                                                              ("boost", LGBM_COMPARE)], strict=False)]
+             ModelSpec("boosting", "boost", F_COMPARE, BOOST_SMALL, strict=False),
+             ModelSpec("voting", "voting", F_COMPARE, members=[("boost", BOOST_SMALL), ("forest", RF_COMPARE),
+                                                              ("boost", BOOST_LEAFWISE_SMALL)], strict=False)]
     sc = fold_scores(compare(specs, d, parallelism=8))   # all 15 fold fits share one pool
     return sc.select("model", "model_order", "fold", R("r2").alias("r2"))
 
