@@ -86,14 +86,15 @@ def q_parse_day(spark, sf):
     return fx.parse_day(p, "day_text", out="parsed", fmt="yyyy-MM-dd").select("series", "day_text", "parsed")
 
 
-@register("calendar_parts", sql=f"""SELECT series, day, year(day) AS year, month(day) AS month,
-  dayofmonth(day) AS day_of_month, isodow(day) - 1 AS weekday FROM ({O.panel_sql()})""")
+@register("calendar_parts", sql=f"""SELECT series, day, CAST(year(day) AS INTEGER) AS year,
+  CAST(month(day) AS INTEGER) AS month, CAST(dayofmonth(day) AS INTEGER) AS day_of_month,
+  CAST(isodow(day) - 1 AS INTEGER) AS weekday FROM ({O.panel_sql()})""")
 def q_calendar_parts(spark, sf):
     p = fixture_panel(spark, sf).select("series", "day")
     return fx.calendar_parts(p, "day")
 
 
-@register("cyclical", sql=f"""SELECT series, day, month(day) AS month,
+@register("cyclical", sql=f"""SELECT series, day, CAST(month(day) AS INTEGER) AS month,
   {O.r('sin(2 * pi() * month(day) / 12)')} AS month_sin, {O.r('cos(2 * pi() * month(day) / 12)')} AS month_cos
   FROM ({O.panel_sql()})""")
 def q_cyclical(spark, sf):
@@ -383,14 +384,14 @@ def _cmp_sql() -> str:
 
 
 @register("rank_models", sql=_cmp_sql() + f""" SELECT fold, model, {O.r('r2')} AS r2,
-  row_number() OVER (PARTITION BY fold ORDER BY r2 DESC, model_order) AS rank FROM sc""")
+  CAST(row_number() OVER (PARTITION BY fold ORDER BY r2 DESC, model_order) AS INTEGER) AS rank FROM sc""")
 def q_rank_models(spark, sf):
     r = selection.rank_models(_cmp_scores(spark, sf))
     return r.select("fold", "model", R("r2").alias("r2"), "rank")
 
 
 _BOARD_SQL = _cmp_sql() + """, b AS (SELECT model, model_order, avg(r2) AS mean, stddev_pop(r2) AS std FROM sc GROUP BY model, model_order),
-  bp AS (SELECT *, row_number() OVER (ORDER BY mean DESC, model_order) AS position FROM b)"""
+  bp AS (SELECT *, CAST(row_number() OVER (ORDER BY mean DESC, model_order) AS INTEGER) AS position FROM b)"""
 
 
 @register("leaderboard", sql=_BOARD_SQL + f" SELECT model, {O.r('mean')} AS mean, {O.r('std')} AS std, position FROM bp")

@@ -106,7 +106,8 @@ def q_selected_vs_eliminated(spark, sf):
 
 @register("coef_by_abs", sql=f"""WITH {_ZBASE}, co AS (SELECT {O.coef_cols(2)} FROM st),
   t AS (SELECT '{F_TWO[0]}' AS term, w1 AS c FROM co UNION ALL SELECT '{F_TWO[1]}', w2 FROM co)
-  SELECT term, {O.r('c')} AS coef, row_number() OVER (ORDER BY abs(c) DESC, term) AS position FROM t WHERE c <> 0""")
+  SELECT term, {O.r('c')} AS coef, CAST(row_number() OVER (ORDER BY abs(c) DESC, term) AS INTEGER) AS position
+  FROM t WHERE c <> 0""")
 def q_coef_by_abs(spark, sf):
     m = linear.fit_linear(_dz(spark, sf), Z, "y", "ols")
     t = spark.createDataFrame([(NAMES[z], c) for z, c in m.coef_rows()], "term string, coef double")
@@ -175,7 +176,7 @@ def _board(spark, cands, scores) -> DataFrame:
 @register("grid_search", sql=f"""WITH {_zf_sql()}, {_cv_grid_sql('ridge')},
   b AS (SELECT alpha_idx, alpha, avg(r2) AS m, stddev_pop(r2) AS s FROM gsc GROUP BY alpha_idx, alpha)
   SELECT alpha_idx AS candidate, alpha, {O.r('m')} AS mean_r2, {O.r('s')} AS std_r2,
-    row_number() OVER (ORDER BY m DESC, alpha_idx) AS rank FROM b""")
+    CAST(row_number() OVER (ORDER BY m DESC, alpha_idx) AS INTEGER) AS rank FROM b""")
 def q_grid_search(spark, sf):
     cands, scores = _search(spark, sf, "ridge")
     b = _board(spark, cands, scores)
@@ -226,7 +227,7 @@ N_DRAW = 4
 def _rgrid_sql() -> str:
     rows = ", ".join(f"({i}, CAST('{c['alpha']!r}' AS DOUBLE), '{c['kind']}')"
                      for i, c in enumerate(splits.grid_candidates(_RGRID)))
-    return (f"(SELECT candidate AS alpha_idx, alpha, kind, row_number() OVER (ORDER BY md5(CAST(candidate AS VARCHAR) || '|{SEED}')) - 1 AS draw "
+    return (f"(SELECT candidate AS alpha_idx, alpha, kind, CAST(row_number() OVER (ORDER BY md5(CAST(candidate AS VARCHAR) || '|{SEED}')) - 1 AS INTEGER) AS draw "
             f"FROM (VALUES {rows}) v(candidate, alpha, kind) ORDER BY md5(CAST(candidate AS VARCHAR) || '|{SEED}') LIMIT {N_DRAW})")
 
 
@@ -394,7 +395,7 @@ def q_score_stream(spark, sf):
 @register("save_study", sql=f"""WITH {_zf_sql()}, {_cv_grid_sql('ridge')},
   b AS (SELECT alpha_idx, alpha, avg(r2) AS m, stddev_pop(r2) AS s FROM gsc GROUP BY alpha_idx, alpha)
   SELECT alpha_idx AS candidate, alpha, {O.r('m')} AS mean_r2, {O.r('s')} AS std_r2,
-    row_number() OVER (ORDER BY m DESC, alpha_idx) AS rank FROM b""")
+    CAST(row_number() OVER (ORDER BY m DESC, alpha_idx) AS INTEGER) AS rank FROM b""")
 def q_save_study(spark, sf):
     cands, scores = _search(spark, sf, "ridge")
     b = _board(spark, cands, scores)
