@@ -95,3 +95,28 @@ def test_assemble_raises_on_null(spark):
     df = spark.createDataFrame([(1.0, 2.0), (None, 3.0)], "a double, b double")
     with pytest.raises(Exception):
         fx.assemble(df, ["a", "b"]).collect()
+
+
+def test_drop_columns_strict_and_lenient(spark):
+    from panelcast.sources import io
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    with pytest.raises(ValueError):
+        io.drop_columns(df, ["c"], strict=True)
+    assert io.drop_columns(df, ["b", "c"], strict=False).columns == ["a"]
+
+
+def test_read_panel_failfast_and_required(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from panelcast.sources import io
+    p = tmp_path / "bad.csv"
+    p.write_text("series,day,y\na,2020-01-01,1\nb,not-a-date,2\n")
+    schema = T.StructType([T.StructField("series", T.StringType()), T.StructField("day", T.DateType()),
+                           T.StructField("y", T.LongType())])
+    with pytest.raises(Exception):
+        io.read_panel(spark, str(p), schema=schema, fmt="csv").collect()
+    good = tmp_path / "good.csv"
+    good.write_text("series,day,y\na,2020-01-01,1\n")
+    assert io.read_panel(spark, str(good), schema=schema, fmt="csv", required=["y"]).count() == 1
+    with pytest.raises(ValueError):
+        io.read_panel(spark, str(good), schema=schema, fmt="csv", required=["x"])
