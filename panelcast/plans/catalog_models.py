@@ -420,33 +420,50 @@ def _pca(spark, sf):
     return d, pca_op.pca(d, F_PCA)
 
 
-@register("pca")
+_PCA_SRC = f"p AS ({O.panel_sql()} HAVING " + " AND ".join(f"{c} IS NOT NULL" for c in F_PCA) + ")"
+_PCA_WITH = (f"WITH RECURSIVE {_PCA_SRC}, "
+             + O.pca_ctes("p", F_PCA, [DISPLAY.get(c, c) for c in F_PCA]))
+_PCA_RATIO = ", r AS (SELECT component, greatest(lam, 0) / t AS ratio FROM ord, tot)"
+_PCA_CUM = _PCA_RATIO + (", cu AS (SELECT component, ratio, sum(ratio) OVER (ORDER BY component "
+                         "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative FROM r)")
+_ZS = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{i}" for i, c in enumerate(F_PCA))
+_PCS = ", ".join(
+    O.r(" + ".join(f"z{r} * l[{(k - 1) * len(F_PCA) + r + 1}]" for r in range(len(F_PCA)))) + f" AS pc{k}"
+    for k in range(1, len(F_PCA) + 1))
+
+
+@register("pca", sql=_PCA_WITH + f""", z AS (SELECT series, day, {_ZS} FROM p),
+  lv AS (SELECT list(loading ORDER BY component, var_idx) AS l FROM load)
+  SELECT series, day, {_PCS} FROM z, lv""")
 def q_pca(spark, sf):
     d, m = _pca(spark, sf)
     out = m.transform(d.select("series", "day", *F_PCA))
     return out.select("series", "day", *[R(f"pc{k + 1}").alias(f"pc{k + 1}") for k in range(len(F_PCA))])
 
 
-@register("pca_loadings")
+@register("pca_loadings", sql=_PCA_WITH + f""" SELECT variable, 'PC' || component AS component,
+  component AS component_no, {O.r('loading')} AS loading FROM load""")
 def q_pca_loadings(spark, sf):
     d, m = _pca(spark, sf)
     return m.loadings(spark, DISPLAY).withColumn("loading", R("loading"))
 
 
-@register("explained_variance")
+@register("explained_variance", sql=_PCA_WITH + _PCA_RATIO + f" SELECT component, {O.r('ratio')} AS ratio FROM r")
 def q_explained_variance(spark, sf):
     d, m = _pca(spark, sf)
     return m.explained(spark).select("component", R("ratio").alias("ratio"))
 
 
-@register("cumulative_variance")
+@register("cumulative_variance", sql=_PCA_WITH + _PCA_CUM
+          + f" SELECT component, {O.r('ratio')} AS ratio, {O.r('cumulative')} AS cumulative FROM cu")
 def q_cumulative_variance(spark, sf):
     d, m = _pca(spark, sf)
     return charts.cumulative(m.explained(spark)).select("component", R("ratio").alias("ratio"),
                                                         R("cumulative").alias("cumulative"))
 
 
-@register("variance_labels")
+@register("variance_labels", sql=_PCA_WITH + _PCA_CUM
+          + " SELECT component, printf('%.1f%%', cumulative * 100) AS label FROM cu")
 def q_variance_labels(spark, sf):
     d, m = _pca(spark, sf)
     return charts.variance_labels(charts.cumulative(m.explained(spark))).select("component", "label")

@@ -115,3 +115,51 @@ def ridge2_ws(alpha: str = "alpha") -> tuple[str, str]:
     lam = f"(({alpha}) / n)"
     d = f"((a11 + {lam}) * (a22 + {lam}) - a12 * a12)"
     return (f"(((a22 + {lam}) * c1 - a12 * c2) / {d})", f"(((a11 + {lam}) * c2 - a12 * c1) / {d})")
+
+
+# ------------------------------------------------------------------- PCA
+def _rot_b(m: str, i: str, j: str, n: int) -> str:
+    """Element (i, j) of M times the Jacobi rotation in plane (pp, qq)."""
+    return (f"(CASE WHEN ({j}) = pp THEN {m}[({i})*{n}+pp+1]*c - {m}[({i})*{n}+qq+1]*s "
+            f"WHEN ({j}) = qq THEN {m}[({i})*{n}+pp+1]*s + {m}[({i})*{n}+qq+1]*c ELSE {m}[({i})*{n}+({j})+1] END)")
+
+
+def _rot_a(i: str, j: str, n: int) -> str:
+    """Element (i, j) of J' A J."""
+    return (f"(CASE WHEN ({i}) = pp THEN c*{_rot_b('a', 'pp', j, n)} - s*{_rot_b('a', 'qq', j, n)} "
+            f"WHEN ({i}) = qq THEN s*{_rot_b('a', 'pp', j, n)} + c*{_rot_b('a', 'qq', j, n)} "
+            f"ELSE {_rot_b('a', i, j, n)} END)")
+
+
+def pca_ctes(src: str, cols: list[str], names: list[str], iters: int = 200) -> str:
+    """Eigen-decomposition of the correlation matrix of ``cols`` over the
+    relation ``src`` by the classical Jacobi method (one rotation of the
+    largest off-diagonal element per recursion step; matrix and rotations
+    kept as row-major lists).  Defines ``fin`` (final matrices), ``ord``
+    (eigen index i, eigenvalue lam, component by descending eigenvalue),
+    ``tot`` (sum of eigenvalues) and ``load`` (component, var_idx, variable,
+    loading with its largest absolute entry made positive)."""
+    n = len(cols)
+    ident = "CAST([" + ", ".join("1" if i == j else "0" for i in range(n) for j in range(n)) + "] AS DOUBLE[])"
+    corr = "[" + ", ".join(f"corr({a}, {b})" for a in cols for b in cols) + "]"
+    tn, tm = f"t // {n}", f"t % {n}"
+    names_list = "[" + ", ".join(f"'{x}'" for x in names) + "]"
+    return f"""it(k, a, v) AS (
+  SELECT 0, {corr}, {ident} FROM {src}
+  UNION ALL
+  SELECT k + 1, list_transform(range({n * n}), lambda t: {_rot_a(tn, tm, n)}),
+    list_transform(range({n * n}), lambda t: {_rot_b('v', tn, tm, n)})
+  FROM (SELECT k, a, v, pp, qq, cos(th) AS c, sin(th) AS s FROM (
+    SELECT k, a, v, pp, qq, 0.5 * atan2(2 * a[pp*{n}+qq+1], a[qq*{n}+qq+1] - a[pp*{n}+pp+1]) AS th FROM (
+      SELECT k, a, v, (km - 1) // {n} AS pp, (km - 1) % {n} AS qq FROM (
+        SELECT k, a, v, list_position(off, list_max(off)) AS km FROM (
+          SELECT k, a, v, list_transform(a, lambda x, i: CASE WHEN (i - 1) // {n} < (i - 1) % {n} THEN abs(x) ELSE 0.0 END) AS off
+          FROM it WHERE k < {iters})))))),
+fin AS (SELECT a, v FROM it WHERE k = {iters}),
+ev AS (SELECT r.i, fin.a[r.i * {n} + r.i + 1] AS lam FROM fin, range({n}) r(i)),
+ord AS (SELECT i, lam, CAST(row_number() OVER (ORDER BY lam DESC) AS INTEGER) AS component FROM ev),
+tot AS (SELECT sum(greatest(lam, 0)) AS t FROM ev),
+vec AS (SELECT o.component, r.j AS var_idx, fin.v[r.j * {n} + o.i + 1] AS val FROM ord o, fin, range({n}) r(j)),
+sgn AS (SELECT component, arg_max(val, abs(val)) AS big FROM vec GROUP BY component),
+load AS (SELECT vec.component, vec.var_idx, {names_list}[vec.var_idx + 1] AS variable, val * sign(big) AS loading
+         FROM vec JOIN sgn ON vec.component = sgn.component)"""
