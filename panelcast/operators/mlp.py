@@ -24,6 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Task functions below call this module's helpers; ship them by value so
+# executors need not import the package (spark-submit --py-files or
+# session.ship_package make it importable as well).
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass
+
 CHUNK = 4096
 DIRECT_MAX = 4_000_000   # partitions x parameters up to which partials go straight to the driver
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)

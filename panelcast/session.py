@@ -90,3 +90,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
     return bool(p.getFileSystem(conf).exists(p))
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``panelcast`` importable by Python workers: zip the package once
+    per application on the driver and ``addPyFile`` it; Spark serves the
+    file to every executor (what ``spark-submit --py-files`` does).  A no-op
+    when already shipped."""
+    import shutil
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = tempfile.mkdtemp(prefix="panelcast-pkg-")
+    archive = shutil.make_archive(os.path.join(base, "panelcast"), "zip", os.path.dirname(pkg), "panelcast")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
