@@ -19,6 +19,8 @@ def main():
     from panelcast.session import get_session
     spark = get_session(f"local[{cpus}]", app="panelcast-bench", shuffle_partitions=int(cpus) * 2)
     spark.sparkContext.setLogLevel("ERROR")
+    from panelcast.session import ship_package
+    ship_package(spark)
 
     from panelcast.functions.metrics import metrics
     from panelcast.operators import linear, splits
