@@ -46,3 +46,21 @@ def test_presets_have_reference_sizes():
     assert len(splits.grid_candidates(presets.FOREST_GRID)) == 324
     assert len(splits.grid_candidates(presets.BOOST_LOG_GRID)) == 192
     assert len(splits.grid_candidates(presets.BOOST_SPACE)) == 5184
+
+
+def test_runs_from_a_bare_session_in_another_folder(tmp_path):
+    """Workers must not depend on the driver's working folder."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.showConsoleProgress', 'false').getOrCreate()\n"
+        "s.sparkContext.setLogLevel('ERROR')\n"
+        "import __spark_entry__ as e\n"
+        "print('ENTRY', len(e.entry(s).collect()))\n"
+        "print('MLP', e.queries()['mlp_regression'](s, '/root/testdata/sf0.001').count())\n" % repo)
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True, timeout=600)
+    assert "ENTRY 5" in out.stdout and "MLP 1" in out.stdout, out.stderr[-2000:]
