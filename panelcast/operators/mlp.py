@@ -205,6 +205,12 @@ def fit_mlp(df: DataFrame, features: list[str], label: str, cfg: MLPConfig,
     n_chunks = (P + CHUNK - 1) // CHUNK
     data = df.select(*feats, F.col(label).cast("double").alias("__y"),
                      F.col(valid).alias("__v"), F.col(rowkey).alias("__k"))
+    # read once per epoch: keep only these columns, in at most two tasks per
+    # core of the cluster (coalesce is narrow: no shuffle)
+    target = max(1, 2 * spark.sparkContext.defaultParallelism)
+    if data.rdd.getNumPartitions() > target:
+        data = data.coalesce(target)
+    data = data.persist()
     if reduce == "auto":
         reduce = "direct" if data.rdd.getNumPartitions() * (P + 4) <= DIRECT_MAX else "chunks"
     schema = "chunk int, g array<double>"
@@ -292,6 +298,7 @@ def fit_mlp(df: DataFrame, features: list[str], label: str, cfg: MLPConfig,
         m = b1 * m + (1 - b1) * grad
         v = b2 * v + (1 - b2) * grad * grad
         theta = theta - lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
+    data.unpersist()
     return MLPFit(feats, cfg, best_theta, history)
 
 

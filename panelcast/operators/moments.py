@@ -80,7 +80,13 @@ def fold_gram(df: DataFrame, cols: list[str], target: str, by: list[str] | tuple
             out.update({"block": np.arange(n_blocks, dtype="int32"), "v": list(blocks)})
             yield pd.DataFrame(out)
 
-    parts = df.select(*by, *names).mapInPandas(partial, schema)
+    src = df.select(*by, *names)
+    # each task emits one set of partials: at most two tasks per core keeps
+    # the shuffle small without idling the cluster (coalesce: no shuffle)
+    target = max(1, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    if src.rdd.getNumPartitions() > target:
+        src = src.coalesce(target)
+    parts = src.mapInPandas(partial, schema)
     # one row per (task, group, block) is shuffled; BLOCK exact sums per row
     summed = parts.groupBy(*by, "block").agg(
         F.array(*[F.sum(F.col("v")[t]) for t in range(BLOCK)]).alias("s"))
