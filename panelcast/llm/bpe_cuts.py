@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pre-tokenizer of the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -185,7 +186,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
                     yield pa.RecordBatch.from_arrays([*kept.columns[:-1], col], names=[*batch.schema.names[:-1], ids])
                     got, first, n = [], k + 1, 0
 
-    schema = src.drop("__text").schema.add(ids, "array<int>")
+    schema = T.StructType([*src.drop("__text").schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     return src.mapInArrow(run, schema)
 
 
@@ -201,7 +202,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "text",
             texts = [c.decode(flat[a:b].tolist()) for a, b in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
-    return src.mapInArrow(run, src.schema.add(text, "string"))
+    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def digests(decoded: DataFrame, keep=("doc_id",)) -> DataFrame:
