@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 #: Pre-tokenizer of the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-MEMO = 400_000          # fragments remembered per worker; more only cost time
+MEMO = 200_000          # fragments remembered per worker; more only cost time
 FLUSH_IDS = 4_000_000   # ids per Arrow batch handed back
 
 
@@ -63,12 +63,6 @@ class Codec:
                      for r, (a, b) in enumerate(merges)}
         self.cut = cut_table(self.token.values())
         self.quick = self.native_pieces()
-        size = max([*self.token, *self.special.values()]) + 1
-        self.out = [b""] * size
-        for i, b in self.token.items():
-            self.out[i] = b
-        for s, i in self.special.items():
-            self.out[i] = s.encode()
         self.pieces = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.memo = Memo(self)
@@ -129,9 +123,6 @@ class Codec:
                 out.extend(map(self.memo.__getitem__, self.fragments(part.encode("utf-8"))))
         return np.fromiter(chain.from_iterable(out), np.int32)
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
-
 
 class Memo(dict):
     def __init__(self, codec: Codec):
@@ -158,6 +149,17 @@ def cut_table(tokens) -> np.ndarray:
     return (free & usable).ravel()
 
 
+def decoder(path: str):
+    """ids -> text, from the vocabulary alone."""
+    spec = json.load(open(path, encoding="utf-8"))
+    chars, special = byte_chars(), {t["content"]: t["id"] for t in spec["added_tokens"]}
+    entries = {**spec["model"]["vocab"], **special}
+    out = [b""] * (max(entries.values()) + 1)
+    for t, i in entries.items():
+        out[i] = t.encode() if t in special else bytes(chars[c] for c in t)
+    return lambda ids: b"".join(map(out.__getitem__, ids)).decode("utf-8", "replace")
+
+
 _CODECS: dict[str, Codec] = {}
 
 
@@ -195,11 +197,11 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "text",
     src = df.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias(ids))
 
     def run(batches):
-        c = codec(vocabulary)
+        text_of = decoder(vocabulary)
         for batch in batches:
             col = batch.column(batch.num_columns - 1)
             flat, off = col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))])
-            texts = [c.decode(flat[a:b].tolist()) for a, b in zip(off[:-1], off[1:])]
+            texts = [text_of(flat[a:b].tolist()) for a, b in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(text, T.StringType())]))

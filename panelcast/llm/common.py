@@ -58,8 +58,10 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make the package importable on the workers and set the shared folder."""
+    """Make the package importable on the workers, set the shared folder, and
+    bound the bytes (not only the rows) that Python gets at a time."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     ensure_checkpoint_dir(spark)
 
 

@@ -26,10 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out
+from .common import bounded_sample, fresh, held_out
 
 DIM = 512
 MAX_TRAIN = 20_000
+MIN_SCORE = 0.05        # below, a text is in no learned language (the noise of DIM is 0.04)
 UNIT = 1 << 20          # prototypes are sums of unit vectors in this fixed point
 CELLS = 4_000_000       # of the table letters x letter pairs held at a time
 
@@ -197,3 +198,12 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM,
     src = docs.select("doc_id", "text")
     return (src.withColumn("__p", predictor(prototypes, dim)("text"))
             .select("doc_id", held_out(modulus, rest).alias("held_out"), "__p.lang_pred", "__p.score"))
+
+
+def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs``, all columns, in a learned language; where none is
+    learned, those with a letter."""
+    if not prototypes:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    p = fresh(docs, "language")
+    return docs.withColumn(p, predictor(prototypes)("text")).where((F.col(p)["lang_pred"] != "und") & (F.col(p)["score"] >= least)).drop(p)
