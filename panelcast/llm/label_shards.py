@@ -7,9 +7,10 @@ their group, under quotas that keep the shards' row counts even: the law is
 
 The graph is kept in cells: the documents of one group that start on the same
 shard move together.  In each iteration a cell asks for the shard where its
-group is strongest among those with room; a shard's room is what its quota
-leaves beside the linked documents that it holds, as unlinked ones can always
-give way.  If more asks than fits, a hash of group and shard decides, the same
+group is strongest (a group larger than a quota: for several shards).  A
+shard's room is what its quota leaves beside the linked documents that it
+holds, as unlinked ones can always give way; it takes what fits into its room
+and what leaves it.  If more asks, a hash of group and shard decides, the same
 for all cells of a group.  At last rows beyond a shard's quota, unlinked ones
 first, fill the gaps of the others, in an order given by prefix sums over
 buckets, so that no shard is ever ranked in one task.
@@ -25,7 +26,7 @@ shards empty; an empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_staged, maybe_broadcast, staged
@@ -55,58 +56,82 @@ def quotas(n: int, shards: int) -> list[int]:
     return [n // shards + (s < n % shards) for s in range(shards)]
 
 
+def shares(flow: dict, room: list[int]) -> list[float]:
+    """For each shard the share of the rows asking for it that it can take:
+    what comes in may not exceed its room and what goes out.  ``flow`` has the
+    rows that ask, by (from, to): at most shards squared numbers."""
+    n = len(room)
+    share = [1.0] * n
+    for _ in range(200):
+        for t in range(n):
+            come = share[t] * sum(flow.get((s, t), 0) for s in range(n))
+            go = sum(share[u] * flow.get((t, u), 0) for u in range(n))
+            if come > max(0, room[t] + go):
+                share[t] *= max(0, room[t] + go) / come
+    return share
+
+
+def _pick(values, col) -> Column:
+    """The value that belongs to a shard number."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), col + 1)
+
+
 def propagate(rows: DataFrame, quota: list[int], rounds: int = ROUNDS) -> tuple[DataFrame, list[int]]:
-    """(g, start, shard) of every cell, and the cut links of each iteration: a
-    group's documents outside the shard that holds most of it."""
-    shards = len(quota)
+    """(g, start, shard) of every cell, and the cut links before each
+    iteration: a group's documents outside the shard that holds most of it."""
     cells = staged(rows.where("g is not null").groupBy("g", "start").agg(F.count("*").alias("c")).withColumn("shard", F.col("start")), "shard-cells")
     cuts = []
     for r in range(rounds):
-        held = cells.groupBy("g", "shard").agg(F.sum("c").alias("here"))
-        held = staged(held, "shard-held")
+        held = staged(cells.groupBy("g", "shard").agg(F.sum("c").alias("here")), "shard-held")
         per = {x["shard"]: x["n"] for x in held.groupBy("shard").agg(F.sum("here").alias("n")).collect()}
         total, kept = held.groupBy("g").agg(F.sum("here").alias("t"), F.max("here").alias("m")).agg(F.sum("t"), F.sum("m")).first()
         cuts.append((total or 0) - (kept or 0))
         room = [q - per.get(s, 0) for s, q in enumerate(quota)]
-        space = F.element_at(F.array(*[F.lit(int(x)) for x in room]), F.col("shard") + 1)
-        # the group's strongest shard with room; a hash breaks ties, so that groups spread
-        best = (held.where(space > 0).groupBy("g")
-                .agg(F.max(F.struct("here", F.xxhash64("g", "shard").alias("t"), "shard")).alias("b"))
-                .select("g", F.col("b.shard").alias("to"), F.col("b.here").alias("strength")))
-        asks = (cells.join(best, "g").join(held, ["g", "shard"])
-                .where((F.col("to") != F.col("shard")) & ((F.col("strength") > F.col("here")) | ((F.col("strength") == F.col("here")) & (F.xxhash64("g", "to") > F.xxhash64("g", "shard"))))))
-        asks = staged(asks.select("g", "start", "to", "c"), "shard-asks")
-        fits = asks.where(F.col("c") <= F.element_at(F.array(*[F.lit(int(x)) for x in room]), F.col("to") + 1))
-        wanted = {x["to"]: x["n"] for x in fits.groupBy("to").agg(F.sum("c").alias("n")).collect()}
-        if not wanted:
-            drop_staged(held)
-            break
-        share = F.element_at(F.array(*[F.lit(min(1.0, 0.95 * max(0, room[s]) / wanted[s]) if wanted.get(s) else 0.0) if wanted.get(s, 0) > room[s] else F.lit(1.0)
-                                       for s in range(shards)]), F.col("to") + 1)
-        luck = F.pmod(F.xxhash64(F.lit(r), "g", "to"), F.lit(1 << 20)) / float(1 << 20)
-        moves = fits.where(luck < share).select("g", "start", "to")
+        open_ = F.lit(True) if r % 2 == 0 else _pick([x > 0 for x in room], F.col("shard"))
+        # a group's shards, strongest first; a hash that changes with the round
+        # breaks ties, so that groups spread.  At most as many as there are shards.
+        luck = F.pmod(F.xxhash64(F.lit(r), "g", "shard"), F.lit(1 << 20))
+        likes = (held.where(open_).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("here", luck.alias("t"), "shard")), asc=False).alias("to")))
+        # a group larger than a quota takes several shards, each up to its quota
+        own = Window.partitionBy("g").orderBy("rank", "start").rowsBetween(Window.unboundedPreceding, -1)
+        asks = (cells.join(likes, "g").withColumn("rank", F.array_position(F.col("to.shard"), F.col("shard")))
+                .withColumn("rank", F.when(F.col("rank") == 0, len(quota) + 1).otherwise(F.col("rank")))
+                .withColumn("before", F.coalesce(F.sum("c").over(own), F.lit(0)))
+                .withColumn("to", F.try_element_at(F.col("to.shard"), (F.floor(F.col("before") / max(1, max(quota))) + 1).cast("int")))
+                .where("to is not null and to <> shard"))
+        asks = staged(asks.select("g", "start", "shard", "to", "c"), "shard-asks")
+        flow = {(x["shard"], x["to"]): x["n"] for x in asks.groupBy("shard", "to").agg(F.sum("c").alias("n")).collect()}
+        share = shares(flow, room)
+        chance = F.pmod(F.xxhash64(F.lit(~r), "g", "to"), F.lit(1 << 20)) / float(1 << 20)
+        moves = asks.where(chance < _pick(share, F.col("to"))).select("g", "start", "to")
         new = staged(cells.join(moves, ["g", "start"], "left").select("g", "start", "c", F.coalesce("to", "shard").alias("shard")), "shard-cells")
-        drop_staged(cells)
-        drop_staged(held)
-        drop_staged(asks)
+        for old in (cells, held, asks):
+            drop_staged(old)
         cells = new
+        if not flow:
+            break
     return cells.select("g", "start", "shard"), cuts
 
 
 def ranked(rows: DataFrame, n: int) -> DataFrame:
-    """Rank (from 0) of each row within its shard: linked rows first, by the
-    hash order.  Buckets of the hash are ranked apart and placed by the sums of
-    the buckets before them; of equal hashes any order will do."""
+    """Rank (from 0) of each row within its shard: linked rows first, groups
+    together in a hash order.  Buckets of that order, cut further where a hot
+    group fills one, are ranked apart and placed by the sums of the buckets
+    before them; of equal rows any order will do."""
     buckets = max(1, n // BUCKET_ROWS)
     rows = rows.withColumn("free", F.col("g").isNull().cast("int"))
-    rows = rows.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
+    rows = rows.withColumn("order", F.when(F.col("free") == 1, F.col("h")).otherwise(F.xxhash64(F.lit("group"), "g")))
+    rows = rows.withColumn("bucket", F.pmod(F.col("order"), F.lit(buckets)))
     cut = ["shard", "free", "bucket"]
+    parts = staged(rows.groupBy(*cut).agg(F.ceil(F.count("*") / BUCKET_ROWS).alias("parts")), "shard-parts")
+    rows = rows.join(maybe_broadcast(parts, parts.count()), cut).withColumn("part", F.pmod(F.col("h"), F.col("parts"))).drop("parts")
+    cut.append("part")
     counts = staged(rows.groupBy(*cut).agg(F.count("*").alias("n")), "shard-buckets")
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("free", "bucket")) - F.col("n")
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("free", "bucket", "part")) - F.col("n")
     places = counts.select(*cut, before.alias("base"))
-    own = F.row_number().over(Window.partitionBy(*cut).orderBy("h", "doc_id"))
+    own = F.row_number().over(Window.partitionBy(*cut).orderBy("order", "h", "doc_id"))
     return (rows.withColumn("own", own).join(maybe_broadcast(places, counts.count()), cut)
-            .withColumn("rank", F.col("base") + F.col("own") - 1).drop("own", "base", "free", "bucket"))
+            .withColumn("rank", F.col("base") + F.col("own") - 1).select("doc_id", "size", "text_crc32", "shard", "rank"))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
