@@ -24,8 +24,9 @@ def qi(name: str) -> str:
 
 # ---------------------------------------------------------------- scaling
 class StandardizerModel:
-    """``(x - mean) / std`` with population std; a zero std scales by 1
-    (so a constant column becomes 0), the usual standard-scaler rule."""
+    """``(x - mean) / std`` with population std; a column whose smallest and
+    largest value are equal has std 0 (whatever rounding leaves of it) and
+    scales by 1, so it becomes 0 up to rounding, the usual standard-scaler rule."""
 
     def __init__(self, cols: list[str], means: list[float], stds: list[float], suffix: str = ""):
         self.cols, self.means, self.stds, self.suffix = list(cols), list(means), list(stds), suffix
@@ -68,13 +69,18 @@ def moments(df: DataFrame, cols: list[str], by: list[str] | tuple = ()) -> DataF
     return wide.selectExpr(*by, f"stack({len(cols)}, {stack}) AS (variable, mean, std)")
 
 
+def spread(col: str) -> Column:
+    """Population std as an aggregate; exactly 0 for a constant column."""
+    return F.when(F.min(col) == F.max(col), F.lit(0.0)).otherwise(F.stddev_pop(col))
+
+
 class Standardizer:
     def __init__(self, cols: list[str], suffix: str = ""):
         self.cols, self.suffix = list(cols), suffix
 
     def fit(self, df: DataFrame) -> StandardizerModel:
         row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(self.cols)],
-                     *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(self.cols)]).first()
+                     *[spread(c).alias(f"s{i}") for i, c in enumerate(self.cols)]).first()
         means = [row[f"m{i}"] for i in range(len(self.cols))]
         stds = [row[f"s{i}"] for i in range(len(self.cols))]
         if any(m is None for m in means):

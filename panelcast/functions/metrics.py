@@ -16,7 +16,8 @@ def metrics(pred: DataFrame, label: str = "y", prediction: str = "prediction",
             F.avg(F.abs(e)).alias("mae"),
             F.avg(e * e).alias("mse"),
             F.sum(e * e).alias("_sse"),
-            (F.var_pop(F.col(label).cast("double")) * F.count(F.lit(1))).alias("_sst")]
+            # a constant truth has no spread, whatever rounding leaves of it
+            F.when(F.min(label) < F.max(label), F.var_pop(F.col(label).cast("double")) * F.count(F.lit(1))).alias("_sst")]
     g = pred.groupBy(*by).agg(*aggs) if by else pred.agg(*aggs)
     return (g.withColumn("rmse", F.sqrt("mse"))
              .withColumn("r2", F.lit(1.0) - F.try_divide(F.col("_sse"), F.when(F.col("_sst") > 0, F.col("_sst"))))

@@ -17,6 +17,8 @@ pass per fold.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -25,9 +27,11 @@ from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expand import Standardizer, StandardizerModel, poly_names, poly_sql, poly_terms, qi
+from ..functions.expand import Standardizer, StandardizerModel, poly_names, poly_sql, poly_terms, qi, spread
+from ..session import path_exists
 from . import trees as tr
 from .linear import GramSet, LinearFit
+from .mlp import identity
 
 LINEAR = ("ols", "ridge", "lasso")
 
@@ -101,7 +105,7 @@ def _moments(spec: ModelSpec, df: DataFrame, target: str, scaler: StandardizerMo
     for i, c in enumerate(feats):
         aggs.append(F.avg(c).alias(f"__m{i}"))
         if need_scaler:
-            aggs.append(F.stddev_pop(c).alias(f"__s{i}"))
+            aggs.append(spread(c).alias(f"__s{i}"))
     row = df.agg(*aggs).first()
     if need_scaler:
         scaler = StandardizerModel(feats, [row[f"__m{i}"] for i in range(len(feats))],
@@ -184,31 +188,81 @@ def _single_pass_ok(spec: ModelSpec, scale_scope: str) -> bool:
     return spec.kind in LINEAR and (scale_scope == "global" or spec.kind == "ols" or not spec.scale)
 
 
-def _fold_jobs(spec: ModelSpec, df: DataFrame, target: str, fold: str, scale_scope: str, cols: list[str],
-               progress: str | None = None):
-    """One callable per fold: fit on the other folds, predict this one.
+def fold_scalers(df: DataFrame, features: list[str], fold: str) -> dict:
+    """The scaler of every fold's training rows (all other folds), from one
+    aggregation by fold: counts, means and variances of groups add up."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(features):
+        aggs += [F.avg(c).alias(f"m{i}"), F.var_pop(c).alias(f"v{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")]
+    rows = df.groupBy(fold).agg(*aggs).collect()         # one row per fold
+    out = {}
+    for f in sorted(r[fold] for r in rows):
+        rest = [r for r in rows if r[fold] != f]
+        means, stds = [], []
+        for i in range(len(features)):
+            n = sum(r["n"] for r in rest)
+            mean = sum(r["n"] * r[f"m{i}"] for r in rest) / n if n else 0.0
+            var = sum(r["n"] * (r[f"v{i}"] + (r[f"m{i}"] - mean) ** 2) for r in rest) / n if n else 0.0
+            flat = not rest or min(r[f"a{i}"] for r in rest) == max(r[f"b{i}"] for r in rest)
+            means.append(float(mean))
+            stds.append(0.0 if flat else float(var) ** 0.5)
+        out[f] = StandardizerModel(features, means, stds, "__z")
+    return out
+
 
-    With ``progress`` (a folder on shared storage) each fold's predictions
-    are written as a table there and read back: lineage is cut, and a rerun
-    after a failure reads finished folds instead of refitting them."""
-    from ..session import path_exists
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())   # k values
-    glob = Standardizer(spec.features, "__z").fit(df) if (spec.scale and spec.features
-                                                          and scale_scope == "global") else None
-    spark = df.sparkSession
+def fit_key(spec: ModelSpec) -> str:
+    """Hash of all that a fit depends on besides its rows.  Settings that come
+    to the same Spark model have the same key."""
+    kinds = spec.members if spec.kind == "voting" else [(spec.kind, spec.params)]
+    learners = [tr.effective(k, p, spec.strict, spec.seed) if k in tr.BUILDERS else [k, p] for k, p in kinds]
+    what = [spec.kind, learners, spec.features, spec.degree, spec.interaction_only, spec.bias, spec.scale, spec.log_target, spec.seed]
+    return hashlib.sha1(json.dumps(what, sort_keys=True, default=str).encode()).hexdigest()
+
+
+class _Folds:
+    """Fits of (setting, fold), each distinct one once, on a pool of threads.
+    With ``progress`` (a folder on shared storage) results are written there
+    under a hash of the setting, the rows and the fold rule, and a rerun reads
+    those; other settings or rows have other folders."""
+
+    def __init__(self, df, target, fold, scale_scope, progress, what):
+        self.df, self.target, self.fold, self.scope, self.progress = df, target, fold, scale_scope, progress
+        self.folds = sorted(r[0] for r in df.select(fold).distinct().collect())   # k values
+        self.scalers: dict = {}
+        self.rows = identity(df, target, fold, scale_scope, what) if progress else None
+
+    def prepare(self, spec: ModelSpec) -> None:
+        key = tuple(spec.features)
+        if not (spec.scale and spec.features) or key in self.scalers:
+            return
+        if self.scope == "global":
+            one = Standardizer(spec.features, "__z").fit(self.df)
+            self.scalers[key] = {f: one for f in self.folds}
+        else:
+            self.scalers[key] = fold_scalers(self.df, list(spec.features), self.fold)
 
-    def job(f):
-        path = f"{progress.rstrip('/')}/{spec.name}/fold={f}" if progress else None
+    def run(self, spec: ModelSpec, key: str, f, result) -> DataFrame:
+        spark = self.df.sparkSession
+        path = f"{self.progress.rstrip('/')}/{key}-{self.rows}/fold={f}" if self.progress else None
         if path and path_exists(spark, path):
             return spark.read.parquet(path)
-        m = fit(spec, df.where(F.col(fold) != f), target, glob)
-        pred = m.transform(df.where(F.col(fold) == f)).select(*cols, "prediction")
+        sc = self.scalers[tuple(spec.features)][f] if spec.scale and spec.features else None
+        m = fit(spec, self.df.where(F.col(self.fold) != f), self.target, sc)
+        out = result(m.transform(self.df.where(F.col(self.fold) == f)))
         if path:
-            pred.write.mode("overwrite").parquet(path)
+            out.write.mode("overwrite").parquet(path)
             return spark.read.parquet(path)
-        return pred
+        return out
 
-    return [lambda f=f: job(f) for f in folds]
+    def all(self, specs: list[ModelSpec], parallelism: int, result) -> dict:
+        """(key, fold) -> result(predictions) of the distinct settings."""
+        todo = {}
+        for s in specs:
+            self.prepare(s)
+            todo.setdefault(fit_key(s), s)
+        jobs = [(k, f) for k in todo for f in self.folds]
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+            return dict(zip(jobs, ex.map(lambda j: self.run(todo[j[0]], *j, result), jobs)))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -226,41 +280,72 @@ def cross_validate(spec: ModelSpec, df: DataFrame, target: str = "y", fold: str
     cols = [c for c in keep if c in df.columns] + [fold, target]
     if _single_pass_ok(spec, scale_scope):
         return _linear_single_pass(spec, df, target, fold, None).select(*cols, "prediction")
-    jobs = _fold_jobs(spec, df, target, fold, scale_scope, cols)
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        parts = list(ex.map(lambda j: j(), jobs))
-    return _union(parts)
+    pool = _Folds(df, target, fold, scale_scope, None, "predictions")
+    return _union(list(pool.all([spec], parallelism, lambda p: p.select(*cols, "prediction")).values()))
 
 
 def compare(specs: list[ModelSpec], df: DataFrame, target: str = "y", fold: str = "fold",
             scale_scope: str = "fold", parallelism: int = 2, keep: tuple = ("series", "day"),
             progress: str | None = None) -> DataFrame:
-    """Out-of-fold predictions of several models on the same folds, with
-    ``model`` and ``model_order`` (declaration order) columns.  Every
-    (model, fold) fit is submitted to one pool of ``parallelism`` concurrent
+    """Out-of-fold predictions of a few models on the same folds, with
+    ``model`` and ``model_order`` (declaration order) columns.  Every distinct
+    (setting, fold) is fitted once, on one pool of ``parallelism`` concurrent
     Spark jobs; linear models take their single Gram pass.  ``progress``:
-    shared folder where finished (model, fold) predictions are kept, so a
-    long search resumes after a failure (model names must be unique)."""
+    shared folder where finished predictions are kept, so a long comparison
+    resumes after a failure.  For searches over many candidates use
+    ``compare_scores``, which keeps one row of metrics per fit."""
     cols = [c for c in keep if c in df.columns] + [fold, target]
-    jobs, tags, parts = [], [], {}
+    learned = [s for s in specs if not _single_pass_ok(s, scale_scope)]
+    pool = _Folds(df, target, fold, scale_scope, progress, ["predictions", cols]) if learned else None
+    done = pool.all(learned, parallelism, lambda p: p.select(*cols, "prediction")) if learned else {}
+    out = None
     for i, s in enumerate(specs):
         if _single_pass_ok(s, scale_scope):
-            parts[i] = [_linear_single_pass(s, df, target, fold, None).select(*cols, "prediction")]
+            p = _linear_single_pass(s, df, target, fold, None).select(*cols, "prediction")
         else:
-            for j in _fold_jobs(s, df, target, fold, scale_scope, cols, progress):
-                jobs.append(j)
-                tags.append(i)
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        done = list(ex.map(lambda j: j(), jobs))
-    for i, p in zip(tags, done):
-        parts.setdefault(i, []).append(p)
-    out = None
-    for i, s in enumerate(specs):
-        p = _union(parts[i]).withColumn("model", F.lit(s.name)).withColumn("model_order", F.lit(i))
+            p = _union([done[fit_key(s), f] for f in pool.folds])
+        p = p.withColumn("model", F.lit(s.name)).withColumn("model_order", F.lit(i))
         out = p if out is None else out.unionByName(p)
     return out
 
 
+def compare_scores(specs: list[ModelSpec], df: DataFrame, target: str = "y", fold: str = "fold",
+                   scale_scope: str = "fold", parallelism: int = 2, progress: str | None = None,
+                   log: bool = False) -> DataFrame:
+    """n, MAE, MSE, RMSE and R2 by model and fold, for searches: each fit is
+    scored at once to one row, so no plan holds more than one fit.  ``log``
+    scores log1p of truth and prediction."""
+    from ..functions.metrics import metrics
+
+    def score(p: DataFrame) -> DataFrame:
+        if log:
+            p = p.withColumn(target, F.log1p(F.col(target).cast("double"))).withColumn("prediction", F.log1p("prediction"))
+        return metrics(p, target, "prediction")
+
+    learned = [s for s in specs if not _single_pass_ok(s, scale_scope)]
+    pool = _Folds(df, target, fold, scale_scope, progress, ["scores", log]) if learned else None
+    done = pool.all(learned, parallelism, lambda p: _local(score(p))) if learned else {}
+    done = {k: p.first().asDict() for k, p in done.items()}
+    names = ("n", "mae", "mse", "rmse", "r2")
+    rows = []
+    for i, s in enumerate(specs):
+        if _single_pass_ok(s, scale_scope):
+            p = _linear_single_pass(s, df, target, fold, None)
+            if log:
+                p = p.withColumn(target, F.log1p(F.col(target).cast("double"))).withColumn("prediction", F.log1p("prediction"))
+            found = {r[fold]: r.asDict() for r in metrics(p, target, "prediction", [fold]).collect()}
+        else:
+            found = {f: done[fit_key(s), f] for f in pool.folds}
+        rows += [(s.name, i, int(f), *(m[n] for n in names)) for f, m in sorted(found.items())]
+    return df.sparkSession.createDataFrame(
+        rows, "model string, model_order int, fold int, n long, mae double, mse double, rmse double, r2 double")
+
+
+def _local(one_row: DataFrame) -> DataFrame:
+    """Run a plan of one row now, inside the pool's thread."""
+    return one_row.sparkSession.createDataFrame(one_row.collect(), one_row.schema)
+
+
 def fold_scores(pred: DataFrame, target: str = "y", by=("model", "model_order", "fold")) -> DataFrame:
     from ..functions.metrics import metrics
     return metrics(pred, target, "prediction", list(by))

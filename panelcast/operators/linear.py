@@ -16,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expand import qi, sql_double
@@ -65,8 +65,12 @@ def _lasso_cd(C: np.ndarray, c: np.ndarray, n: float, alpha: float,
                 w[j] = nw
                 dmax = max(dmax, abs(d) * np.sqrt(diag[j]))
         if dmax <= tol * scale * (1.0 + np.abs(w).max(initial=0.0)):
-            break
-    return w
+            return w
+    raise NotConverged(f"Lasso did not converge in {max_sweeps} sweeps (alpha={alpha})")
+
+
+class NotConverged(RuntimeError):
+    pass
 
 
 def solve(s: Stats, kind: str, alpha: float = 0.0, w0=None) -> tuple[np.ndarray, float]:
@@ -89,7 +93,7 @@ def fold_score(test: Stats, w: np.ndarray, a: float) -> dict:
     return {"n": int(round(n)), "sse": sse, "sst": sst,
             "mse": sse / n if n else None,
             "rmse": float(np.sqrt(max(sse, 0.0) / n)) if n else None,
-            "r2": (1.0 - sse / sst) if sst > 0 else None}
+            "r2": (1.0 - sse / sst) if not test.constant_y() else None}
 
 
 @dataclass
@@ -170,6 +174,7 @@ def cv_scores(gs: GramSet, candidates: list[dict], fold_pos: int = 0,
         w_prev = None
         for ci, cand in enumerate(candidates):
             w, a = solve(train, cand["kind"], cand.get("alpha", 0.0), w0=w_prev if cand["kind"] == "lasso" else None)
+            w_prev = w if cand["kind"] == "lasso" else None
             sc = fold_score(test, w, a)
             out.append({"candidate": ci, "fold": int(f), **sc})
     return out
@@ -220,15 +225,6 @@ def lasso_selection(fit: LinearFit, names: list[str] | None = None) -> list[tupl
     return [(n, w != 0.0) for n, w in zip(names, fit.coef)]
 
 
-def scores_frame(spark: SparkSession, rows: list[dict], cols: list[str]) -> DataFrame:
-    """Small score table (folds x candidates) as a DataFrame."""
-    from pyspark.sql import types as T
-    types = {"candidate": T.IntegerType(), "fold": T.IntegerType(), "n": T.LongType()}
-    schema = T.StructType([T.StructField(c, types.get(c, T.StringType() if c in ("model", "kind", "family", "status") else T.DoubleType())) for c in cols])
-    data = [tuple(None if r.get(c) is None else (int(r[c]) if isinstance(types.get(c), (T.IntegerType, T.LongType)) else (str(r[c]) if isinstance(schema[c].dataType, T.StringType) else float(r[c]))) for c in cols) for r in rows]
-    return spark.createDataFrame(data, schema)
-
-
 def nested_cv_blocks(df: DataFrame, features: list[str], target: str, kind: str,
                      alphas: list[float] | None = None, k_inner: int = 5, fold: str = "fold",
                      metric: str = "r2") -> list[dict]:

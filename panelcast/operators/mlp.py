@@ -1,16 +1,17 @@
 """Dense ReLU regression network, trained data-parallel on Spark.
 
-Each epoch is one pass: the weights are broadcast, every task computes the
-summed squared-error gradient of its rows with NumPy over Arrow batches,
-and the partial gradients are summed per chunk of the parameter vector
-(``groupBy(chunk)`` with a vector sum), so the reduction is spread over
-as many tasks as there are chunks instead of one.  The driver keeps only
-the parameter vector and the Adam state.  Steps are full-batch (one per
-epoch), not mini-batches of 32.
-
-Dropout masks are a hash of (row key, epoch, layer, unit), so training
-does not depend on how rows are partitioned.  Early stopping and learning
-rate reduction follow ``val_loss`` on a hash-selected validation share.
+Rows are dealt, by a hash of their key, onto a fixed number of shards (a
+setting, not the number of tasks).  In each epoch every shard starts from the
+broadcast weights and runs mini-batch Adam over its rows, streamed in batches;
+the shards' weights and Adam moments are then averaged by their row counts.
+The sums are taken per chunk of the parameter vector (``groupBy(chunk)`` with a
+vector sum), so the reduction is spread over as many tasks as there are chunks.
+The driver keeps only the parameter vector and the Adam state.
+
+A shard's rows are sorted by key and dropout masks are a hash of (row key,
+epoch, layer, unit), so training does not depend on how rows are partitioned.
+Early stopping and learning rate reduction follow ``val_loss`` on a
+hash-selected validation share, taken with the averaged weights.
 """
 
 from __future__ import annotations
@@ -36,8 +37,6 @@ except Exception:  # pragma: no cover - older cloudpickle
     pass
 
 CHUNK = 4096
-DIRECT_MAX = 4_000_000   # partitions x parameters up to which partials go straight to the driver
-M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 @dataclass
@@ -52,6 +51,8 @@ class MLPConfig:
     lr_factor: float = 0.5
     min_lr: float = 1e-5
     seed: int = 42
+    batch: int = 32               # rows of a step
+    shards: int = 8               # parts that are averaged; the result depends on it, not on the cluster
 
 
 def _sizes(n_in: int, cfg: MLPConfig) -> list[tuple[int, int]]:
@@ -158,40 +159,75 @@ class MLPFit:
         return _sizes(len(self.features), self.config)
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        spark = df.sparkSession
-        bc = spark.sparkContext.broadcast(self.theta)
-        shapes, feats = self.shapes(), list(self.features)
-        schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
+        """Only the features go through Python, in Arrow batches."""
+        theta, shapes = self.theta, self.shapes()
 
-        def score(batches):
-            params = _unpack(bc.value, shapes)
-            for pdf in batches:
-                X = pdf[feats].to_numpy(dtype=float)
-                pdf[out] = forward(params, X)[-1][:, 0] if len(pdf) else np.zeros(0)
-                yield pdf
+        @F.pandas_udf("double")
+        def predict(*cols: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
+            return pd.Series(forward(_unpack(theta, shapes), x)[-1][:, 0])
+
+        return df.withColumn(out, predict(*self.features))
+
+
+@dataclass
+class NetworkModel:
+    """A network behind its preprocessing (a ``PipelineModel`` of built-in
+    stages, or none); saved, loaded and scored like any other model."""
+    network: MLPFit
+    pre: object = None
+    drop: list = field(default_factory=list)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        x = self.pre.transform(df) if self.pre is not None else df
+        return self.network.transform(x).drop(*self.drop)
+
+    def save(self, spark, path: str) -> str:
+        net = self.network
+        row = (json.dumps(net.features), json.dumps(asdict(net.config)), [float(x) for x in net.theta],
+               json.dumps(net.history), json.dumps(self.drop), self.pre is not None)
+        spark.createDataFrame([row], "features string, config string, theta array<double>, history string, "
+                                     "dropped string, has_pre boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/network")
+        if self.pre is not None:
+            self.pre.write().overwrite().save(f"{path}/pre")
+        return path
+
+    @staticmethod
+    def load(spark, path: str) -> "NetworkModel":
+        from pyspark.ml import PipelineModel
+        r = spark.read.parquet(f"{path}/network").first()
+        net = MLPFit(json.loads(r["features"]), MLPConfig(**json.loads(r["config"])), np.array(r["theta"]), json.loads(r["history"]))
+        return NetworkModel(net, PipelineModel.load(f"{path}/pre") if r["has_pre"] else None, json.loads(r["dropped"]))
+
+
+def _adam(theta, m, v, t, grad, lr):
+    b1, b2, eps = 0.9, 0.999, 1e-7
+    m = b1 * m + (1 - b1) * grad
+    v = b2 * v + (1 - b2) * grad * grad
+    return theta - lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps), m, v
 
-        return df.mapInPandas(score, schema)
 
-    def save(self, path_json: str) -> None:
-        with open(path_json, "w") as fh:
-            json.dump({"features": self.features, "config": asdict(self.config),
-                       "theta": self.theta.tolist()}, fh)
+def identity(df: DataFrame, *settings) -> str:
+    """Hash of a table's rows (whatever their order) and of settings."""
+    import hashlib
+    n, total = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    return hashlib.sha1(json.dumps([df.columns, n, str(total), *settings], sort_keys=True, default=str).encode()).hexdigest()
+
+
+class Mismatch(ValueError):
+    """Saved state belongs to other settings or other data."""
 
 
 def fit_mlp(df: DataFrame, features: list[str], label: str, cfg: MLPConfig,
-            valid: str = "is_valid", rowkey: str = "_rowkey", reduce: str = "auto",
+            valid: str = "is_valid", rowkey: str = "_rowkey",
             snapshot: str | None = None, snapshot_every: int = 25) -> MLPFit:
     """Train on rows with ``valid`` false, monitor ``val_loss`` on the rest.
-    ``df`` should be materialised (it is read once per epoch).
-
-    ``reduce``: ``chunks`` sums task partials by parameter chunk in a
-    shuffle (many reducers; for many tasks or parameters); ``direct``
-    collects the task partials (one stage; when partitions x parameters is
-    small); ``auto`` picks by that product.
 
     ``snapshot``: a folder on shared storage where the training state
     (weights, Adam moments, rate, best weights, counters) is written every
-    ``snapshot_every`` epochs; a rerun with the same folder resumes there."""
+    ``snapshot_every`` epochs, each into a folder of its own; a rerun resumes
+    at the last finished one, and raises ``Mismatch`` if layers, features,
+    settings (but the number of epochs) or rows are not the same."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
@@ -202,91 +238,98 @@ def fit_mlp(df: DataFrame, features: list[str], label: str, cfg: MLPConfig,
     drops = list(cfg.dropout) + [0.0] * (len(cfg.hidden) - len(cfg.dropout))
     theta = init_params(len(feats), cfg)
     P = len(theta)
-    n_chunks = (P + CHUNK - 1) // CHUNK
+    width = 3 * P                      # weights and both moments are averaged
+    n_chunks = (width + CHUNK - 1) // CHUNK
     data = df.select(*feats, F.col(label).cast("double").alias("__y"),
                      F.col(valid).alias("__v"), F.col(rowkey).alias("__k"))
-    # read once per epoch: keep only these columns, in at most two tasks per
-    # core of the cluster (coalesce is narrow: no shuffle)
-    target = max(1, 2 * spark.sparkContext.defaultParallelism)
-    if data.rdd.getNumPartitions() > target:
-        data = data.coalesce(target)
-    data = data.persist()
-    if reduce == "auto":
-        reduce = "direct" if data.rdd.getNumPartitions() * (P + 4) <= DIRECT_MAX else "chunks"
-    schema = "chunk int, g array<double>"
-    m, v = np.zeros(P), np.zeros(P)
-    b1, b2, eps = 0.9, 0.999, 1e-7
+    data = data.withColumn("__s", F.pmod(F.xxhash64("__k"), F.lit(int(cfg.shards))).cast("int"))
+    data = data.repartition("__s").sortWithinPartitions("__s", "__k", "__y", *feats).persist()
+    theta[-1] = data.where(~F.col("__v")).agg(F.avg("__y")).first()[0] or 0.0    # start at the mean
+    m, v, steps = np.zeros(P), np.zeros(P), 0
     lr = cfg.learning_rate
     best, best_theta, since_best, since_lr = np.inf, theta.copy(), 0, 0
     history = []
     start = 0
+    who = None
     if snapshot:
-        from ..session import path_exists
-        if path_exists(spark, snapshot):
-            st0 = json.loads(spark.read.json(snapshot).first()["state"])
+        from ..session import list_names
+        who = identity(data, feats, {k: x for k, x in asdict(cfg).items() if k != "epochs"})
+        done = sorted(n for n in list_names(spark, snapshot) if n.startswith("epoch="))
+        if done:
+            st0 = json.loads(spark.read.json(f"{snapshot}/{done[-1]}").first()["state"])
+            if st0["who"] != who:
+                raise Mismatch(f"{snapshot} holds the training of another network, other settings or other rows")
             theta, m, v = (np.asarray(st0[k]) for k in ("theta", "m", "v"))
             best_theta = np.asarray(st0["best_theta"])
-            best, since_best, since_lr, lr = st0["best"], st0["since_best"], st0["since_lr"], st0["lr"]
+            best, since_best, since_lr, lr, steps = (st0[k] for k in ("best", "since_best", "since_lr", "lr", "steps"))
             history, start = st0["history"], st0["epoch"]
     for epoch in range(start, cfg.epochs):
         if snapshot and epoch > start and epoch % snapshot_every == 0:
-            state = {"theta": theta.tolist(), "m": m.tolist(), "v": v.tolist(), "best_theta": best_theta.tolist(),
-                     "best": best, "since_best": since_best, "since_lr": since_lr, "lr": lr,
+            state = {"who": who, "theta": theta.tolist(), "m": m.tolist(), "v": v.tolist(), "best_theta": best_theta.tolist(),
+                     "best": best, "since_best": since_best, "since_lr": since_lr, "lr": lr, "steps": steps,
                      "history": history, "epoch": epoch}
             spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1) \
-                 .write.mode("overwrite").json(snapshot)
-        bc = spark.sparkContext.broadcast(theta)
+                 .write.mode("overwrite").json(f"{snapshot}/epoch={epoch:06d}")
+        bc = spark.sparkContext.broadcast((theta, m, v))
+
+        def part(batches, epoch=epoch, bc=bc, lr=lr, steps=steps):
+            first = _unpack(bc.value[0], shapes)
+            shard, state, left = None, None, None
+
+            def begin(s):
+                return s, [*(x.copy() for x in bc.value), steps, np.zeros(5)]
+
+            def step(x, y, key):
+                th, mm, vv, t, st = state
+                params = _unpack(th, shapes)
+                masks = [dropout_mask(key, epoch, li, shapes[li][1], drops[li]) for li in range(len(shapes) - 1)]
+                g, sse = grad_sums(params, x, y, masks)
+                st[:2] += sse, len(y)
+                state[:4] = [*_adam(th, mm, vv, t + 1, g / len(y) + _penalty_grad(params, l2s, shapes), lr), t + 1]
+
+            def end():
+                if left is not None and len(left[1]):
+                    step(*left)
+                th, mm, vv, t, st = state
+                st[4] = (t - steps) * st[1]
+                whole = np.concatenate([th, mm, vv]) * st[1]
+                rows = [(c, whole[c * CHUNK:(c + 1) * CHUNK].tolist()) for c in range(n_chunks)] if st[1] else []
+                return pd.DataFrame([*rows, (-1, st.tolist())], columns=["chunk", "g"])
 
-        def part(batches, epoch=epoch, bc=bc):
-            params = _unpack(bc.value, shapes)
-            g = np.zeros(P)
-            st = np.zeros(4)   # train sse, n train, valid sse, n valid
             for pdf in batches:
-                if pdf.empty:
-                    continue
-                X = pdf[feats].to_numpy(dtype=float)
-                y = pdf["__y"].to_numpy(dtype=float)
-                isv = pdf["__v"].to_numpy(dtype=bool)
-                key = pdf["__k"].to_numpy(dtype=np.int64).view(np.uint64)
-                tr = ~isv
-                if tr.any():
-                    masks = [dropout_mask(key[tr], epoch, li, shapes[li][1], drops[li])
-                             for li in range(len(shapes) - 1)]
-                    gg, sse = grad_sums(params, X[tr], y[tr], masks)
-                    g += gg
-                    st[0] += sse
-                    st[1] += tr.sum()
-                if isv.any():
-                    pv = forward(params, X[isv])[-1][:, 0]
-                    st[2] += float(((pv - y[isv]) ** 2).sum())
-                    st[3] += isv.sum()
-            rows = [(c, g[c * CHUNK:(c + 1) * CHUNK].tolist()) for c in range(n_chunks)]
-            rows.append((-1, st.tolist()))
-            yield pd.DataFrame(rows, columns=["chunk", "g"])
-
-        partials = data.mapInPandas(part, schema)
-        if reduce == "direct":
-            parts: dict = {}
-            for r in partials.collect():      # partitions x (P + 4) doubles, bounded above
-                g_part = np.asarray(r["g"])
-                c = r["chunk"]
-                parts[c] = parts[c] + g_part if c in parts else g_part
-        else:
-            summed = partials.groupBy("chunk").agg(Summarizer.sum(array_to_vector("g")).alias("s")).collect()
-            parts = {r["chunk"]: r["s"].toArray() for r in summed}
+                for s, rows in pdf.groupby("__s", sort=False):
+                    if s != shard:
+                        if shard is not None:
+                            yield end()
+                        (shard, state), left = begin(s), None
+                    x, y = rows[feats].to_numpy(dtype=float), rows["__y"].to_numpy(dtype=float)
+                    isv = rows["__v"].to_numpy(dtype=bool)
+                    key = rows["__k"].to_numpy(dtype=np.int64).view(np.uint64)
+                    if isv.any():
+                        e = forward(first, x[isv])[-1][:, 0] - y[isv]
+                        state[4][2:4] += float((e ** 2).sum()), isv.sum()
+                    now = (x[~isv], y[~isv], key[~isv])
+                    if left is not None:
+                        now = tuple(np.concatenate(z) for z in zip(left, now))
+                    full = len(now[1]) // cfg.batch * cfg.batch
+                    for a in range(0, full, cfg.batch):
+                        step(*(z[a:a + cfg.batch] for z in now))
+                    left = tuple(z[full:] for z in now)
+            if shard is not None:
+                yield end()
+
+        summed = data.mapInPandas(part, "chunk int, g array<double>").groupBy("chunk") \
+                     .agg(Summarizer.sum(array_to_vector("g")).alias("s")).collect()     # 3 P + 5 numbers
+        parts = {r["chunk"]: r["s"].toArray() for r in summed}
         bc.unpersist()
         st = parts.pop(-1)
-        n_tr = max(st[1], 1.0)
-        grad = np.concatenate([parts[c] for c in range(n_chunks)])[:P] / n_tr
-        params = _unpack(theta, shapes)
-        grad = grad + _penalty_grad(params, l2s, shapes)
-        pen = _penalty(params, l2s)
-        loss = st[0] / n_tr + pen
+        pen = _penalty(_unpack(theta, shapes), l2s)
+        loss = st[0] / max(st[1], 1.0) + pen
         val = (st[2] / st[3] + pen) if st[3] > 0 else loss
-        history.append({"epoch": epoch, "loss": loss, "val_loss": val, "lr": lr})
+        history.append({"epoch": epoch, "loss": float(loss), "val_loss": float(val), "lr": lr})
         # early stopping / plateau bookkeeping on the weights that produced val
         if val < best - 1e-12:
-            best, best_theta, since_best, since_lr = val, theta.copy(), 0, 0
+            best, best_theta, since_best, since_lr = float(val), theta.copy(), 0, 0
         else:
             since_best += 1
             since_lr += 1
@@ -294,10 +337,10 @@ def fit_mlp(df: DataFrame, features: list[str], label: str, cfg: MLPConfig,
                 lr, since_lr = max(lr * cfg.lr_factor, cfg.min_lr), 0
             if since_best >= cfg.patience:
                 break
-        t = epoch + 1
-        m = b1 * m + (1 - b1) * grad
-        v = b2 * v + (1 - b2) * grad * grad
-        theta = theta - lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
+        if st[1] > 0:
+            whole = np.concatenate([parts[c] for c in range(n_chunks)])[:width] / st[1]
+            theta, m, v = whole[:P], whole[P:2 * P], whole[2 * P:]
+            steps += int(round(st[4] / st[1]))
     data.unpersist()
     return MLPFit(feats, cfg, best_theta, history)
 

@@ -80,13 +80,7 @@ def fold_gram(df: DataFrame, cols: list[str], target: str, by: list[str] | tuple
             out.update({"block": np.arange(n_blocks, dtype="int32"), "v": list(blocks)})
             yield pd.DataFrame(out)
 
-    src = df.select(*by, *names)
-    # each task emits one set of partials: at most two tasks per core keeps
-    # the shuffle small without idling the cluster (coalesce: no shuffle)
-    target = max(1, 2 * df.sparkSession.sparkContext.defaultParallelism)
-    if src.rdd.getNumPartitions() > target:
-        src = src.coalesce(target)
-    parts = src.mapInPandas(partial, schema)
+    parts = df.select(*by, *names).mapInPandas(partial, schema)
     # one row per (task, group, block) is shuffled; BLOCK exact sums per row
     summed = parts.groupBy(*by, "block").agg(
         F.array(*[F.sum(F.col("v")[t]) for t in range(BLOCK)]).alias("s"))
@@ -147,6 +141,13 @@ class Stats:
         self.Cxy = self.Sxy - n * self.mx * self.my
         self.Cyy = self.Syy - n * self.my * self.my
 
+    def constant_y(self) -> bool:
+        """Whether the target's spread is nothing but rounding."""
+        return not self.Cyy > 1e-12 * max(self.Syy, 0.0)
+
+    def constant_x(self) -> np.ndarray:
+        return ~(np.diag(self.Cxx) > 1e-12 * np.maximum(np.diag(self.Sxx), 0.0))
+
     def sse(self, w: np.ndarray, a: float) -> float:
         """Sum of squared errors of ``a + w'x`` on these rows (shifted scale)."""
         return float(self.Syy - 2 * a * self.sy - 2 * w @ self.Sxy + self.n * a * a
@@ -161,16 +162,16 @@ def sum_groups(mats: dict[tuple, np.ndarray], keep) -> np.ndarray:
 
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise Pearson correlation (long form, ``i < j``), one aggregation."""
+    """Pearson correlation of every pair (long form, ``i < j``) over the rows
+    where both are present.  One aggregation for up to ``JVM_MAX_SUMS`` pairs,
+    so generated code stays below the JIT method limit; more pairs take one
+    aggregation for each such batch."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    stack = ", ".join(f"'{a}', '{b}', c{i}" for i, (a, b) in enumerate(pairs))
-    return wide.selectExpr(f"stack({len(pairs)}, {stack}) AS (var_a, var_b, corr)")
-
-
-def correlation_matrix(mats_total: np.ndarray) -> np.ndarray:
-    """Correlation of the feature block of one Gram matrix."""
-    s = Stats(mats_total)
-    d = np.sqrt(np.diag(s.Cxx))
-    d[d == 0] = 1.0
-    return s.Cxx / np.outer(d, d)
+    out = None
+    for k in range(0, len(pairs), JVM_MAX_SUMS):
+        part = pairs[k:k + JVM_MAX_SUMS]
+        wide = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(part)])
+        stack = ", ".join(f"'{a}', '{b}', c{i}" for i, (a, b) in enumerate(part))
+        rows = wide.selectExpr(f"stack({len(part)}, {stack}) AS (var_a, var_b, corr)")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -67,7 +67,10 @@ def pca(df: DataFrame, cols: list[str], k: int | None = None) -> PCAModel:
     C = (S - n * np.outer(m, m)) / n   # population covariance (shifted scale)
     means = shift + m
     stds = np.sqrt(np.clip(np.diag(C), 0, None))
-    d = np.where(stds > 0, stds, 1.0)
+    spread = np.diag(C) > 1e-12 * np.diag(S) / n     # else rounding is all there is
+    stds = np.where(spread, stds, 0.0)
+    C[~spread] = C[:, ~spread] = 0.0
+    d = np.where(spread, stds, 1.0)
     R = C / np.outer(d, d)
     vals, vecs = np.linalg.eigh(R)
     order = np.argsort(vals)[::-1]

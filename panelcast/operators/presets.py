@@ -13,7 +13,7 @@ COMPARE_BOOST = {"n_estimators": 300, "max_depth": 3, "learning_rate": 0.01, "su
 COMPARE_FOREST = {"n_estimators": 300, "max_depth": 10}
 COMPARE_BOOST_LEAFWISE = {"n_estimators": 500, "learning_rate": 0.05, "num_leaves": 31, "subsample": 0.8,
                           "colsample_bytree": 0.8}
-COMPARE_NETWORK = {"hidden": [128, 64], "l2": 1e-4, "learning_rate": 1e-3, "epochs": 500}
+COMPARE_NETWORK = {"hidden": [128, 64], "l2": [1e-4, 1e-4], "learning_rate": 1e-3, "epochs": 500}
 COMPARE_DEGREE = 2          # expansion for least squares; trees and boosting use degree 1
 FOLDS = 5
 HOLDOUT = 0.3
@@ -29,7 +29,9 @@ FOREST_GRID = {"n_estimators": [100, 200, 300], "max_depth": [10, 20, 30, None],
                "max_features": ["sqrt", "log2", None]}
 
 # --- fixed values: boosting on a log target, grid ---------------------------
-BOOST_LOG_GRID = {"n_estimators": [100, 200, 300], "max_depth": [3, 5, 7, 9],
+# (the reference's library stops at 31 leaves and 20 rows a leaf unless told otherwise)
+BOOST_LOG_GRID = {"num_leaves": [31], "min_samples_leaf": [20],
+                  "n_estimators": [100, 200, 300], "max_depth": [3, 5, 7, 9],
                   "learning_rate": [0.01, 0.05, 0.1, 0.2], "subsample": [0.8, 1.0],
                   "colsample_bytree": [0.8, 1.0]}
 

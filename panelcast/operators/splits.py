@@ -94,8 +94,9 @@ def exact_cuts(df: DataFrame, order_cols: list[str], levels: list[list[Column]],
         pnames = [f"_p{i}" for i in range(len(prev))] if prev is not None else []
         grouped = sub.groupBy(*[c.alias(n) for c, n in zip(prev or [], pnames)],
                               *[c.alias(n) for c, n in zip(key, names)]).count()
-        rows = grouped.collect()   # bounded: buckets of this level inside <= k parents
-        if len(rows) > MAX_LEVEL_BUCKETS * max(1, len(parents)):
+        limit = MAX_LEVEL_BUCKETS * max(1, len(parents))
+        rows = grouped.limit(limit + 1).collect()   # bounded: buckets of this level inside <= k parents
+        if len(rows) > limit:
             raise RuntimeError("bucket level too fine; add a coarser level")
         if pending is None:        # first level: n is the sum of its counts
             n = sum(r["count"] for r in rows)
@@ -109,13 +110,15 @@ def exact_cuts(df: DataFrame, order_cols: list[str], levels: list[list[Column]],
             by_parent.setdefault(pv, []).append((tuple(r[n] for n in names), r["count"]))
         for lst in by_parent.values():
             lst.sort(key=lambda kv: kv[0])
-        last = depth == len(levels) - 1
+        last = depth == len(levels) - 1      # the whole hash: more rows than one are one repeated key
         nxt = {}
         for p, (pv, before) in pending.items():
             acc = before
             for bucket, cnt in by_parent.get(pv, []):
                 if acc + cnt >= p:
-                    if cnt <= small or last:
+                    if last and cnt > small:
+                        raise ValueError(f"{cnt} rows share an order key; exact cuts need keys that tell rows apart")
+                    if cnt <= small:
                         nxt[p] = ("collect", bucket, acc)
                     else:
                         nxt[p] = ("descend", bucket, acc)

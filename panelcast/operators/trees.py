@@ -10,30 +10,41 @@ the nearest setting is used and recorded in ``notes``.
 from __future__ import annotations
 
 import math
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPARK_MAX_DEPTH = 30   # Spark's cap; "no limit" maps here
-# Per-task budget for node statistics while growing trees: smaller means more
-# passes over the data per level, but bounded memory next to other tasks.
-TREE_TASK_MEMORY_MB = int(os.environ.get("PANELCAST_TREE_TASK_MB", "32"))
+MAX_BINS = 64          # candidate thresholds per feature, plus one; ``max_bins`` sets another
+LOCAL_TASK_MB = 32
 
 
 def _task_mb() -> int:
-    """``spark.panelcast.treeTaskMemoryMB`` of the active session (clusters
-    with large executors can raise it to Spark's usual 256)."""
-    from pyspark.sql import SparkSession
+    """Budget of a task for node statistics: ``spark.panelcast.treeTaskMemoryMB``
+    if set, else Spark's 256, or less in a local session, where all tasks share
+    one heap (smaller: more passes over the data per level)."""
     s = SparkSession.getActiveSession()
     v = s.conf.get("spark.panelcast.treeTaskMemoryMB", None) if s is not None else None
-    return int(v) if v else TREE_TASK_MEMORY_MB
+    if v:
+        return int(v)
+    return LOCAL_TASK_MB if s is not None and s.sparkContext.master.startswith("local") else 256
 
 
-def _depth(d):
+def _depth(d, strict: bool, notes: list) -> int:
+    if d is not None and int(d) > SPARK_MAX_DEPTH:
+        if strict:
+            raise Unsupported(f"max_depth={d} is above Spark's {SPARK_MAX_DEPTH}; pass strict=False to cut it")
+        notes.append(f"max_depth={d} -> {SPARK_MAX_DEPTH}")
     return SPARK_MAX_DEPTH if d is None else min(int(d), SPARK_MAX_DEPTH)
 
 
+def _common(params: dict, notes: list) -> dict:
+    """Settings that all learners share; ``max_bins`` is recorded."""
+    bins = int(params.get("max_bins") or MAX_BINS)
+    notes.append(f"max_bins={bins}: at most {bins - 1} thresholds per feature")
+    return {"maxBins": bins, "checkpointInterval": 10, "maxMemoryInMB": _task_mb()}
+
+
 def _feature_share(v) -> str:
     if v is None:
         return "all"
@@ -56,12 +67,12 @@ def tree(params: dict, seed: int = 42, strict: bool = True, features: str = "fea
          label: str = "label", prediction: str = "prediction"):
     from pyspark.ml.regression import DecisionTreeRegressor
     notes = []
-    known = {"max_depth", "min_samples_leaf"}
+    known = {"max_depth", "min_samples_leaf", "max_bins"}
     _check(params, known, strict, notes)
     est = DecisionTreeRegressor(featuresCol=features, labelCol=label, predictionCol=prediction, seed=seed,
-                                maxDepth=_depth(params.get("max_depth")),
+                                maxDepth=_depth(params.get("max_depth"), strict, notes),
                                 minInstancesPerNode=int(params.get("min_samples_leaf") or 1),
-                                maxBins=64, checkpointInterval=10, maxMemoryInMB=_task_mb())
+                                **_common(params, notes))
     return est, notes
 
 
@@ -76,14 +87,16 @@ def forest(params: dict, seed: int = 42, strict: bool = True, features: str = "f
                               "by minInstancesPerNode = max(leaf, ceil(split / 2))")
         leaf = max(leaf, math.ceil(int(params["min_samples_split"]) / 2))
         notes.append(f"min_samples_split={params['min_samples_split']} -> minInstancesPerNode={leaf}")
-    _check(params, {"n_estimators", "max_depth", "min_samples_leaf", "min_samples_split", "max_features"},
+    _check(params, {"n_estimators", "max_depth", "min_samples_leaf", "min_samples_split", "max_features",
+                    "bootstrap", "max_bins"},
            strict, notes)
     est = RandomForestRegressor(featuresCol=features, labelCol=label, predictionCol=prediction, seed=seed,
                                 numTrees=int(params.get("n_estimators", 100)),
-                                maxDepth=_depth(params.get("max_depth")),
+                                maxDepth=_depth(params.get("max_depth"), strict, notes),
                                 minInstancesPerNode=leaf,
                                 featureSubsetStrategy=_feature_share(params.get("max_features", 1.0)),
-                                maxBins=64, checkpointInterval=10, maxMemoryInMB=_task_mb())
+                                bootstrap=bool(params.get("bootstrap", True)),
+                                **_common(params, notes))
     return est, notes
 
 
@@ -91,7 +104,9 @@ def boost(params: dict, seed: int = 42, strict: bool = True, features: str = "fe
           label: str = "label", prediction: str = "prediction"):
     """Squared-error gradient boosting, depth-wise.  ``colsample_bytree``
     becomes a per-node feature share; ``num_leaves`` (leaf-wise growth)
-    becomes the depth whose full tree has that many leaves."""
+    becomes the depth whose full tree has that many leaves.  The bootstrap of
+    forests and the row sample of boosting are Spark's: they depend on how rows
+    are partitioned (``bootstrap=False`` and ``subsample=1.0`` do not)."""
     from pyspark.ml.regression import GBTRegressor
     notes = []
     for k in ("reg_alpha", "reg_lambda"):
@@ -107,15 +122,16 @@ def boost(params: dict, seed: int = 42, strict: bool = True, features: str = "fe
         depth = d_leaves if depth is None else min(int(depth), d_leaves)
         notes.append(f"num_leaves={params['num_leaves']} (leaf-wise) -> maxDepth={depth}")
     _check(params, {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bytree",
-                    "reg_alpha", "reg_lambda", "num_leaves"}, strict, notes)
+                    "reg_alpha", "reg_lambda", "num_leaves", "min_samples_leaf", "max_bins"}, strict, notes)
     est = GBTRegressor(featuresCol=features, labelCol=label, predictionCol=prediction, seed=seed,
                        lossType="squared",
                        maxIter=int(params.get("n_estimators", 100)),
-                       maxDepth=_depth(depth if depth is not None else 6),
+                       maxDepth=_depth(depth if depth is not None else 6, strict, notes),
+                       minInstancesPerNode=int(params.get("min_samples_leaf") or 1),
                        stepSize=float(params.get("learning_rate", 0.1)),
                        subsamplingRate=float(params.get("subsample", 1.0)),
                        featureSubsetStrategy=_feature_share(params.get("colsample_bytree", 1.0)),
-                       maxBins=64, checkpointInterval=10, maxMemoryInMB=_task_mb())
+                       **_common(params, notes))
     return est, notes
 
 
@@ -130,6 +146,13 @@ def _check(params, known, strict, notes):
 BUILDERS = {"tree": tree, "forest": forest, "boost": boost}
 
 
+def effective(kind: str, params: dict, strict: bool = True, seed: int = 42) -> str:
+    """What Spark is told for ``params``: equal for settings that come to the
+    same model, so that each is fitted once."""
+    est, _ = BUILDERS[kind](params, seed=seed, strict=strict)
+    return repr(sorted((p.name, str(v)) for p, v in est.extractParamMap().items()))
+
+
 # ------------------------------------------------------------ importances
 def impurity_importance(model, names: list[str]) -> list[tuple[str, float]]:
     """Impurity importance (sums to 1) of a tree model or ensemble."""

@@ -112,12 +112,15 @@ def q_lag_feature(spark, sf):
 @register("union_series", sql=f"""WITH p AS ({O.panel_sql()})
   SELECT series, day, y, lag(y) OVER (PARTITION BY series ORDER BY day) AS y_prev FROM p""")
 def q_union_series(spark, sf):
-    """Every region's series read apart (one frame per region name, from the
-    region table: a dimension of fixed size), stacked, then the keyed lag."""
+    """Every region's series stacked, then the keyed lag.  The panel is built
+    and aggregated once (a written table, as daily files of each city would
+    be); the frames of the regions read their share of it."""
     from ..sources.fixture import table
-    p = fixture_panel(spark, sf).select("series", "day", "y")
+    path = scratch_path(spark, f"panel-{uuid.uuid4().hex}")
+    fixture_panel(spark, sf).select("series", "day", "y").write.partitionBy("series").parquet(path)
     names = [r.r_name for r in table(spark, sf, "region").select("r_name").distinct().collect()]
-    frames = {n: p.where(F.col("series") == n).drop("series") for n in sorted(names)}
+    p = spark.read.parquet(path)
+    frames = {n: p.where(F.col("series") == n).select("day", "y") for n in sorted(names)}
     return fx.lag_feature(fx.union_series(frames), "y").select("series", "day", "y", "y_prev")
 
 

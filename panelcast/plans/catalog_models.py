@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expand import Standardizer, poly, poly_names, poly_sql
+from ..functions.expand import Standardizer, poly, poly_names
 from ..functions.features import rounded as R
 from ..functions.metrics import metrics, summarise
 from ..operators import linear, selection, splits
@@ -335,20 +335,25 @@ def _poly_query(spark, sf, degree, interaction_only, bias):
     return out.select("series", "day", *[R(f"f{i}").alias(f"f{i}") for i in range(n)])
 
 
-def _poly_oracle(degree, interaction_only, bias) -> str:
-    zs = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in _PX)
-    items = poly_sql(_PX, degree, interaction_only, bias, prefix="f")
-    items = [f"{O.r(it.rsplit(' AS ', 1)[0].replace('`', ''))} AS {it.rsplit(' AS ', 1)[1].strip('`')}" for it in items]
+# the expected terms, written out by hand: degree 2 with squares, degree-major;
+# and all products of distinct inputs up to degree 3, with the constant
+_POLY_FULL = ["a", "b", "c", "a * a", "a * b", "a * c", "b * b", "b * c", "c * c"]
+_POLY_PRODUCTS = ["1.0", "a", "b", "c", "a * b", "a * c", "b * c", "a * b * c"]
+
+
+def _poly_oracle(terms: list[str]) -> str:
+    zs = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {n}" for c, n in zip(_PX, "abc"))
+    items = ", ".join(f"{O.r(t)} AS f{i}" for i, t in enumerate(terms))
     return f"""WITH {O.prep_ctes(_PX + ['y'])}, z AS (SELECT series, day, {zs} FROM clean)
-  SELECT series, day, {', '.join(items)} FROM z"""
+  SELECT series, day, {items} FROM z"""
 
 
-@register("poly_full", sql=_poly_oracle(2, False, False))
+@register("poly_full", sql=_poly_oracle(_POLY_FULL))
 def q_poly_full(spark, sf):
     return _poly_query(spark, sf, 2, False, False)
 
 
-@register("poly_interactions", sql=_poly_oracle(3, True, True))
+@register("poly_interactions", sql=_poly_oracle(_POLY_PRODUCTS))
 def q_poly_interactions(spark, sf):
     return _poly_query(spark, sf, 3, True, True)
 
@@ -410,7 +415,7 @@ def q_save_study(spark, sf):
 # ======================================================================= PCA
 from ..operators import charts, pca as pca_op  # noqa: E402
 from ..operators import trees as tr  # noqa: E402
-from ..operators.mlp import MLPConfig, fit_mlp, row_key, sample_configs  # noqa: E402
+from ..operators.mlp import MLPConfig, sample_configs  # noqa: E402
 from .common import DISPLAY, F_COMPARE, F_NETWORK, F_PCA, F_TREE  # noqa: E402
 
 
@@ -471,11 +476,7 @@ def q_variance_labels(spark, sf):
 
 # ============================================================ trees, boosting
 _TREE_COLS = F_TREE + ["y"]
-BOOST_SMALL = {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1, "subsample": 1.0,
-               "colsample_bytree": 0.8, "reg_alpha": 0.1, "reg_lambda": 1.5}
-BOOST_LEAFWISE_SMALL = {"n_estimators": 20, "learning_rate": 0.05, "num_leaves": 31, "subsample": 0.8,
-                "colsample_bytree": 0.8}
-RF_COMPARE = {"n_estimators": 20, "max_depth": 10}
+from .studies import BOOST_LEAFWISE_SMALL, BOOST_SMALL, FOREST_SMALL as RF_COMPARE  # noqa: E402
 
 
 def _holdout_fit(spark, sf, spec: ModelSpec, cols) -> DataFrame:
@@ -551,10 +552,11 @@ def q_gain_importance(spark, sf):
 
 
 def _spark_ml_search(spark, d: DataFrame, specs: list[ModelSpec], parallelism: int = 8) -> DataFrame:
-    """Every candidate on every fold (fit on the others), scored from the
-    union of out-of-fold predictions in one aggregation."""
-    from ..operators.fitting import compare, fold_scores
-    sc = fold_scores(compare(specs, d, parallelism=parallelism))
+    """Every distinct candidate on every fold (fit on the others), one row of
+    metrics per fit."""
+    from ..operators.fitting import compare_scores
+    sc = compare_scores(specs, d, parallelism=parallelism)
+    d.unpersist()
     g = sc.groupBy("model", "model_order").agg(F.avg("r2").alias("mean_r2"), F.stddev_pop("r2").alias("std_r2"))
     from pyspark.sql import Window
     return g.withColumn("rank", F.row_number().over(Window.orderBy(F.col("mean_r2").desc(), "model_order")))
@@ -592,46 +594,38 @@ def q_boost_random_search(spark, sf):
 def q_compare_models(spark, sf):
     """The reference comparison: least squares on the degree-2 expansion,
     boosting, and a vote of boosting, forest and boosting (second setting)."""
-    from ..operators.fitting import compare, fold_scores
+    from ..operators.fitting import compare_scores
     d = splits.kfold(prep(spark, sf, F_COMPARE + ["y"]), K, SEED, "hash").persist()
     specs = [ModelSpec("least_squares_degree2", "ols", F_COMPARE, degree=2),
              ModelSpec("boosting", "boost", F_COMPARE, BOOST_SMALL, strict=False),
              ModelSpec("voting", "voting", F_COMPARE, members=[("boost", BOOST_SMALL), ("forest", RF_COMPARE),
                                                               ("boost", BOOST_LEAFWISE_SMALL)], strict=False)]
-    sc = fold_scores(compare(specs, d, parallelism=8))   # all 15 fold fits share one pool
+    sc = compare_scores(specs, d, parallelism=8)   # all fold fits share one pool
+    d.unpersist()
     return sc.select("model", "model_order", "fold", R("r2").alias("r2"))
 
 
 # =================================================================== network
-def _net_data(spark, sf):
-    d = splits.validation(splits.holdout(prep(spark, sf, F_NETWORK + ["y"]), 0.3, SEED, "hash"), 0.2, SEED)
-    z = Standardizer(F_NETWORK).fit(d).transform(d)
-    x = poly(z, F_NETWORK, 2, prefix="t")
-    terms = [f"t{i}" for i in range(len(poly_names(F_NETWORK, 2)))]
-    return row_key(x).persist(), terms
-
-
 @register("mlp_regression")
 def q_mlp_regression(spark, sf):
-    x, terms = _net_data(spark, sf)
-    cfg = MLPConfig(hidden=[32, 16], l2=[1e-4, 1e-4], dropout=[0.2, 0.2], learning_rate=1e-2, epochs=25)
-    m = fit_mlp(x.where(~F.col("is_test")), terms, "y", cfg)
-    return _round_metrics(metrics(m.transform(x.where("is_test")), "y", "prediction"))
+    """Holdout metrics of one network, saved with its preprocessing and read
+    back before it scores."""
+    from .studies import network_study
+    cfg = MLPConfig(hidden=[32, 16], l2=[1e-4, 1e-4], dropout=[0.0, 0.0], learning_rate=3e-3, epochs=20)
+    path = scratch_path(spark, f"network-{uuid.uuid4().hex}")
+    network_study(spark, sf, configs=[cfg], model_path=path)
+    d = splits.holdout(prep(spark, sf, F_NETWORK + ["y"]), 0.3, SEED, "hash")
+    return _round_metrics(metrics(io.score_batch(d.where("is_test"), path), "y", "prediction"))
 
 
 @register("network_search")
 def q_network_search(spark, sf):
-    x, terms = _net_data(spark, sf)
-    train = x.where(~F.col("is_test"))
-    rows = []
-    for i, cfg in enumerate(sample_configs(3, SEED, epochs=12)):
-        cfg.learning_rate *= 10
-        m = fit_mlp(train, terms, "y", cfg)
-        best = min(h["val_loss"] for h in m.history)
-        rows.append((i, "-".join(map(str, cfg.hidden)), cfg.learning_rate, float(best), len(m.history)))
-    t = spark.createDataFrame(rows, "trial int, layers string, learning_rate double, best_val_loss double, epochs int")
     from pyspark.sql import Window
-    return t.withColumn("rank", F.row_number().over(Window.orderBy("best_val_loss", "trial"))) \
+
+    from .studies import network_study
+    t = network_study(spark, sf, configs=sample_configs(3, SEED, epochs=8))["trials"]
+    return t.select("trial", "layers", "learning_rate", F.col("val_loss").alias("best_val_loss"), "epochs",
+                    F.row_number().over(Window.orderBy("val_loss", "trial")).alias("rank")) \
             .withColumn("best_val_loss", R("best_val_loss"))
 
 

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import metrics
-from ..operators import splits
+from ..operators import presets, splits
 from ..operators.fitting import ModelSpec, cross_validate
 from .common import F_COMPARE, prep
 
 
+# the presets with fewer trees, for panels of test size
+BOOST_SMALL = {**presets.COMPARE_BOOST, "n_estimators": 20, "learning_rate": 0.1}
+FOREST_SMALL = {**presets.COMPARE_FOREST, "n_estimators": 20}
+BOOST_LEAFWISE_SMALL = {**presets.COMPARE_BOOST_LEAFWISE, "n_estimators": 20}
+
+
 def flagship(spark: SparkSession, sf: str, k: int = 5, seed: int = 42) -> DataFrame:
     d = splits.kfold(prep(spark, sf, F_COMPARE + ["y"]), k, seed, "hash")
     spec = ModelSpec("ols_degree2", "ols", F_COMPARE, degree=2)
@@ -25,66 +34,78 @@ def comparison_study(spark: SparkSession, sf: str, boost: dict | None = None, fo
     ranking per fold, leaderboard, stability of the top two, box and line
     tables.  Defaults are small settings; pass the reference's for full size."""
     from ..operators import charts, selection
-    from ..operators.fitting import compare, fold_scores
-    boost = boost or {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1, "colsample_bytree": 0.8}
-    forest = forest or {"n_estimators": 20, "max_depth": 10}
-    boost2 = boost2 or {"n_estimators": 20, "learning_rate": 0.05, "num_leaves": 31, "subsample": 0.8,
-                        "colsample_bytree": 0.8}
+    from ..operators.fitting import compare_scores
+    boost, forest, boost2 = boost or BOOST_SMALL, forest or FOREST_SMALL, boost2 or BOOST_LEAFWISE_SMALL
     d = splits.kfold(prep(spark, sf, F_COMPARE + ["y"]), k, seed, "hash").persist()
     specs = [ModelSpec("least_squares", "ols", F_COMPARE, degree=2),
              ModelSpec("boosting", "boost", F_COMPARE, boost, strict=False),
              ModelSpec("voting", "voting", F_COMPARE, members=[("boost", boost), ("forest", forest), ("boost", boost2)],
                        strict=False)]
-    scores = fold_scores(compare(specs, d, parallelism=3)).persist()
+    scores = compare_scores(specs, d, parallelism=3)
+    d.unpersist()
     board = selection.leaderboard(scores)
     return {"scores": scores, "ranks": selection.rank_models(scores), "leaderboard": board,
             "stability": selection.stability(board, 0.05, 2), "box": charts.box_summary(scores, exact=True),
             "lines": charts.fold_lines(scores)}
 
 
+def two_series(spark: SparkSession, sf: str, names: tuple | None = None) -> DataFrame:
+    """Series prepared apart, stacked (``names``: all unless given), lagged, and
+    only then freed of rows with nulls: the lag is the previous day on record,
+    not the previous complete one."""
+    from ..functions.features import calendar_parts, cyclical, drop_nulls, lag_feature
+    from ..sources.fixture import fixture_panel
+    p = fixture_panel(spark, sf).drop("y_drop")
+    if names is not None:
+        p = p.where(F.col("series").isin(*names))       # one panel build, then the series asked for
+    p = cyclical(calendar_parts(p, "day", ("month",)), "month", 12, ("sin", "cos"))
+    return drop_nulls(lag_feature(p, "y"))
+
+
 def two_series_study(spark: SparkSession, sf: str, names=("EUROPE", "ASIA"), seed: int = 42) -> dict[str, DataFrame]:
-    """Two series prepared apart (here: one panel's series), stacked, scaled
-    and expanded together, 30% held out, vote of boosting and forest."""
-    from ..functions.features import lag_feature, union_series
+    """The series ``names`` together: scaled and expanded, 30% held out, vote
+    of boosting and forest."""
     from ..operators import charts
     from ..operators.fitting import fit
     from .common import F_NETWORK
-    p = prep(spark, sf, None).drop("y_prev")
-    frames = {n: p.where(F.col("series") == n).drop("series") for n in names}
-    d = lag_feature(union_series(frames), "y").dropna(subset=F_NETWORK + ["y"])
-    d = splits.holdout(d, 0.3, seed, "hash")
+    d = splits.holdout(two_series(spark, sf, names), presets.HOLDOUT, seed, "hash")
     spec = ModelSpec("voting", "voting", F_NETWORK, degree=2, strict=False,
-                     members=[("boost", {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1,
-                                         "colsample_bytree": 0.8}),
-                              ("forest", {"n_estimators": 20, "max_depth": 10})])
+                     members=[("boost", BOOST_SMALL), ("forest", FOREST_SMALL)])
     m = fit(spec, d.where(~F.col("is_test")))
     pred = m.transform(d.where("is_test"))
     return {"metrics": metrics(pred, "y", "prediction"), "scatter": charts.actual_vs_predicted(pred)}
 
 
 def boost_log_study(spark: SparkSession, sf: str, model_path: str, grid: dict | None = None,
-                    seed: int = 42) -> dict[str, DataFrame]:
-    """Log target, scale on all rows, 30% holdout, grid search on training
-    folds (negative RMSE in log space), refit, metrics after expm1, split
-    counts, saved model."""
+                    seed: int = 42, parallelism: int = 4, progress: str | None = None) -> dict[str, DataFrame]:
+    """Log target, scale fitted on each fit's training rows (trees don't depend
+    on it), 30% holdout, grid search on training folds (negative RMSE in log
+    space), refit, metrics after expm1, split counts, saved model, and the
+    winner's scores on five unshuffled blocks of all rows."""
     from ..operators import trees as tr
-    from ..operators.fitting import compare, fit, fold_scores
+    from ..operators.fitting import compare_scores, fit
     from ..sources import io
     from ..session import scratch_path
     from .common import F_TREE
-    grid = grid or {"n_estimators": [10, 20], "learning_rate": [0.1], "max_depth": [3, 5]}
-    d = splits.holdout(prep(spark, sf, F_TREE + ["y"]), 0.3, seed, "hash")
-    train = splits.kfold(d.where(~F.col("is_test")), 5, seed, "hash", salt="|cv").persist()
+    grid = grid or {**presets.BOOST_LOG_GRID, "n_estimators": [10, 20], "learning_rate": [0.1], "max_depth": [3, 5],
+                    "subsample": [1.0], "colsample_bytree": [1.0]}
+    d = splits.holdout(prep(spark, sf, F_TREE + ["y"]), presets.HOLDOUT, seed, "hash")
+    train = splits.kfold(d.where(~F.col("is_test")), presets.FOLDS, seed, "hash", salt="|cv").persist()
     cands = splits.grid_candidates(grid)
     specs = [ModelSpec(f"c{i}", "boost", F_TREE, c, log_target=True, strict=False) for i, c in enumerate(cands)]
-    pred = compare(specs, train).withColumn("y", F.log1p("y")).withColumn("prediction", F.log1p("prediction"))
-    sc = fold_scores(pred).groupBy("model_order").agg(F.avg(-F.col("rmse")).alias("score"))
+    scores = compare_scores(specs, train, parallelism=parallelism, progress=progress, log=True)
+    sc = scores.groupBy("model_order").agg(F.avg(-F.col("rmse")).alias("score"))
     best = sc.orderBy(F.col("score").desc(), "model_order").first()["model_order"]
     m = fit(specs[best], train)
     io.save_model(m.model, model_path)
-    nodes = tr.node_table(spark, m.members[0], scratch_path(spark, "boost_log_nodes"))
-    return {"search": sc, "metrics": metrics(m.transform(d.where("is_test")), "y", "prediction"),
-            "split_importance": tr.split_importance(nodes, F_TREE)}
+    nodes = tr.node_table(spark, m.members[0], scratch_path(spark, f"boost_log_nodes-{uuid.uuid4().hex}"))
+    blocks = splits.kfold(d, presets.FOLDS, seed, "blocks").persist()
+    out = {"search": sc, "metrics": metrics(m.transform(d.where("is_test")), "y", "prediction"),
+           "split_importance": tr.split_importance(nodes, F_TREE),
+           "block_scores": compare_scores([specs[best]], blocks, parallelism=parallelism)}
+    train.unpersist()
+    blocks.unpersist()
+    return out
 
 
 def pca_study(spark: SparkSession, sf: str, names: dict | None = None) -> dict[str, DataFrame]:
@@ -100,23 +121,42 @@ def pca_study(spark: SparkSession, sf: str, names: dict | None = None) -> dict[s
     return {"scores": m.transform(d), "loadings": m.loadings(spark, names or DISPLAY), "variance": ev}
 
 
-def network_study(spark: SparkSession, sf: str, trials: int = 3, epochs: int = 30,
-                  seed: int = 42) -> dict[str, DataFrame]:
-    """Random search over the network space (validation share for early
-    stopping), best trial refit-free (best weights kept), test metrics."""
-    from ..functions.expand import Standardizer, poly, poly_names
-    from ..operators.mlp import fit_mlp, row_key, sample_configs
+def network_data(spark: SparkSession, sf: str, seed: int = 42):
+    """Panel with holdout, validation share and row key, the preprocessing
+    (scale and degree-2 expansion, fitted on the training rows) and its terms."""
+    from ..operators.fitting import _prep_stages
+    from ..operators.mlp import row_key
+    from pyspark.ml import PipelineModel
     from .common import F_NETWORK
-    d = splits.validation(splits.holdout(prep(spark, sf, F_NETWORK + ["y"]), 0.3, seed, "hash"), 0.2, seed)
-    x = poly(Standardizer(F_NETWORK).fit(d).transform(d), F_NETWORK, 2, prefix="t")
-    terms = [f"t{i}" for i in range(len(poly_names(F_NETWORK, 2)))]
-    x = row_key(x).persist()
-    fits = [fit_mlp(x.where(~F.col("is_test")), terms, "y", c) for c in sample_configs(trials, seed, epochs)]
+    d = splits.validation(splits.holdout(prep(spark, sf, F_NETWORK + ["y"]), presets.HOLDOUT, seed, "hash"),
+                          presets.NETWORK_VALIDATION, seed)
+    spec = ModelSpec("network", "ols", F_NETWORK, degree=2)
+    stages, terms = _prep_stages(spec, d.where(~F.col("is_test")), None)
+    return row_key(d), PipelineModel(stages), terms, terms + [c + "__z" for c in F_NETWORK]
+
+
+def network_study(spark: SparkSession, sf: str, trials: int = 3, epochs: int = 30, seed: int = 42,
+                  model_path: str | None = None, configs: list | None = None) -> dict[str, DataFrame]:
+    """Random search over the network space (validation share for early
+    stopping), the best trial's weights kept: trials, best parameters, test
+    metrics; saved with its preprocessing if ``model_path`` is given."""
+    from dataclasses import asdict
+
+    from ..operators.mlp import NetworkModel, fit_mlp, sample_configs
+    from ..sources import io
+    d, pre, terms, drop = network_data(spark, sf, seed)
+    train = pre.transform(d.where(~F.col("is_test"))).persist()
+    fits = [fit_mlp(train, terms, "y", c) for c in configs or sample_configs(trials, seed, epochs)]
+    train.unpersist()
     best = min(range(len(fits)), key=lambda i: min(h["val_loss"] for h in fits[i].history))
     rows = [(i, "-".join(map(str, f.config.hidden)), f.config.learning_rate,
-             float(min(h["val_loss"] for h in f.history))) for i, f in enumerate(fits)]
-    return {"trials": spark.createDataFrame(rows, "trial int, layers string, learning_rate double, val_loss double"),
-            "metrics": metrics(fits[best].transform(x.where("is_test")), "y", "prediction")}
+             float(min(h["val_loss"] for h in f.history)), len(f.history)) for i, f in enumerate(fits)]
+    model = NetworkModel(fits[best], pre, drop)
+    if model_path:
+        io.save_model(model, model_path)
+    return {"trials": spark.createDataFrame(rows, "trial int, layers string, learning_rate double, val_loss double, epochs int"),
+            "best": spark.createDataFrame([(best, json.dumps(asdict(fits[best].config)))], "trial int, params string"),
+            "metrics": metrics(model.transform(d.where("is_test")), "y", "prediction")}
 
 
 def tree_study(spark: SparkSession, sf: str, kind: str = "tree", grid: dict | None = None,
@@ -128,9 +168,9 @@ def tree_study(spark: SparkSession, sf: str, kind: str = "tree", grid: dict | No
     ``grid`` defaults to the reference grid (presets); ``progress`` (shared
     folder) keeps finished (candidate, fold) predictions so a long search
     resumes after a failure."""
-    from ..operators import presets, selection
+    from ..operators import selection
     from ..operators import trees as tr
-    from ..operators.fitting import compare, fit, fold_scores
+    from ..operators.fitting import compare_scores, fit
     from .common import F_TREE
     grid = grid or (presets.TREE_GRID if kind == "tree" else presets.FOREST_GRID)
     d = splits.holdout(prep(spark, sf, F_TREE + ["y"]), presets.HOLDOUT, seed, "hash")
@@ -138,7 +178,7 @@ def tree_study(spark: SparkSession, sf: str, kind: str = "tree", grid: dict | No
     cands = splits.grid_candidates(grid)
     specs = [ModelSpec(f"c{i}", kind, F_TREE, c, scale=(kind == "forest"), strict=strict)
              for i, c in enumerate(cands)]
-    sc = fold_scores(compare(specs, train, parallelism=parallelism, progress=progress))
+    sc = compare_scores(specs, train, parallelism=parallelism, progress=progress)
     board = sc.groupBy("model_order").agg(F.avg("r2").alias("mean_r2")).orderBy(F.col("mean_r2").desc(), "model_order")
     best = board.first()["model_order"]
     m = fit(specs[best], train)
@@ -155,9 +195,9 @@ def boost_search_study(spark: SparkSession, sf: str, space: dict | None = None,
     metrics, gain importance, then five-fold scores of the winner on all
     rows with their mean, population std and stability flag."""
     from ..functions.expand import poly_names
-    from ..operators import presets, selection
+    from ..operators import selection
     from ..operators import trees as tr
-    from ..operators.fitting import compare, fit, fold_scores
+    from ..operators.fitting import compare_scores, fit
     from ..session import scratch_path
     from .common import F_NETWORK
     space = space or presets.BOOST_SPACE
@@ -168,14 +208,16 @@ def boost_search_study(spark: SparkSession, sf: str, space: dict | None = None,
     train = splits.kfold(d.where(~F.col("is_test")), presets.FOLDS, seed, "hash", salt="|cv").persist()
     specs = [ModelSpec(f"draw{r['draw']}", "boost", F_NETWORK, {k: r[k] for k in space}, degree=2,
                        strict=False) for r in picked]
-    sc = fold_scores(compare(specs, train, parallelism=parallelism, progress=progress))
+    sc = compare_scores(specs, train, parallelism=parallelism, progress=progress)
     board = sc.groupBy("model_order").agg(F.avg("r2").alias("mean_r2")).orderBy(F.col("mean_r2").desc(), "model_order")
     best = board.first()["model_order"]
     m = fit(specs[best], train)
-    nodes = tr.node_table(spark, m.members[0], scratch_path(spark, f"boost_search_nodes_{seed}"))
+    nodes = tr.node_table(spark, m.members[0], scratch_path(spark, f"boost_search_nodes-{uuid.uuid4().hex}"))
     names = poly_names(F_NETWORK, 2)
     allf = splits.kfold(d, presets.FOLDS, seed, "hash").persist()
-    cv = fold_scores(compare([specs[best]], allf)).select("fold", "r2")
+    cv = compare_scores([specs[best]], allf).select("fold", "r2")
+    train.unpersist()
+    allf.unpersist()
     summ = cv.agg(F.avg("r2").alias("mean_r2"), F.stddev_pop("r2").alias("std_r2")) \
              .withColumn("status", F.when(F.col("std_r2") < presets.STABILITY_LIMIT, "OK").otherwise("CHECK"))
     return {"search": board, "metrics": metrics(m.transform(d.where("is_test")), "y", "prediction"),

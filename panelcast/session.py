@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, app: str = "panelcast",
@@ -71,18 +71,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def materialize(df: DataFrame, reliable: bool = True) -> DataFrame:
-    """Cut lineage of a frame reused by many jobs (searches, epochs).
-
-    ``reliable=True`` writes a checkpoint to the shared folder, so lost
-    executors do not force a recompute from the scan; ``False`` only caches.
-    """
-    if reliable:
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    return df.cache()
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a finished table (its ``_SUCCESS`` marker) exists at ``path``
     on the cluster's file system."""
@@ -92,6 +80,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(conf).exists(p))
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished tables (with their ``_SUCCESS`` marker) in a
+    folder; none if it does not exist."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return [n for n in names if path_exists(spark, f"{path.rstrip('/')}/{n}")]
+
+
 _SHIPPED: set = set()
 
 

@@ -16,9 +16,14 @@ REFERENCE_SCHEMA = T.StructType(
 
 
 def read_panel(spark: SparkSession, path: str, schema: T.StructType | None = None,
-               fmt: str = "parquet", required: list[str] | None = None) -> DataFrame:
+               fmt: str = "parquet", required: list[str] | None = None,
+               keys: tuple = ()) -> DataFrame:
     """Read a daily table with a fixed schema.
 
+    ``keys``: columns that must tell rows apart, such as ``("series",
+    "day")``; lags and exact folds rest on it.  One aggregation checks it,
+    and a repeated key raises.
+
     CSV is read ``FAILFAST`` with a header, so a malformed record stops the
     job instead of turning into nulls.  ``required`` lists columns that must
     be present (the plan is fixed on read and checked here, not later).
@@ -35,6 +40,16 @@ def read_panel(spark: SparkSession, path: str, schema: T.StructType | None = Non
     missing = [c for c in (required or []) if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing} in {path}")
+    if keys:
+        check_keys(df, keys)
+    return df
+
+
+def check_keys(df: DataFrame, keys=("series", "day")) -> DataFrame:
+    """``df`` itself if no two rows have the same ``keys``, else an error."""
+    twice = df.groupBy(*keys).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"repeated key {tuple(twice[0])[:-1]} in {tuple(keys)}")
     return df
 
 
@@ -51,16 +66,26 @@ def drop_columns(df: DataFrame, cols: list[str] | str, strict: bool = True) -> D
 def save_model(model, path: str) -> str:
     """Persist a fitted model together with its preprocessing stages.
 
-    Every model in this package is a ``pyspark.ml.PipelineModel`` whose
-    stages are built-in (SQL transformers, assemblers, tree ensembles), so
-    the directory is readable by plain Spark.
+    A network is written as its weights (one Parquet row) beside its
+    preprocessing pipeline.  Every other model is a
+    ``pyspark.ml.PipelineModel`` whose stages are built-in (SQL transformers,
+    assemblers, tree ensembles), so the directory is readable by plain Spark.
     """
+    from ..operators.mlp import NetworkModel
+    if isinstance(model, NetworkModel):
+        return model.save(SparkSession.getActiveSession(), path)
     model.write().overwrite().save(path)
     return path
 
 
 def load_model(path: str):
     from pyspark.ml import PipelineModel
+
+    from ..operators.mlp import NetworkModel
+    from ..session import path_exists
+    spark = SparkSession.getActiveSession()
+    if path_exists(spark, f"{path}/network"):
+        return NetworkModel.load(spark, path)
     return PipelineModel.load(path)
 
 
