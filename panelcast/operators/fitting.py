@@ -118,6 +118,14 @@ def _moments(spec: ModelSpec, df: DataFrame, target: str, scaler: StandardizerMo
     return scaler, shift
 
 
+def _expansion(spec: ModelSpec) -> dict:
+    """The columns that a model's terms are products of, and the products."""
+    if spec.degree < 2 or not spec.features:
+        return {}
+    return {"base": [c + "__z" for c in spec.features] if spec.scale else list(spec.features),
+            "monomials": poly_terms(len(spec.features), spec.degree, spec.interaction_only, spec.bias)}
+
+
 def _label(spec: ModelSpec, target: str):
     y = F.col(target).cast("double")
     return F.log1p(y) if spec.log_target else y
@@ -133,7 +141,7 @@ def fit(spec: ModelSpec, train: DataFrame, target: str = "y",
     xt = PipelineModel(pre).transform(train).withColumn("__label", _label(spec, target))
     notes, members = [], []
     if spec.kind in LINEAR:
-        lf = GramSet(xt, terms, "__label", by=(), shift=shift).fit(spec.kind, float(spec.params.get("alpha", 0.0)))
+        lf = GramSet(xt, terms, "__label", by=(), shift=shift, **_expansion(spec)).fit(spec.kind, float(spec.params.get("alpha", 0.0)))
         lf.meta["terms"] = spec.term_names()
         post = [lf.stage("prediction")]
         fitted_linear = lf
@@ -172,7 +180,7 @@ def _linear_single_pass(spec: ModelSpec, df: DataFrame, target: str, fold: str,
     sc, shift = _moments(spec, df, target, scaler)
     pre, terms = _prep_stages(spec, df, sc)
     xt = PipelineModel(pre).transform(df).withColumn("__label", _label(spec, target))
-    gs = GramSet(xt, terms, "__label", by=(fold,), shift=shift)
+    gs = GramSet(xt, terms, "__label", by=(fold,), shift=shift, **_expansion(spec))
     pred = None
     for (f,) in sorted(gs.mats):
         lf = gs.fit(spec.kind, float(spec.params.get("alpha", 0.0)), keep=lambda k, f=f: k[0] != f)

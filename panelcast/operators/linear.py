@@ -138,11 +138,14 @@ class GramSet:
     """Gram matrices of a frame by group, with the shift they were taken at."""
 
     def __init__(self, df: DataFrame, features: list[str], target: str,
-                 by: list[str] | tuple = ("fold",), shift: list[float] | None = None):
+                 by: list[str] | tuple = ("fold",), shift: list[float] | None = None,
+                 base: list[str] | None = None, monomials: list[tuple] | None = None):
+        """``base`` and ``monomials``: ``features`` are these products of the
+        base columns, which then are all that wide passes read."""
         from .moments import column_means
         self.features, self.target, self.by = list(features), target, list(by)
         self.shift = shift if shift is not None else column_means(df, self.features + [target])
-        self.mats = gram_matrices(fold_gram(df, self.features, target, self.by, self.shift), self.by)
+        self.mats = gram_matrices(fold_gram(df, self.features, target, self.by, self.shift, base=base, monomials=monomials), self.by)
 
     def stats(self, keep=lambda k: True) -> Stats:
         return Stats(sum_groups(self.mats, keep))
@@ -215,10 +218,22 @@ def nested_cv(gs: GramSet, kind: str, alphas: list[float] | None = None,
         test = gs.stats(lambda k: k[0] == f)
         w, a = solve(train, kind, cands[ci]["alpha"])
         sc = fold_score(test, w, a)
-        out.append({"fold": int(f), "alpha": cands[ci]["alpha"], "inner_score": inner_best, **sc})
+        model = LinearFit(gs.features, [float(x) for x in w], unshift(w, a, gs.shift), kind, cands[ci]["alpha"])
+        out.append({"fold": int(f), "alpha": cands[ci]["alpha"], "inner_score": inner_best, "model": model, **sc})
     return out
 
 
+def nested_metrics(df: DataFrame, nested: list[dict], target: str = "y", fold: str = "fold") -> DataFrame:
+    """n, MAE, MSE, RMSE and R2 of every outer fold, from one row pass: each
+    row is predicted by the model of its own outer fold's search."""
+    from ..functions.metrics import metrics
+    pred = None
+    for r in nested:
+        e = r["model"].prediction()
+        pred = F.when(F.col(fold) == r["fold"], e) if pred is None else pred.when(F.col(fold) == r["fold"], e)
+    return metrics(df.withColumn("prediction", pred), target, "prediction", [fold])
+
+
 def lasso_selection(fit: LinearFit, names: list[str] | None = None) -> list[tuple[str, bool]]:
     """Features kept (coefficient != 0) and eliminated (== 0)."""
     names = names or fit.features
@@ -244,5 +259,6 @@ def nested_cv_blocks(df: DataFrame, features: list[str], target: str, kind: str,
         ci, inner_best = best_of(cv_scores(inner, cands), len(cands), metric)
         w, a = solve(inner.stats(), kind, cands[ci]["alpha"])          # all inner blocks = outer training rows
         sc = fold_score(outer.stats(lambda k, f=f: k[0] == f), w, a)
-        out.append({"fold": int(f), "alpha": cands[ci]["alpha"], "inner_score": inner_best, **sc})
+        model = LinearFit(outer.features, [float(x) for x in w], unshift(w, a, shift), kind, cands[ci]["alpha"])
+        out.append({"fold": int(f), "alpha": cands[ci]["alpha"], "inner_score": inner_best, "model": model, **sc})
     return out

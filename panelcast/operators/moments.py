@@ -31,16 +31,25 @@ def column_means(df: DataFrame, cols: list[str]) -> list[float]:
 # method limit, so tasks fold rows into partial matrices with NumPy.
 JVM_MAX_SUMS = 66      # q(q+1)/2 for q = 11: ten inputs and the target
 BLOCK = 64             # partial sums per shuffled row on the wide path
+MAX_COLUMNS = 2_000    # of a Gram matrix: 2 million numbers, 16 MB, per group
 
 
 def fold_gram(df: DataFrame, cols: list[str], target: str, by: list[str] | tuple = ("fold",),
-              shift: list[float] | None = None, method: str = "auto") -> DataFrame:
+              shift: list[float] | None = None, method: str = "auto",
+              base: list[str] | None = None, monomials: list[tuple] | None = None) -> DataFrame:
     """Long table ``(by..., i, j, value)`` of ``sum(z_i * z_j)`` for ``i <= j``
     over ``z = [1, cols - shift, target - shift_y]``; ``i = 0`` is the count
-    and the plain sums.  ``method``: ``jvm``, ``arrow`` or ``auto``."""
+    and the plain sums.  ``method``: ``jvm``, ``arrow`` or ``auto``.
+
+    If ``cols`` are products of ``base`` columns, ``monomials`` (index tuples,
+    one per column) lets the wide pass read the base columns only and expand
+    them inside the task.  ``MAX_COLUMNS`` bounds the matrices that reach the
+    driver: groups x q(q+1)/2 numbers, packed 64 to a row."""
     by = list(by)
     names = list(cols) + [target]
     q = len(names) + 1
+    if q > MAX_COLUMNS:
+        raise ValueError(f"{q} columns; Gram matrices are solved on the driver up to {MAX_COLUMNS}")
     if shift is None:
         shift = column_means(df, names)
     n_sums = q * (q + 1) // 2
@@ -62,7 +71,14 @@ def fold_gram(df: DataFrame, cols: list[str], target: str, by: list[str] | tuple
                 continue
             z = np.empty((len(pdf), q))
             z[:, 0] = 1.0
-            z[:, 1:] = pdf[names].to_numpy(dtype=float) - shift_arr
+            if monomials is None:
+                z[:, 1:] = pdf[names].to_numpy(dtype=float)
+            else:
+                x = pdf[base].to_numpy(dtype=float)
+                for c, term in enumerate(monomials, 1):
+                    z[:, c] = x[:, list(term)].prod(axis=1)
+                z[:, -1] = pdf[target].to_numpy(dtype=float)
+            z[:, 1:] -= shift_arr
             if by:
                 groups = pdf.groupby(by, sort=False).indices
             else:
@@ -80,7 +96,8 @@ def fold_gram(df: DataFrame, cols: list[str], target: str, by: list[str] | tuple
             out.update({"block": np.arange(n_blocks, dtype="int32"), "v": list(blocks)})
             yield pd.DataFrame(out)
 
-    parts = df.select(*by, *names).mapInPandas(partial, schema)
+    read = names if monomials is None else [*base, target]
+    parts = df.select(*by, *read).mapInPandas(partial, schema)
     # one row per (task, group, block) is shuffled; BLOCK exact sums per row
     summed = parts.groupBy(*by, "block").agg(
         F.array(*[F.sum(F.col("v")[t]) for t in range(BLOCK)]).alias("s"))
@@ -88,8 +105,10 @@ def fold_gram(df: DataFrame, cols: list[str], target: str, by: list[str] | tuple
         .withColumn("idx", F.col("block") * BLOCK + F.col("pos")).where(F.col("idx") < n_sums)
     ii = F.array(*[F.lit(int(x)) for x in iu0])
     jj = F.array(*[F.lit(int(x)) for x in iu1])
-    return flat.select(*by, F.element_at(ii, F.col("idx") + 1).alias("i"),
-                       F.element_at(jj, F.col("idx") + 1).alias("j"), "value")
+    out = flat.select(*by, F.element_at(ii, F.col("idx") + 1).alias("i"),
+                      F.element_at(jj, F.col("idx") + 1).alias("j"), "value")
+    out._packed = (summed, q)
+    return out
 
 
 def _fold_gram_jvm(df: DataFrame, names: list[str], by: list[str], shift) -> DataFrame:
@@ -111,9 +130,23 @@ def _fold_gram_jvm(df: DataFrame, names: list[str], by: list[str], shift) -> Dat
 def gram_matrices(gram: DataFrame, by: list[str] | tuple = ("fold",)) -> dict[tuple, np.ndarray]:
     """Collect the (small) long Gram table into symmetric matrices per group."""
     by = list(by)
+    if hasattr(gram, "_packed"):           # 64 numbers to a row instead of one
+        summed, q = gram._packed
+        iu = np.triu_indices(q)
+        flat: dict[tuple, np.ndarray] = {}
+        n_sums = len(iu[0])
+        for r in summed.collect():
+            v = flat.setdefault(tuple(r[b] for b in by), np.zeros(-(-n_sums // BLOCK) * BLOCK))
+            v[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = r["s"]
+        out = {}
+        for k, v in flat.items():
+            m = np.zeros((q, q))
+            m[iu] = v[:n_sums]
+            out[k] = m + m.T - np.diag(np.diag(m))
+        return out
     rows = gram.collect()
     q = max(r["j"] for r in rows) + 1
-    out: dict[tuple, np.ndarray] = {}
+    out = {}
     for r in rows:
         k = tuple(r[b] for b in by)
         m = out.setdefault(k, np.zeros((q, q)))

@@ -250,7 +250,7 @@ def q_random_search(spark, sf):
 
 
 # ------------------------------------------------------------- nested search
-@register("nested_cv", sql=f"""WITH {O.prep_ctes(_TWO_COLS)}, z AS (SELECT *,
+_NESTED = f"""WITH {O.prep_ctes(_TWO_COLS)}, z AS (SELECT *,
     CAST({O.hash_bits(O.hash_expr(SEED))} % {K} AS INTEGER) AS fold,
     CAST({O.hash_bits(O.hash_expr(SEED, '|inner'))} % {K} AS INTEGER) AS inner_fold, {_zsql(F_TWO)} FROM clean),
   ko AS (SELECT DISTINCT fold AS k FROM z), ki AS (SELECT DISTINCT inner_fold AS j FROM z),
@@ -263,7 +263,10 @@ def q_random_search(spark, sf):
   ib AS (SELECT k, alpha_idx, alpha, avg(r2) AS m, row_number() OVER (PARTITION BY k ORDER BY avg(r2) DESC, alpha_idx) AS rn
     FROM isc GROUP BY k, alpha_idx, alpha),
   ost AS (SELECT ko.k, {O.stats_cols(Z)} FROM z t JOIN ko ON t.fold <> ko.k GROUP BY ko.k),
-  oco AS (SELECT ost.k, ib.alpha, ib.m, {O.coef_cols(2, 'ib.alpha')} FROM ost JOIN ib ON ost.k = ib.k AND ib.rn = 1),
+  oco AS (SELECT ost.k, ib.alpha, ib.m, {O.coef_cols(2, 'ib.alpha')} FROM ost JOIN ib ON ost.k = ib.k AND ib.rn = 1)"""
+
+
+@register("nested_cv", sql=_NESTED + f""",
   osc AS (SELECT s.fold, oco.alpha, oco.m,
       1 - sum((s.y - (oco.b0 + oco.w1 * s.{Z[0]} + oco.w2 * s.{Z[1]})) * (s.y - (oco.b0 + oco.w1 * s.{Z[0]} + oco.w2 * s.{Z[1]})))
         / (var_pop(s.y) * count(*)) AS r2
@@ -278,6 +281,17 @@ def q_nested_cv(spark, sf):
         .withColumns({"inner_score": R("inner_score"), "r2": R("r2")})
 
 
+@register("nested_cv_metrics", sql=_NESTED + f""",
+  p AS (SELECT s.fold, s.y, oco.b0 + oco.w1 * s.{Z[0]} + oco.w2 * s.{Z[1]} AS prediction FROM z s JOIN oco ON s.fold = oco.k)
+  {_metrics_sql('p', 'fold')}""")
+def q_nested_cv_metrics(spark, sf):
+    """The nested search with all four metrics of each outer fold."""
+    d = splits.nested_folds(prep(spark, sf, _TWO_COLS), K, K, SEED, "hash")
+    d = Standardizer(F_TWO, suffix="_z").fit(d).transform(d)
+    gs = linear.GramSet(d, Z, "y", by=["fold", "inner"])
+    return _round_metrics(linear.nested_metrics(d, linear.nested_cv(gs, "ridge", ALPHAS)))
+
+
 @register("refit_best", sql=f"""WITH {O.prep_ctes(_TWO_COLS)}, za AS (SELECT *,
     {O.hash_bits(_H)} / 4294967296.0 < 0.3 AS is_test,
     CAST({O.hash_bits(O.hash_expr(SEED, '|cv'))} % {K} AS INTEGER) AS fold, {_zsql(F_TWO)} FROM clean),
@@ -632,31 +646,22 @@ def q_network_search(spark, sf):
 # ============================================================ whole studies
 @register("linear_study")
 def q_linear_study(spark, sf):
-    """The linear study end to end: scale on all rows, degree-3 interactions
-    with bias (26 terms), 30% holdout, Ridge and Lasso each searched over
-    ten penalties on five folds of the training rows (one Gram pass), Ridge
-    kept only if strictly better, refit, nonzero coefficients by size."""
-    d = prep(spark, sf, F_LINEAR + ["y_prev", "y"])
-    z = Standardizer(F_LINEAR).fit(d).transform(d)
-    x = poly(z, F_LINEAR, 3, interaction_only=True, bias=True, prefix="t")
-    names = poly_names(F_LINEAR, 3, True, True)
-    terms = [f"t{i}" for i in range(len(names))]
-    x = splits.holdout(x, 0.3, SEED, "hash")
-    train = splits.kfold(x.where(~F.col("is_test")), K, SEED, "hash", salt="|cv")
-    gs = linear.GramSet(train, terms, "y", by=["fold"])
-    best = {}
-    for kind in ("ridge", "lasso"):
-        cands = linear.linear_candidates(kind, ALPHAS)
-        ci, score = linear.best_of(linear.cv_scores(gs, cands), len(cands))
-        best[kind] = (cands[ci]["alpha"], score)
-    fam = selection.best_family("ridge", best["ridge"][1], "lasso", best["lasso"][1])
-    model = gs.fit(fam, best[fam][0])
-    test = metrics(model.transform(x.where("is_test")), "y", "prediction").first()
-    coefs = spark.createDataFrame(model.coef_rows(names), "term string, coef double")
-    out = selection.sort_coefs(coefs)
-    return out.select("term", R("coef").alias("coef"), "position",
-                      F.lit(fam).alias("family"), F.lit(best[fam][0]).alias("alpha"),
-                      F.lit(float(test["r2"])).alias("test_r2"))
+    """The linear study end to end (``studies.linear_study``): nonzero
+    coefficients by size, with the holdout metrics of the winner."""
+    from .studies import linear_study
+    out = linear_study(spark, sf)
+    test, best = out["metrics"].first(), out["best"].first()
+    return out["coefs"].select("term", R("coef").alias("coef"), "position", F.lit(best["family"]).alias("family"),
+                               F.lit(best["alpha"]).alias("alpha"),
+                               *[F.lit(float(test[m])).alias(f"test_{m}") for m in ("r2", "mae", "mse", "rmse")])
+
+
+@register("linear_study_nested")
+def q_linear_study_nested(spark, sf):
+    """Nested search over the study's winning family, all four metrics of each
+    outer fold."""
+    from .studies import linear_study
+    return _round_metrics(linear_study(spark, sf)["nested"])
 
 
 @register("nested_cv_blocks", sql=f"""WITH {O.prep_ctes(_TWO_COLS)}, z0 AS (SELECT *,
