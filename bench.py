@@ -27,6 +27,7 @@ def main():
     from panelcast.operators.fitting import ModelSpec, cross_validate
     from panelcast.plans.common import F_COMPARE, prep
     from panelcast.plans.registry import all_queries
+    from panelcast.plans.studies import flagship
 
     qs = all_queries()
 
@@ -42,11 +43,11 @@ def main():
     def supplier_ridge_lasso_grid():
         # 2 families x 10 penalties x 5 folds from one Gram pass over the supplier panel
         d = splits.kfold(prep(spark, sf, F_COMPARE + ["y"], key="supplier"), 5, 42, "hash")
-        from panelcast.functions.expand import Standardizer, poly
+        from panelcast.functions.expand import Standardizer, poly, poly_terms
         z = Standardizer(F_COMPARE).fit(d).transform(d)
         x = poly(z, F_COMPARE, 2, prefix="t")
         terms = [f"t{i}" for i in range(44)]
-        gs = linear.GramSet(x, terms, "y", by=["fold"])
+        gs = linear.GramSet(x, terms, "y", by=["fold"], base=F_COMPARE, monomials=poly_terms(8, 2))
         rows = []
         for kind in ("ridge", "lasso"):
             cands = linear.linear_candidates(kind, linear.REFERENCE_ALPHAS)
@@ -77,7 +78,9 @@ def main():
         ("supplier_exact_folds", supplier_exact_folds),
         ("supplier_ols_cv", supplier_ols_cv),
         ("supplier_ridge_lasso_grid", supplier_ridge_lasso_grid),
-        ("flagship_region", lambda: qs["fold_metrics"](spark, sf)),
+        ("flagship_region", lambda: flagship(spark, sf)),
+        ("fold_metrics", lambda: qs["fold_metrics"](spark, sf)),
+        ("union_series", lambda: qs["union_series"](spark, sf)),
         ("nested_cv", lambda: qs["nested_cv"](spark, sf)),
         ("grid_search", lambda: qs["grid_search"](spark, sf)),
         ("decision_tree", lambda: qs["decision_tree"](spark, sf)),
@@ -85,6 +88,9 @@ def main():
         ("boosting", lambda: qs["boosting"](spark, sf)),
         ("pca", lambda: qs["pca"](spark, sf)),
         ("mlp_regression", lambda: qs["mlp_regression"](spark, sf)),
+        ("network_search", lambda: qs["network_search"](spark, sf)),
+        ("tree_search", lambda: qs["tree_search"](spark, sf)),
+        ("compare_models", lambda: qs["compare_models"](spark, sf)),
         ("fit_tree_depth10", lambda: fit_only(ModelSpec("t", "tree", F_TREE, {"max_depth": 10}, scale=False))),
         ("fit_forest20_depth10", lambda: fit_only(ModelSpec("f", "forest", F_TREE,
                                                             {"n_estimators": 20, "max_depth": 10}, scale=False))),

@@ -120,3 +120,19 @@ def test_read_panel_failfast_and_required(spark, tmp_path):
     assert io.read_panel(spark, str(good), schema=schema, fmt="csv", required=["y"]).count() == 1
     with pytest.raises(ValueError):
         io.read_panel(spark, str(good), schema=schema, fmt="csv", required=["x"])
+
+
+def test_unlog_undoes_log_target(spark):
+    from panelcast.functions.features import log_target, unlog
+    d = spark.createDataFrame([(0.0,), (3.5,), (120.0,)], "y double")
+    names = [c for c in log_target(d, "y").columns if c != "y"] or ["y"]
+    back = unlog(log_target(d, "y"), names)
+    assert [round(r[names[0]], 9) for r in back.collect()] == [0.0, 3.5, 120.0]
+
+
+def test_prepare_daily_is_the_steps_one_by_one(spark):
+    from panelcast.functions.features import calendar_parts, cyclical, drop_nulls, lag_feature, prepare_daily
+    d = spark.sql("select 'a' series, date_add(date'2020-01-30', cast(id as int)) day, id y, 1 z from range(5)")
+    want = drop_nulls(lag_feature(cyclical(calendar_parts(d.drop("z"), "day", ("month",)), "month", 12, ("sin", "cos")), "y"), None)
+    got = prepare_daily(d, drop=["z"])
+    assert got.columns == want.columns and got.collect() == want.collect() and got.count() == 4
