@@ -247,23 +247,18 @@ def region_sizes(members: DataFrame, key: str = "region") -> DataFrame:
 _SMALL = f"(`rows` <= {REGION_ROWS} and weight <= {REGION_SHINGLES})"
 
 
-def chunked(members: DataFrame, sizes: DataFrame, rows: int = REGION_ROWS // 2, weight: int = REGION_SHINGLES // 2) -> DataFrame:
-    """Members with ``parts`` of their region and their own ``part``."""
-    parts = F.greatest(F.ceil(F.col("rows") / rows), F.ceil(F.col("weight") / weight)).cast("int")
-    return (members.join(F.broadcast(sizes.select("region", parts.alias("parts"))), "region")
-            .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")))
-
-
-def voronoi(members: DataFrame, sizes: DataFrame, depth: int) -> DataFrame:
+def voronoi(members: DataFrame, sizes: DataFrame, n: int, depth: int) -> DataFrame:
     """region, id, home (nearest pivot, the smaller id of two), linked (to it),
-    cells (pivots whose region the document belongs to, home included)."""
-    few = F.broadcast(sizes.select("region", "rows"))
+    cells (pivots whose region the document belongs to, home included).  The
+    ``n`` regions are worked on in parts of bounded size."""
+    count = F.greatest(F.ceil(F.col("rows") / (REGION_ROWS // 2)), F.ceil(F.col("weight") / (REGION_SHINGLES // 2))).cast("int")
+    few = maybe_broadcast(sizes.select("region", "rows", count.alias("parts")), n)
     pivots = (members.join(few, "region").where(F.pmod(F.xxhash64("id", F.lit(depth)), F.col("rows")) < PIVOTS)
-              .select("region", F.col("id").alias("pid"), F.col("set").alias("pset")))
-    parts = chunked(members, sizes)
-    everywhere = pivots.join(F.broadcast(sizes.select("region", F.greatest(
-        F.ceil(F.col("rows") / (REGION_ROWS // 2)), F.ceil(F.col("weight") / (REGION_SHINGLES // 2))).cast("int").alias("parts"))), "region")
-    everywhere = everywhere.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+              .select("region", "parts", F.col("id").alias("pid"), F.col("set").alias("pset")))
+    parts = (members.join(few, "region").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+             .select("region", "part", "id", "n", "set"))
+    # new names, as both sides of the cogroup come from the same table
+    everywhere = pivots.select(F.col("region").alias("to"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), "pid", "pset")
 
     def near(m: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -284,7 +279,7 @@ def voronoi(members: DataFrame, sizes: DataFrame, depth: int) -> DataFrame:
                 out = [(r, x, -1, False, np.array([-1])) for r, x in zip(m["region"], m["id"])]
         return pd.DataFrame(out, columns=["region", "id", "home", "linked", "cells"])
 
-    return (parts.groupBy("region", "part").cogroup(everywhere.groupBy("region", "part"))
+    return (parts.groupBy("region", "part").cogroup(everywhere.groupBy("to", "chunk"))
             .applyInPandas(near, "region long, id long, home long, linked boolean, cells array<long>"))
 
 
@@ -330,7 +325,7 @@ def join_regions(members: DataFrame) -> list[DataFrame]:
         if not n:
             return found
         inside = staged(members.join(big.select("region"), "region", "left_semi"), "jac-inside")
-        placed = staged(voronoi(inside, big, depth), "jac-placed")
+        placed = staged(voronoi(inside, big, n, depth), "jac-placed")
         found.append(placed.where("linked and id <> home").select(F.col("id").alias("a"), F.col("home").alias("b")))
         cells = placed.select("region", "id", F.explode("cells").alias("cell"))
         # a region is split if its cells cost at most half of what it costs itself
