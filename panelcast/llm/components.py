@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged
+from .common import drop_staged, maybe_broadcast, staged
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,26 +14,29 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round every node takes the smallest label among its neighbours, then
     its label's label, so labels travel further with each round.  A hub that
     many edges share is summed up before each shuffle of the aggregate, and its
-    join is one that Spark can split.  Rounds end when no label has changed.
+    join is one that Spark can split.  Labels are broadcast where the nodes are
+    counted to be few, which leaves one shuffle to a round.  Rounds end when no
+    label has changed.
     """
     pairs = edges.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).where("x <> y")
     both = staged(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "cc-edges")
     labels = staged(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")), "cc-labels")
-    total = _total(labels)
+    nodes, total = _total(labels)
     while True:
-        seen = (both.join(labels.select(F.col("x").alias("y"), F.col("label")), "y")
-                .groupBy("x").agg(F.min("label").alias("near")))
-        near = labels.join(seen, "x").select("x", F.least("label", "near").alias("label"))
+        known = maybe_broadcast(labels, nodes)
+        near = (both.join(known.select(F.col("x").alias("y"), "label"), "y")
+                .groupBy("x").agg(F.min("label").alias("near"))
+                .join(known, "x").select("x", F.least("label", "near").alias("label")))
         near = staged(near, "cc-near")
-        jump = near.select(F.col("x").alias("label"), F.col("label").alias("far"))
+        jump = maybe_broadcast(near.select(F.col("x").alias("label"), F.col("label").alias("far")), nodes)
         new = staged(near.join(jump, "label", "left").select("x", F.least("label", F.coalesce("far", "label")).alias("label")), "cc-labels")
         drop_staged(near)
         drop_staged(labels)
-        labels, before, total = new, total, _total(new)
+        labels, before, (_, total) = new, total, _total(new)
         if total == before:
             drop_staged(both)
             return labels.select(F.col("x").alias("id"), "label")
 
 
 def _total(labels: DataFrame):
-    return labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+    return labels.agg(F.count("*"), F.sum(F.col("label").cast("decimal(38,0)"))).first()
