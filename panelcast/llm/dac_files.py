@@ -30,13 +30,14 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe_cuts import byte_chars
 from .common import shared_path, staged
 
 MAGIC = b"DACF"
@@ -158,9 +159,12 @@ _TOKENIZERS: dict = {}
 class WordEncoder:
     """The tokenizers library over a text's words.  The vocabulary drops white
     space and never joins over it, so each piece between white space is
-    encoded by itself and remembered."""
+    encoded by itself and remembered.  New words go through the library in one
+    call, with a special token between them, whose id tells them apart."""
 
-    MEMO = 200_000
+    MEMO = 400_000
+    # letters whose lower case and composed form are single letters of the same range
+    plain = staticmethod(re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,!?;:]?)").fullmatch)
     odd = staticmethod(re.compile("[\x1c-\x1f]").search)     # white space to str.split() alone
 
     def __init__(self, path: str):
@@ -169,18 +173,46 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.memo: dict[str, np.ndarray] = {}
+        self.special = {t.content for t in self.tok.get_added_tokens_decoder().values() if t.special and not t.normalized}
+        self.mark = min(self.special, default=None)
+        self.memo: dict[str, bytes] = {}
+        chars = {b: c for c, b in byte_chars().items()}
+        self.spell = {c: "".join(chars[b] for b in chr(c).encode()) for c in range(0x80, 0x180)}
+        self.marks = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ["", *".,!?;:"]}
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of words, as bytes.  Words of Latin letters, with a
+        mark behind them or without, are lower-cased and spelled in bytes here
+        and go to the library's BPE model; all others through its pipeline."""
+        others, model, memo, marks = [], self.tok.model.tokenize, self.memo, self.marks
+        for w in words:
+            m = self.plain(w)
+            if m is None:
+                others.append(w)
+            else:
+                low = m[1].lower()
+                ids = [t.id for t in model(low if low.isascii() else low.translate(self.spell))]
+                memo[w] = array("I", ids).tobytes() + marks[m[2]]
+        alone = [w for w in others if self.mark is None or any(t in w for t in self.special)]
+        for w, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False)):
+            memo[w] = np.array(e.ids, "<u4").tobytes()
+        rest = [w for w in others if w not in memo]
+        if rest:
+            ids = np.array(self.tok.encode(self.mark.join(rest), add_special_tokens=False).ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.tok.token_to_id(self.mark)), len(ids))
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(rest, (4 * ends).tolist()):
+                memo[w] = raw[at:end]
+                at = end + 4
 
     def encode(self, texts: list[str], end: int | None) -> list[np.ndarray]:
         if len(self.memo) > self.MEMO:
             self.memo.clear()
         split = [re.split(r"[\t-\r ]+", t) if self.odd(t) else t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.memo})
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            self.memo[w] = tuple(e.ids)
-        last = () if end is None else (end,)
+        self.learn(list(set().union(*split).difference(self.memo)))
+        last = b"" if end is None else np.array([end], "<u4").tobytes()
         get = self.memo.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, words)), last), np.uint32) for words in split]
+        return [np.frombuffer(b"".join(map(get, words)) + last, "<u4") for words in split]
 
 
 def word_encoder(path: str) -> WordEncoder:

@@ -74,6 +74,15 @@ def check_tokens(spark, docs, rows):
     return files
 
 
+def test_words_encode_as_the_library_does():
+    tok, enc = library("word_bpe_49k.json"), dac_files.word_encoder(queries.vocabulary("word_bpe_49k.json"))
+    r = random.Random(5)
+    some = [*"aAbßéÉÖüÿŸİıſŒĳΣσς中.,!'-:; \n\t\x1c\x85\u00a0\u0301\u00d7\u00f7ª", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "The", "ch"]
+    texts = ["".join(r.choice(some) for _ in range(r.randrange(14))) for _ in range(4000)]
+    for t, ids in zip(texts, enc.encode(texts, 2)):
+        assert ids.tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2], repr(t)
+
+
 def test_op7_rows(spark, monkeypatch):
     check_tokens(spark, docs_frame(spark, ODD), ODD)
     assert dac_files.read(dac_files.write(docs_frame(spark, []), queries.vocabulary("word_bpe_49k.json"), end_id=2)).count() == 0
