@@ -70,7 +70,7 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
