@@ -44,8 +44,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests of ids and decoded text, and the ids."""
     prepare(spark)
     path = vocabulary("byte_bpe_50k.json")
-    decoded = bpe_cuts.decode(bpe_cuts.encode(docs, path), path)
-    return bpe_cuts.digests(decoded, keep=("doc_id", "ids")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    return bpe_cuts.digests(bpe_cuts.round_trip(docs, path), keep=("doc_id", "ids")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
 STAGES = [

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -31,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import claim
+
 #: Pre-tokenizer of the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-MEMO = 200_000          # fragments remembered per worker; more only cost time
-FLUSH_IDS = 4_000_000   # ids per Arrow batch handed back
+MEMO = 100_000          # fragments remembered per worker; more only cost time
+FLUSH_IDS = 1_000_000   # ids per Arrow batch handed back
 
 
 def byte_chars() -> dict[str, int]:
@@ -45,28 +48,54 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def speller():
+    """Text of the vocabulary file -> the bytes it stands for."""
+    chars = byte_chars()
+    return lambda t: bytes(chars[c] for c in t)
+
+
+def special_tokens(path: str) -> dict[str, int]:
+    return {t["content"]: t["id"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]}
+
+
+def enumerate_tokens(path: str):
+    """(id, bytes) of all tokens but special ones."""
+    spell, special = speller(), special_tokens(path)
+    for t, i in json.load(open(path, encoding="utf-8"))["model"]["vocab"].items():
+        if t not in special:
+            yield i, spell(t)
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file, built once per worker."""
 
     def __init__(self, path: str):
         import regex
-        spec = json.load(open(path, encoding="utf-8"))
-        chars = byte_chars()
-        model = spec["model"]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token = {i: bytes(chars[c] for c in t) for t, i in model["vocab"].items()
-                      if t not in self.special}
-        self.id_of = {b: i for i, b in self.token.items()}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        as_bytes = lambda t: bytes(chars[c] for c in t)
-        self.rank = {(self.id_of[as_bytes(a)], self.id_of[as_bytes(b)]): (r, self.id_of[as_bytes(a + b)])
-                     for r, (a, b) in enumerate(merges)}
+        self.path = path
+        self.special = special_tokens(path)
         self.cut = cut_table(self.token.values())
         self.quick = self.native_pieces()
+        if self.quick:
+            del self.token, self.id_of, self.rank       # read again if asked for
         self.pieces = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.memo = Memo(self)
 
+    @cached_property
+    def token(self) -> dict[int, bytes]:
+        return dict(enumerate_tokens(self.path))
+
+    @cached_property
+    def id_of(self) -> dict[bytes, int]:
+        return {b: i for i, b in self.token.items()}
+
+    @cached_property
+    def rank(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(left id, right id) -> (rank, id of both together)."""
+        spell = speller()
+        merges = (m.split(" ") if isinstance(m, str) else m for m in json.load(open(self.path, encoding="utf-8"))["model"]["merges"])
+        return {(self.id_of[spell(x)], self.id_of[spell(y)]): (r, self.id_of[spell(x + y)]) for r, (x, y) in enumerate(merges)}
+
     def fragments(self, raw: bytes) -> list[bytes]:
         """``raw`` cut at its forced boundaries."""
         b = np.frombuffer(raw, np.uint8)
@@ -151,12 +180,8 @@ def cut_table(tokens) -> np.ndarray:
 
 def decoder(path: str):
     """ids -> text, from the vocabulary alone."""
-    spec = json.load(open(path, encoding="utf-8"))
-    chars, special = byte_chars(), {t["content"]: t["id"] for t in spec["added_tokens"]}
-    entries = {**spec["model"]["vocab"], **special}
-    out = [b""] * (max(entries.values()) + 1)
-    for t, i in entries.items():
-        out[i] = t.encode() if t in special else bytes(chars[c] for c in t)
+    entries = dict(enumerate_tokens(path)) | {i: t.encode() for t, i in special_tokens(path).items()}
+    out = [entries.get(i, b"") for i in range(max(entries) + 1)]
     return lambda ids: b"".join(map(out.__getitem__, ids)).decode("utf-8", "replace")
 
 
@@ -164,6 +189,7 @@ _CODECS: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
+    claim("bpe", _CODECS)
     if path not in _CODECS:
         _CODECS[path] = Codec(path)
     return _CODECS[path]
@@ -192,6 +218,32 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     return src.mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", keep=("doc_id",)) -> DataFrame:
+    """Columns ``keep``, the ids of every whole text, and the text decoded from
+    these ids: ``encode`` and ``decode`` in one pass and one Python worker."""
+    src = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+
+    def run(batches):
+        c, text_of = codec(vocabulary), decoder(vocabulary)
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            got, back, first, size = [], [], 0, 0
+            for k in range(batch.num_rows):
+                got.append(c.encode(texts[k].as_py()))
+                back.append(text_of(got[-1].tolist()))
+                size += len(got[-1])
+                if size >= FLUSH_IDS or k == batch.num_rows - 1:
+                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
+                    col = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got)))
+                    kept = batch.slice(first, len(got))
+                    yield pa.RecordBatch.from_arrays([*kept.columns[:-1], col, pa.array(back, pa.string())],
+                                                     names=[*batch.schema.names[:-1], "ids", "text"])
+                    got, back, first, size = [], [], k + 1, 0
+
+    return src.mapInArrow(run, T.StructType([*src.drop("__text").schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())),
+                                             T.StructField("text", T.StringType())]))
+
+
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "text", keep=("doc_id",)) -> DataFrame:
     """Columns ``keep``, the ids and the text they stand for."""
     src = df.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias(ids))

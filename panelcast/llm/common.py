@@ -77,3 +77,21 @@ def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     if n <= bound:
         return df
     return df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
+
+
+_OWNER: list[str] = []
+_CACHES: dict[str, list] = {}
+
+
+def claim(owner: str, *caches) -> None:
+    """Called in a task before an operator fills module-level caches: those of
+    other operators that ran in the same Python worker are emptied first."""
+    if _OWNER != [owner]:
+        for name, held in _CACHES.items():
+            if name != owner:
+                for c in held:
+                    c.clear()
+        _OWNER[:] = [owner]
+        import gc
+        gc.collect()
+    _CACHES[owner] = list(caches)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe_cuts import byte_chars
-from .common import shared_path, staged
+from .common import claim, shared_path, staged
 
 MAGIC = b"DACF"
 RUN = 512                   # bits per directory entry
@@ -162,7 +162,7 @@ class WordEncoder:
     encoded by itself and remembered.  New words go through the library in one
     call, with a special token between them, whose id tells them apart."""
 
-    MEMO = 400_000
+    MEMO = 1_000_000
     # letters whose lower case and composed form are single letters of the same range
     plain = staticmethod(re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,!?;:]?)").fullmatch)
     odd = staticmethod(re.compile("[\x1c-\x1f]").search)     # white space to str.split() alone
@@ -216,6 +216,7 @@ class WordEncoder:
 
 
 def word_encoder(path: str) -> WordEncoder:
+    claim("dac", _TOKENIZERS)
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordEncoder(path)
     return _TOKENIZERS[path]

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fresh, held_out
+from .common import bounded_sample, claim, fresh, held_out
 
 DIM = 512
 MAX_TRAIN = 20_000
@@ -146,6 +146,7 @@ def learn(docs: DataFrame, dim: int = DIM, max_train: int = MAX_TRAIN,
     rows = bounded_sample(rows, "doc_id", max_train).select("lang", "text")
 
     def bundle(batches):
+        claim("langid", _PAIRS, _VECTORS)
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b["lang"], b["text"]):
@@ -175,6 +176,7 @@ def predictor(prototypes: dict[str, np.ndarray], dim: int = DIM):
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
+        claim("langid", _PAIRS, _VECTORS)
         langs, scores = [], []
         for t in texts:
             v = profile(t, dim) if names else None

@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, maybe_broadcast, staged
+from .common import claim, drop_staged, maybe_broadcast, staged
 from .components import connected
 
 NUM, DEN = 90, 100
@@ -70,7 +70,7 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -136,6 +136,7 @@ def base_table(docs: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
 
     def run(batches):
+        claim("jaccard", _WORDS)
         for b in batches:
             rows = []
             for i, t in zip(b["doc_id"], b["text"]):

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, drop_staged, fresh, held_out, staged
+from .common import bounded_sample, claim, drop_staged, fresh, held_out, staged
 
 MAX_TRAIN = 40_000
 TREES = 24
@@ -77,6 +77,7 @@ def stats_function():
     """A vectorised function text -> struct of ``STATS``."""
     @F.pandas_udf(", ".join(f"{c} double" for c in STATS))
     def stats(texts: pd.Series) -> pd.DataFrame:
+        claim("quality")
         return pd.DataFrame([text_stats(t) for t in texts], columns=list(STATS), dtype="float64")
     return stats
 

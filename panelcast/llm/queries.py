@@ -24,8 +24,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe_forced_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     path = vocabulary("byte_bpe_50k.json")
-    docs = table(spark, sf_dir, "documents")
-    return bpe_cuts.digests(bpe_cuts.decode(bpe_cuts.encode(docs, path), path))
+    return bpe_cuts.digests(bpe_cuts.round_trip(table(spark, sf_dir, "documents"), path))
 
 
 def op3_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:

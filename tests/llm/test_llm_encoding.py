@@ -56,6 +56,9 @@ def test_op2_rows(spark):
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
                      hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    one_pass = bpe_cuts.digests(bpe_cuts.round_trip(docs, path)).collect()
+    assert sorted(map(str, map(tuple, one_pass))) == sorted(map(str, want))
+    assert bpe_cuts.round_trip(docs.limit(0), path).count() == 0
     assert bpe_cuts.encode(docs.limit(0), path).count() == 0
     none = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert bpe_cuts.decode(none, path).first()["text"] == ""
