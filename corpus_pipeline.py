@@ -16,6 +16,10 @@ from panelcast.llm.common import prepare, staged, table
 from panelcast.llm.queries import vocabulary
 
 
+#: Five words to a shingle, links at 0.8 (op8's own contract has three and 0.9).
+NEAR = jaccard_regions.Rule(words=5, num=80, den=100)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter or in no learned language."""
     prepare(spark)
@@ -29,9 +33,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of linked documents."""
+    """Keeps the document of smallest id of each group of linked documents:
+    five-word shingles, Jaccard similarity of 0.8 or more."""
     prepare(spark)
-    return jaccard_regions.keep_first(docs)
+    return jaccard_regions.keep_first(docs, NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,21 +1,22 @@
 """N-gram Jaccard join in regions around pivots.
 
-Sets are the distinct three-word shingles of whole texts (64-bit hashes); two
-documents link at Jaccard similarity ``NUM`` / ``DEN`` or more.  Equal sets
-are one node (the 64-bit hash of the set), so copies cost nothing further.
+Sets are the distinct shingles of whole texts (64-bit hashes); two documents
+link at a Jaccard similarity of a ratio or more.  A ``Rule`` has both: three
+words and 0.9 unless the caller names others.  Equal sets are one node (the 64-bit hash of the set), so copies cost nothing further.
 
 Jaccard distance is a metric, and regions are built around pivots:
 
 1. Subspace pivots.  Distances of most texts to any text are close to 1, so
    whole sets as first pivots would replicate every document everywhere.  The
    shingles are therefore dealt, by hash, into m subspaces.  Two sets that link
-   differ in at most D = smaller size / 9 shingles, so with m > D subspaces
-   they are at distance 0 in one of them: the pivots of a subspace are the
+   differ in at most D = smaller size x (1 - ratio) / ratio shingles (a ninth of
+   it at 0.9, a quarter at 0.8), so with m > D subspaces they are at distance 0 in one of them: the pivots of a subspace are the
    distinct subsets found there, and the window around each has width 0.
    Documents are replicated to the regions of all their subsets.  Sets of
    similar size use the same m; those near a border of sizes use both.
    Regions with one document end here, the others are joined where they share
-   documents, so that every link lies inside one region.
+   documents, so that every link lies inside one region.  Where that chains
+   many small regions to a large one, they are worked on one by one instead.
 2. Regions of bounded size are joined exactly in one task.
 3. Larger ones take documents as pivots: each document goes to the Voronoi
    region of its nearest pivot and, by the triangle inequality, to every pivot
@@ -27,7 +28,7 @@ Jaccard distance is a metric, and regions are built around pivots:
 Links are kept as spanning trees; components follow by label propagation.
 
 Edge cases: null or blank texts have the empty set, link with nothing and are
-their own component; with fewer than three words the whole sequence is one
+their own component; with fewer words than a shingle has the whole sequence is one
 shingle; repeated rows are linked as any equal sets; rows with null doc_id keep
 their row, and a set that has null ids only links with nothing and has a null
 component_id; of a doc_id that stands with several texts each text counts by
@@ -38,6 +39,8 @@ numbers and joins in a block of its own.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,8 +50,6 @@ from .common import claim, drop_staged, maybe_broadcast, staged
 from .components import connected
 
 NUM, DEN = 90, 100
-FEWEST = 9              # smaller sets link with equal ones only (9 of 10 is the first ratio below 1)
-RATIO = 1.5             # of the sizes that share a number of subspaces
 SLACK = 3               # subspaces beyond D, as some are empty
 REGION_ROWS = 512       # largest region joined in one task, in documents
 REGION_SHINGLES = 4_000_000     # and in shingles
@@ -56,6 +57,38 @@ PIVOTS = 16
 DEPTH = 3
 CELLS = 16_000_000      # of an incidence matrix held at a time
 
+
+class Rule(NamedTuple):
+    """Words of a shingle, and the ratio num / den at which two sets link."""
+    words: int = 3
+    num: int = NUM
+    den: int = DEN
+
+    @property
+    def fewest(self) -> int:
+        """Smaller sets link with equal ones only (at 0.9, 9 of 10 is the first ratio below 1)."""
+        return -(-self.num // (self.den - self.num))
+
+    @property
+    def wide(self) -> bool:
+        """Are there so many shingles to a difference that few subspaces are empty."""
+        return self.num >= 6 * (self.den - self.num)
+
+    @property
+    def growth(self) -> float:
+        """Of the sizes that share a number of subspaces."""
+        return 1.5 if self.wide else 1.25
+
+    def differences(self, n: int) -> int:
+        """Most shingles that a set of ``n`` and a larger one that it links to don't share."""
+        return n * (self.den - self.num) // self.num
+
+    def subspaces(self, d: int) -> int:
+        return d + SLACK + (0 if self.wide else d * 15 // 100)
+
+
+RULE = Rule()
+
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
 
@@ -79,46 +112,50 @@ class Words(dict):
 _WORDS = Words()
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+def shingle_set(text: str | None, rule: Rule = RULE) -> np.ndarray:
     """Sorted distinct shingle hashes.  bytes.lower() and bytes.split() know
     ASCII only, which is what the words are defined by."""
     words = text.encode("utf-8", "replace").lower().split() if text else []
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     if len(h) == 0:
         return h
-    if len(h) < 3:
-        return mix((h[:1] if len(h) == 1 else h[:1] * _P1 + h[1:]) + np.uint64(len(h)))
-    return np.unique(mix((h[:-2] * _P1 + h[1:-1]) * _P2 + h[2:]))
-
-
-def size_classes(n: int) -> list[tuple[int, int]]:
-    """(class start, number of subspaces) of the classes that a set of ``n``
-    shingles shares with any set it may link to: its own, and that of the
-    smallest set it may link to."""
-    out, low = [], FEWEST
-    least = -(-n * NUM // DEN)
+    width = min(rule.words, len(h))
+    n = len(h) - width + 1
+    out = h[:n]
+    for j in range(1, width):
+        out = out * (_P1 if j % 2 else _P2) + h[j:j + n]
+    return np.unique(mix(out if width == rule.words else out + np.uint64(width)))
+
+
+def size_classes(n: int, rule: Rule = RULE) -> list[tuple[int, int]]:
+    """(class start, differences) of the classes that a set of ``n`` shingles
+    shares with any set it may link to: from that of the smallest set it may
+    link to up to its own.  Differences are those of the class's largest size."""
+    out, low = [], rule.fewest
+    least = -(-n * rule.num // rule.den)
     while low <= n:
-        high = max(low + 1, int(low * RATIO))
-        if low <= n < high or low <= least < high:
-            out.append((low, (high - 1) * (DEN - NUM) // NUM + SLACK))
+        high = max(low + 1, int(low * rule.growth))
+        if least < high:
+            out.append((low, rule.differences(high - 1)))
         low = high
     return out
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
+def signatures(s: np.ndarray, rule: Rule = RULE) -> np.ndarray:
     """One hash for each (class, subspace, subset) region of a set."""
-    if len(s) < FEWEST:
+    if len(s) < rule.fewest:
         return np.empty(0, np.uint64)
     out = []
     m_of = mix(s ^ _P1)
-    for low, m in size_classes(len(s)):
+    for low, d in size_classes(len(s), rule):
+        m = rule.subspaces(d)
         bucket = (m_of % np.uint64(m)).astype(np.int64)
         o = np.argsort(bucket, kind="stable")
         used, first = np.unique(bucket[o], return_index=True)
         sums = np.add.reduceat(m_of[o], first)
         seed = np.array([low], np.uint64) * _P2
         out.append(mix(sums * _P1 + used.astype(np.uint64) * _P3 + seed))
-        if m - len(used) >= SLACK:      # so many are empty that a pair may agree in empty ones only
+        if len(used) <= d:      # so many are empty that a pair may agree in empty ones only
             empty = np.setdiff1d(np.arange(m), used).astype(np.uint64)
             out.append(mix(empty * _P3 + seed + np.uint64(1)))
     return np.concatenate(out)
@@ -131,7 +168,7 @@ def signed(a: np.ndarray) -> np.ndarray:
 _BASE = "doc_id long, n long, d1 long, d2 long, sigs array<long>"
 
 
-def base_table(docs: DataFrame) -> DataFrame:
+def base_table(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Set size, set digest and region hashes of every row."""
     src = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
 
@@ -140,8 +177,8 @@ def base_table(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for i, t in zip(b["doc_id"], b["text"]):
-                s = shingle_set(t)
-                rows.append((i, len(s), *digest(s), signed(signatures(s))))
+                s = shingle_set(t, rule)
+                rows.append((i, len(s), *digest(s), signed(signatures(s, rule))))
             d = pd.DataFrame(rows, columns=["doc_id", "n", "d1", "d2", "sigs"])
             d["doc_id"] = pd.Series([None if i is None else int(i) for i in d["doc_id"]], dtype="Int64")
             yield d
@@ -176,8 +213,8 @@ def intersections(sets: list[np.ndarray], other: list[np.ndarray] | None = None)
     return np.rint(out).astype(np.int64)
 
 
-def links(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return DEN * inter >= NUM * (a[:, None] + b[None, :] - inter)
+def links(inter: np.ndarray, a: np.ndarray, b: np.ndarray, rule: Rule = RULE) -> np.ndarray:
+    return rule.den * inter >= rule.num * (a[:, None] + b[None, :] - inter)
 
 
 class Union:
@@ -202,14 +239,14 @@ def spanning(pairs) -> list[tuple[int, int]]:
     return [(x, y) for x, y in pairs if u.join(x, y)]
 
 
-def region_links(ids: np.ndarray, sets: list[np.ndarray], other_ids=None, other=None) -> list[tuple[int, int]]:
+def region_links(ids: np.ndarray, sets: list[np.ndarray], other_ids=None, other=None, rule: Rule = RULE) -> list[tuple[int, int]]:
     """Spanning links of a region, or of those between two blocks."""
     n = np.array([len(s) for s in sets])
     if other is None:
-        ok = np.triu(links(intersections(sets), n, n), 1)
+        ok = np.triu(links(intersections(sets), n, n, rule), 1)
         other_ids = ids
     else:
-        ok = links(intersections(sets, other), n, np.array([len(s) for s in other]))
+        ok = links(intersections(sets, other), n, np.array([len(s) for s in other]), rule)
     return spanning((int(ids[i]), int(other_ids[j])) for i, j in zip(*np.nonzero(ok)))
 
 
@@ -217,7 +254,7 @@ def _edges(pairs) -> pd.DataFrame:
     return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
 
 
-def join_small(members: DataFrame) -> DataFrame:
+def join_small(members: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Links inside regions of bounded size; many share a task, one is held at
     a time."""
     src = members.select("region", "id", "set").repartition("region").sortWithinPartitions("region")
@@ -227,14 +264,14 @@ def join_small(members: DataFrame) -> DataFrame:
         for b in batches:
             for r, i, s in zip(b["region"].tolist(), b["id"].tolist(), b["set"]):
                 if r != now:
-                    out += region_links(np.array(ids), sets) if len(ids) > 1 else []
+                    out += region_links(np.array(ids), sets, rule=rule) if len(ids) > 1 else []
                     now, ids, sets = r, [], []
                 ids.append(i)
                 sets.append(s)
             if len(out) > 10_000:
                 yield _edges(out)
                 out = []
-        out += region_links(np.array(ids), sets) if len(ids) > 1 else []
+        out += region_links(np.array(ids), sets, rule=rule) if len(ids) > 1 else []
         if out:
             yield _edges(out)
 
@@ -248,7 +285,7 @@ def region_sizes(members: DataFrame, key: str = "region") -> DataFrame:
 _SMALL = f"(`rows` <= {REGION_ROWS} and weight <= {REGION_SHINGLES})"
 
 
-def voronoi(members: DataFrame, sizes: DataFrame, n: int, depth: int) -> DataFrame:
+def voronoi(members: DataFrame, sizes: DataFrame, n: int, depth: int, rule: Rule = RULE) -> DataFrame:
     """region, id, home (nearest pivot, the smaller id of two), linked (to it),
     cells (pivots whose region the document belongs to, home included).  The
     ``n`` regions are worked on in parts of bounded size."""
@@ -271,9 +308,9 @@ def voronoi(members: DataFrame, sizes: DataFrame, n: int, depth: int) -> DataFra
                 union = a[:, None] + b[None, :] - i
                 d = 1 - i / union
                 home = d.argmin(axis=1)
-                reach = d.min(axis=1) + 2 * (DEN - NUM) / DEN + 1e-9
+                reach = d.min(axis=1) + 2 * (rule.den - rule.num) / rule.den + 1e-9
                 pid = p["pid"].to_numpy()
-                ok = links(i, a, b)
+                ok = links(i, a, b, rule)
                 for r, x, h, row, lim, l in zip(m["region"], m["id"], home, d, reach, ok):
                     out.append((r, x, pid[h], bool(l[h]), pid[row <= lim]))
             else:
@@ -284,7 +321,7 @@ def voronoi(members: DataFrame, sizes: DataFrame, n: int, depth: int) -> DataFra
             .applyInPandas(near, "region long, id long, home long, linked boolean, cells array<long>"))
 
 
-def join_blocks(members: DataFrame, placed: DataFrame) -> DataFrame:
+def join_blocks(members: DataFrame, placed: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Links of regions that pivots don't shrink, block against block.  Blocks
     hold documents that are linked to the same pivot (their group), or to none;
     two blocks of the same group are one component and are left out."""
@@ -308,25 +345,25 @@ def join_blocks(members: DataFrame, placed: DataFrame) -> DataFrame:
     def run(t: pd.DataFrame) -> pd.DataFrame:
         a, b = t[t["side"] == 0], t[t["side"] == 1]
         if len(b):
-            return _edges(region_links(a["id"].to_numpy(), list(a["set"]), b["id"].to_numpy(), list(b["set"])))
-        return _edges(region_links(a["id"].to_numpy(), list(a["set"])))
+            return _edges(region_links(a["id"].to_numpy(), list(a["set"]), b["id"].to_numpy(), list(b["set"]), rule))
+        return _edges(region_links(a["id"].to_numpy(), list(a["set"]), rule=rule))
 
     return m.join(sides, "block").select("pair", "side", "id", "set").groupBy("pair").applyInPandas(run, "a long, b long")
 
 
-def join_regions(members: DataFrame) -> list[DataFrame]:
+def join_regions(members: DataFrame, rule: Rule = RULE) -> list[DataFrame]:
     """All links of regions (region, id, n, set), recursively; written tables."""
     found, depth = [], 0
     while True:
         sizes = staged(region_sizes(members), "jac-sizes")
         small = members.join(sizes.where(_SMALL).select("region"), "region", "left_semi")
-        found.append(staged(join_small(small), "jac-links"))
+        found.append(staged(join_small(small, rule), "jac-links"))
         big = sizes.where(f"not {_SMALL} and `rows` > 1")
         n = big.count()
         if not n:
             return found
         inside = staged(members.join(big.select("region"), "region", "left_semi"), "jac-inside")
-        placed = staged(voronoi(inside, big, n, depth), "jac-placed")
+        placed = staged(voronoi(inside, big, n, depth, rule), "jac-placed")
         found.append(placed.where("linked and id <> home").select(F.col("id").alias("a"), F.col("home").alias("b")))
         cells = placed.select("region", "id", F.explode("cells").alias("cell"))
         # a region is split if its cells cost at most half of what it costs itself
@@ -335,7 +372,7 @@ def join_regions(members: DataFrame) -> list[DataFrame]:
         depth += 1
         flat = split if depth > DEPTH else split.where(~F.col("split"))
         stay = inside.join(flat.select("region"), "region", "left_semi")
-        found.append(staged(join_blocks(stay, placed), "jac-links"))
+        found.append(staged(join_blocks(stay, placed, rule), "jac-links"))
         if depth > DEPTH:
             return found
         go = cells.join(split.where(F.col("split")).select("region"), "region", "left_semi")
@@ -349,32 +386,49 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(signed(np.array([mix(s).sum(dtype=np.uint64)]))[0]), int(signed(np.array([mix(s * _P1 + _P3).sum(dtype=np.uint64)]))[0])
 
 
-def components(docs: DataFrame) -> DataFrame:
+def unchained(coarse: DataFrame, sigs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(id, region): the components of shared regions, and in place of a large
+    one its single regions, if they cost at most half of what it costs."""
+    big = coarse.groupBy("label").agg(F.count("*").alias("rows")).where(F.col("rows") > REGION_ROWS)
+    whole = coarse.select("id", F.col("label").alias("region"))
+    large = staged(coarse.join(F.broadcast(big), "label"), "jac-large")
+    if not large.head(1):
+        return whole
+    n = shared.count()
+    single = staged(sigs.join(maybe_broadcast(shared.select("sig"), n), "sig").join(large, "id").select("label", "rows", "id", "sig").distinct(), "jac-single")
+    cost = single.groupBy("label", "rows", "sig").count().groupBy("label", "rows").agg(F.sum(F.col("count") * F.col("count")).alias("cost"))
+    split = staged(cost.where(F.col("cost") * 2 <= F.col("rows") * F.col("rows")).select("label"), "jac-unchain")
+    stay = coarse.join(F.broadcast(split), "label", "left_anti").select("id", F.col("label").alias("region"))
+    return stay.unionByName(single.join(F.broadcast(split), "label", "left_semi").select("id", F.col("sig").alias("region")))
+
+
+def components(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    base = staged(base_table(docs), "jac-base")
+    base = staged(base_table(docs, rule), "jac-base")
     sets = staged(base.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first")), "jac-sets")
     sigs = base.where(F.size("sigs") > 0).select(F.col("d1").alias("id"), F.explode("sigs").alias("sig"))
     shared = staged(sigs.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
                     .where("hub <> last").select("sig", "hub"), "jac-shared")
     star = sigs.join(maybe_broadcast(shared, shared.count()), "sig").select("id", "hub").where("id <> hub").distinct()
     coarse = staged(connected(star, "id", "hub"), "jac-coarse")
+    regions = staged(unchained(coarse, sigs, shared), "jac-regions")
     drop_staged(shared)
 
     # one text of each set that shares a region, fetched by its first doc_id
-    members = staged(coarse.join(sets.where("first is not null"), F.col("id") == F.col("d1"))
-                     .select(F.col("first").cast("string").alias("doc"), "id", F.col("label").alias("region")), "jac-fetch")
+    members = staged(regions.join(sets.where("first is not null"), F.col("id") == F.col("d1"))
+                     .select(F.col("first").cast("string").alias("doc"), "id", "region"), "jac-fetch")
     texts = (docs.select(F.col("doc_id").cast("string").alias("doc"), "text")
              .join(maybe_broadcast(members, members.count()), "doc"))
 
     def run(batches):
         for b in batches:
             found = [(r, i, len(s), signed(s)) for r, i, t in zip(b["region"], b["id"], b["text"])
-                     for s in [shingle_set(t)] if digest(s)[0] == i]
+                     for s in [shingle_set(t, rule)] if digest(s)[0] == i]
             yield pd.DataFrame(found, columns=["region", "id", "n", "set"]).astype({"region": "int64", "id": "int64", "n": "int64"})
 
     inside = staged(texts.mapInPandas(run, "region long, id long, n long, set array<long>").dropDuplicates(["region", "id"]), "jac-inside")
     edges = None
-    for part in join_regions(inside):
+    for part in join_regions(inside, rule):
         edges = part if edges is None else edges.unionByName(part)
     labels = connected(edges)
     named = sets.join(labels, F.col("d1") == F.col("id"), "left").withColumn("label", F.coalesce("label", "d1"))
@@ -384,10 +438,10 @@ def components(docs: DataFrame) -> DataFrame:
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """The rows of ``docs``, all columns, that are the first of their component;
     of repeated rows with its id one stays."""
-    found = staged(components(docs), "jac-components")
+    found = staged(components(docs, rule), "jac-components")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep"))
     n, ids = first.agg(F.count("*"), F.countDistinct("__keep")).first()
     kept = docs.join(maybe_broadcast(first.distinct(), n), F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
