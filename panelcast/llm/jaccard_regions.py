@@ -165,21 +165,21 @@ def signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
-_BASE = "doc_id long, n long, d1 long, d2 long, sigs array<long>"
+_BASE = "doc_id long, th long, n long, d1 long, d2 long, sigs array<long>"
 
 
 def base_table(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """Set size, set digest and region hashes of every row."""
-    src = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    """Text hash, set size, set digest and region hashes of every row."""
+    src = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
     def run(batches):
         claim("jaccard", _WORDS)
         for b in batches:
             rows = []
-            for i, t in zip(b["doc_id"], b["text"]):
+            for i, h, t in zip(b["doc_id"], b["th"], b["text"]):
                 s = shingle_set(t, rule)
-                rows.append((i, len(s), *digest(s), signed(signatures(s, rule))))
-            d = pd.DataFrame(rows, columns=["doc_id", "n", "d1", "d2", "sigs"])
+                rows.append((i, h, len(s), *digest(s), signed(signatures(s, rule))))
+            d = pd.DataFrame(rows, columns=["doc_id", "th", "n", "d1", "d2", "sigs"])
             d["doc_id"] = pd.Series([None if i is None else int(i) for i in d["doc_id"]], dtype="Int64")
             yield d
 
@@ -404,8 +404,16 @@ def unchained(coarse: DataFrame, sigs: DataFrame, shared: DataFrame) -> DataFram
 
 def components(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    return labelled(docs, rule).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def labelled(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
+    """doc_id, text hash th, set size n and component_id of every row, and
+    component_th: of the texts of its component's smallest doc_id, the hash of
+    the one that stands for it."""
     base = staged(base_table(docs, rule), "jac-base")
-    sets = staged(base.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first")), "jac-sets")
+    sets = staged(base.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best"))
+                  .withColumn("first", F.col("best.doc_id")), "jac-sets")
     sigs = base.where(F.size("sigs") > 0).select(F.col("d1").alias("id"), F.explode("sigs").alias("sig"))
     shared = staged(sigs.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
                     .where("hub <> last").select("sig", "hub"), "jac-shared")
@@ -432,17 +440,27 @@ def components(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
         edges = part if edges is None else edges.unionByName(part)
     labels = connected(edges)
     named = sets.join(labels, F.col("d1") == F.col("id"), "left").withColumn("label", F.coalesce("label", "d1"))
-    least = named.groupBy("label").agg(F.min("first").alias("component"))
-    named = staged(named.join(least, "label").select("n", "d1", "d2", "component"), "jac-named")
-    return (base.select("doc_id", "n", "d1", "d2").join(maybe_broadcast(named, named.count()), ["n", "d1", "d2"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")))
+    least = named.groupBy("label").agg(F.min("best").alias("least"))
+    named = staged(named.join(least, "label").select("n", "d1", "d2", F.col("least.doc_id").alias("component"), F.col("least.th").alias("component_th")), "jac-named")
+    return (base.select("doc_id", "th", "n", "d1", "d2").join(maybe_broadcast(named, named.count()), ["n", "d1", "d2"], "left")
+            .select("doc_id", "th", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+                    F.when(F.col("n") > 0, F.col("component_th")).otherwise(F.col("th")).alias("component_th")))
 
 
 def keep_first(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the first of their component;
-    of repeated rows with its id one stays."""
-    found = staged(components(docs, rule), "jac-components")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep"))
-    n, ids = first.agg(F.count("*"), F.countDistinct("__keep")).first()
-    kept = docs.join(maybe_broadcast(first.distinct(), n), F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept if n == ids else kept.dropDuplicates(["doc_id"])
+    """The rows of ``docs``, all columns, that are the first of their component:
+    of repeated rows with its id and text one stays.  Rows with null doc_id stay
+    if their component has no other id."""
+    found = staged(labelled(docs, rule), "jac-components")
+    own = F.col("doc_id").isNull() | (F.col("th") == F.col("component_th"))
+    first = staged(found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & own)
+                   .groupBy(F.col("doc_id").alias("__keep"), F.col("th").alias("__text")).agg(F.count("*").alias("__rows")), "jac-first")
+    more = first.where("__keep is not null and __rows > 1").select("__keep", "__text")
+    n, repeated = first.count(), more.count()
+
+    def semi(rows: DataFrame, keys: DataFrame, size: int, how: str) -> DataFrame:
+        return rows.join(maybe_broadcast(keys, size), F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.xxhash64("text") == F.col("__text")), how)
+
+    once = first if not repeated else first.where("__keep is null or __rows = 1")
+    kept = semi(docs, once.select("__keep", "__text"), n, "left_semi")
+    return kept if not repeated else kept.unionByName(semi(docs, more, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))

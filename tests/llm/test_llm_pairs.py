@@ -98,6 +98,18 @@ def test_components_edge_cases(spark):
     assert kept.columns == docs.columns and kept.where("doc_id = 4").count() == 1
 
 
+def test_keep_first_of_null_and_shared_ids(spark):
+    """Null-id rows stay unless a document with an id stands for them; an id
+    with two texts that don't link keeps both, copies of either go."""
+    a, b, c, d = (words(30, s) for s in (1, 2, 3, 4))
+    rows = [(None, a), (None, b), (None, ""), (None, c), (7, c), (7, c), (7, d), (9, d), (9, c), (9, words(30, 5)), (8, ""), (8, "")]
+    got = jaccard_regions.keep_first(docs_frame(spark, rows)).select("doc_id", "text").collect()
+    want = [(None, a), (None, b), (None, ""), (7, c), (7, d), (9, words(30, 5)), (8, "")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    near = [(7, c), (7, c + " end")]    # two texts of one id that link: one stays
+    assert jaccard_regions.keep_first(docs_frame(spark, near)).count() == 1
+
+
 def test_every_linking_pair_shares_a_region():
     r = np.random.default_rng(0)
     for n in (9, 10, 13, 20, 47, 130, 400, 1000):
