@@ -30,7 +30,7 @@ Links are kept as spanning trees; components follow by label propagation.
 Edge cases: null or blank texts have the empty set, link with nothing and are
 their own component; with fewer words than a shingle has the whole sequence is one
 shingle; repeated rows are linked as any equal sets; rows with null doc_id keep
-their row, and a set that has null ids only links with nothing and has a null
+their row and link as any others, and a component of such rows only has a null
 component_id; of a doc_id that stands with several texts each text counts by
 itself; an empty table
 gives no rows; extra columns are not read; a very long text is one row of long
@@ -422,11 +422,11 @@ def labelled(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     regions = staged(unchained(coarse, sigs, shared), "jac-regions")
     drop_staged(shared)
 
-    # one text of each set that shares a region, fetched by its first doc_id
-    members = staged(regions.join(sets.where("first is not null"), F.col("id") == F.col("d1"))
-                     .select(F.col("first").cast("string").alias("doc"), "id", "region"), "jac-fetch")
-    texts = (docs.select(F.col("doc_id").cast("string").alias("doc"), "text")
-             .join(maybe_broadcast(members, members.count()), "doc"))
+    # one text of each set that shares a region, fetched by its best row's id and text hash
+    members = staged(regions.join(sets, F.col("id") == F.col("d1"))
+                     .select(F.col("first").cast("string").alias("doc"), F.col("best.th").alias("th"), "id", "region"), "jac-fetch")
+    rows = docs.select(F.col("doc_id").cast("string").alias("row_doc"), F.xxhash64("text").alias("row_th"), "text")
+    texts = rows.join(maybe_broadcast(members, members.count()), F.col("row_doc").eqNullSafe(F.col("doc")) & (F.col("row_th") == F.col("th")))
 
     def run(batches):
         for b in batches:

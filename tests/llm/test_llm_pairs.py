@@ -110,6 +110,15 @@ def test_keep_first_of_null_and_shared_ids(spark):
     assert jaccard_regions.keep_first(docs_frame(spark, near)).count() == 1
 
 
+def test_null_ids_link_and_bridge(spark):
+    """A set under null ids only links two others that don't link themselves."""
+    w = words(80, 11, 100_000).split()
+    texts = [" ".join(w[k:k + 60]) for k in (0, 3, 6)]
+    rows = [(1, texts[0]), (None, texts[1]), (2, texts[2]), (None, words(30, 12)), *ODD]
+    assert str((2, 58, 1)) in brute_components(rows)
+    assert found(docs_frame(spark, rows)) == brute_components(rows)
+
+
 def test_every_linking_pair_shares_a_region():
     r = np.random.default_rng(0)
     for n in (9, 10, 13, 20, 47, 130, 400, 1000):
