@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe_cuts, chat_grammar, dac_files, hd_langid, jaccard_regions, label_shards, quality_rules,
-               simhash_decontam, srs_search, warc_source)
+from . import (bpe_cuts, chat_grammar, dac_files, fptree_search, hd_langid, jaccard_regions, label_shards, quality_rules,
+               secret_battery, simhash_decontam, source_divergence, srs_search, warc_source)
 from .common import prepare, table
 
 
@@ -73,12 +73,27 @@ def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_fptree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return fptree_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return secret_battery.secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_bpe_forced_cuts, op3_stable_projections, op4_label_propagation_shards,
     op5_language_hyperdimensional, op6_chat_grammar, op7_token_dac, op8_jaccard_regions, op9_warc,
-    op10_simhash_decontamination,
+    op10_simhash_decontamination, op11_source_divergence, op12_fptree_search, op13_secret_battery,
 )}
 
 #: DuckDB SQL where it can express a query; the others are tested against
 #: brute-force versions, exact round trips or held-out accuracy in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_source_divergence": source_divergence.SQL, "op12_fptree_search": fptree_search.SQL}
