@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,9 +131,51 @@ def _label(spec: ModelSpec, target: str):
     return F.log1p(y) if spec.log_target else y
 
 
+def _learners(spec: ModelSpec) -> list[tuple]:
+    return spec.members if spec.kind == "voting" else [(spec.kind, spec.params)]
+
+
+def member_keys(spec: ModelSpec) -> list[str]:
+    """Of each learner of a model, all that its fit on given rows depends on;
+    equal keys of two models are one fit."""
+    before = [spec.features, spec.degree, spec.interaction_only, spec.bias, spec.scale, spec.log_target]
+    return [json.dumps([tr.effective(k, p, spec.strict, spec.seed), *before], sort_keys=True, default=str)
+            for k, p in _learners(spec) if k in tr.BUILDERS]
+
+
+class Members:
+    """Fitted learners that several models share, each fitted by the first
+    thread that asks for it while others wait."""
+
+    def __init__(self, specs: list[ModelSpec]):
+        from collections import Counter
+        from threading import Lock
+        count = Counter(k for s in specs for k in member_keys(s))
+        self.shared = {k for k, n in count.items() if n > 1}        # others are not held
+        self.lock, self.done = Lock(), {}
+
+    def get(self, key: str, rows, make):
+        if key not in self.shared:
+            return make()
+        with self.lock:
+            mine = (key, rows) not in self.done
+            found = self.done.setdefault((key, rows), Future())
+        if mine:
+            try:
+                found.set_result(make())
+            except BaseException as e:
+                found.set_exception(e)
+        return found.result()
+
+
+def _fit_member(est, rows: DataFrame):
+    return est.fit(rows)
+
+
 def fit(spec: ModelSpec, train: DataFrame, target: str = "y",
-        scaler: StandardizerModel | None = None) -> Fitted:
-    """Fit preprocessing and estimator on ``train``."""
+        scaler: StandardizerModel | None = None, members_of=None) -> Fitted:
+    """Fit preprocessing and estimator on ``train``.  ``members_of(key, make)``
+    may give a learner that was fitted on the same rows already."""
     shift = None
     if spec.kind in LINEAR:
         scaler, shift = _moments(spec, train, target, scaler)
@@ -148,20 +190,19 @@ def fit(spec: ModelSpec, train: DataFrame, target: str = "y",
     else:
         fitted_linear = None
         asm = VectorAssembler(inputCols=terms, outputCol="__features", handleInvalid="error")
-        if spec.kind == "voting":
-            kinds = spec.members
-        elif spec.kind in tr.BUILDERS:
-            kinds = [(spec.kind, spec.params)]
-        else:
+        if spec.kind != "voting" and spec.kind not in tr.BUILDERS:
             raise ValueError(f"unknown model kind {spec.kind!r}")
-        ests = []
+        kinds, ests = _learners(spec), []
         for i, (kind, params) in enumerate(kinds):
             est, nt = tr.BUILDERS[kind](params, seed=spec.seed, strict=spec.strict, features="__features",
                                         label="__label", prediction=f"__p{i}")
             ests.append(est)
             notes += nt
-        pm = Pipeline(stages=[asm] + ests).fit(xt)
-        members = pm.stages[1:]
+        xv = asm.transform(xt)
+        for i, (key, est) in enumerate(zip(member_keys(spec), ests)):
+            make = lambda est=est: _fit_member(est, xv)
+            one = members_of(key, make) if members_of else make()
+            members.append(one.copy().setPredictionCol(f"__p{i}"))
         avg = " + ".join(f"__p{i}" for i in range(len(ests)))
         post = [asm] + members + [SQLTransformer(
             statement=f"SELECT *, ({avg}) / {float(len(ests))!r}D AS prediction FROM __THIS__")]
@@ -221,14 +262,14 @@ def fold_scalers(df: DataFrame, features: list[str], fold: str) -> dict:
 def fit_key(spec: ModelSpec) -> str:
     """Hash of all that a fit depends on besides its rows.  Settings that come
     to the same Spark model have the same key."""
-    kinds = spec.members if spec.kind == "voting" else [(spec.kind, spec.params)]
-    learners = [tr.effective(k, p, spec.strict, spec.seed) if k in tr.BUILDERS else [k, p] for k, p in kinds]
+    learners = [tr.effective(k, p, spec.strict, spec.seed) if k in tr.BUILDERS else [k, p] for k, p in _learners(spec)]
     what = [spec.kind, learners, spec.features, spec.degree, spec.interaction_only, spec.bias, spec.scale, spec.log_target, spec.seed]
     return hashlib.sha1(json.dumps(what, sort_keys=True, default=str).encode()).hexdigest()
 
 
 class _Folds:
-    """Fits of (setting, fold), each distinct one once, on a pool of threads.
+    """Fits of (setting, fold), each distinct one once, on a pool of threads;
+    a learner that several models have in common is fitted once per fold.
     With ``progress`` (a folder on shared storage) results are written there
     under a hash of the setting, the rows and the fold rule, and a rerun reads
     those; other settings or rows have other folders."""
@@ -237,6 +278,7 @@ class _Folds:
         self.df, self.target, self.fold, self.scope, self.progress = df, target, fold, scale_scope, progress
         self.folds = sorted(r[0] for r in df.select(fold).distinct().collect())   # k values
         self.scalers: dict = {}
+        self.members = None
         self.rows = identity(df, target, fold, scale_scope, what) if progress else None
 
     def prepare(self, spec: ModelSpec) -> None:
@@ -255,7 +297,8 @@ class _Folds:
         if path and path_exists(spark, path):
             return spark.read.parquet(path)
         sc = self.scalers[tuple(spec.features)][f] if spec.scale and spec.features else None
-        m = fit(spec, self.df.where(F.col(self.fold) != f), self.target, sc)
+        share = (lambda key, make: self.members.get(key, f, make)) if self.members else None
+        m = fit(spec, self.df.where(F.col(self.fold) != f), self.target, sc, share)
         out = result(m.transform(self.df.where(F.col(self.fold) == f)))
         if path:
             out.write.mode("overwrite").parquet(path)
@@ -268,6 +311,7 @@ class _Folds:
         for s in specs:
             self.prepare(s)
             todo.setdefault(fit_key(s), s)
+        self.members = Members(list(todo.values()))
         jobs = [(k, f) for k in todo for f in self.folds]
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
             return dict(zip(jobs, ex.map(lambda j: self.run(todo[j[0]], *j, result), jobs)))

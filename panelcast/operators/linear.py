@@ -4,7 +4,9 @@ One ``fold_gram`` pass gives a small matrix per fold; every (fold,
 candidate) fit is then a p x p solve on the driver and every fold score
 comes from the held-out fold's own matrix (SSE and SST are quadratic
 forms), so a whole search over folds and penalties costs one pass over
-the rows.  Objectives follow the common conventions:
+the rows.  ``table_scores`` and ``table_nested`` keep the Gram blocks as a table
+and solve on the executors instead, one task per training set and penalty path.
+Objectives follow the common conventions:
 
 * OLS:   min ||y - b - Xw||^2 (minimum-norm ``w`` if X is rank-deficient)
 * Ridge: min ||y - b - Xw||^2 + alpha ||w||^2          (intercept free)
@@ -262,3 +264,82 @@ def nested_cv_blocks(df: DataFrame, features: list[str], target: str, kind: str,
         model = LinearFit(outer.features, [float(x) for x in w], unshift(w, a, shift), kind, cands[ci]["alpha"])
         out.append({"fold": int(f), "alpha": cands[ci]["alpha"], "inner_score": inner_best, "model": model, **sc})
     return out
+
+
+# ------------------------------------------------- solves on the executors
+SCORES = "candidate int, n long, sse double, sst double, mse double, rmse double, r2 double"
+
+
+def gram_table(df: DataFrame, features: list[str], target: str, by: list[str], path: str, **expansion) -> tuple[DataFrame, list[float]]:
+    """Gram blocks (by..., block, s) written to ``path`` on shared storage, and
+    the shift they were taken at."""
+    from .moments import column_means
+    shift = column_means(df, [*features, target])
+    summed, _ = fold_gram(df, features, target, by, shift, method="arrow", **expansion)._packed
+    summed.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path), shift
+
+
+def _per_job(blocks: DataFrame, jobs: Column) -> DataFrame:
+    """``jobs``: for a block's row, an array of (job, role) it belongs to; sums
+    of blocks per job and role ('train' or 'test')."""
+    from .moments import BLOCK
+    rows = blocks.withColumn("j", F.explode(jobs)).select("j.job", "j.role", "block", "s").where("role is not null")
+    return rows.groupBy("job", "role", "block").agg(F.array(*[F.sum(F.col("s")[t]) for t in range(BLOCK)]).alias("s"))
+
+
+def _solve_jobs(parts: DataFrame, q: int, candidates: list[dict], out: str = SCORES) -> DataFrame:
+    """One task per job: the path of candidates with warm starts on its training
+    matrix, scored on its test matrix; only scores leave the task."""
+    import pandas as pd
+
+    def matrix(t: pd.DataFrame) -> np.ndarray:
+        iu, m = np.triu_indices(q), np.zeros((q, q))
+        flat = np.concatenate([np.asarray(s) for s in t.sort_values("block")["s"]])[:len(iu[0])]
+        m[iu] = flat
+        return m + m.T - np.diag(np.diag(m))
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        job = t["job"].iloc[0]
+        sides = {r: matrix(p) for r, p in t.groupby("role")}
+        rows = []
+        if len(sides) == 2:
+            train, test, before = Stats(sides["train"]), Stats(sides["test"]), None
+            only = int(t["only"].iloc[0]) if "only" in t else -1
+            for i, c in enumerate(candidates):
+                if only not in (-1, i):
+                    continue
+                lasso = c["kind"] == "lasso"
+                w, a = solve(train, c["kind"], c.get("alpha", 0.0), w0=before if lasso else None)
+                before = w if lasso else None
+                rows.append((job, i, *fold_score(test, w, a).values()))
+        return pd.DataFrame(rows, columns=["job", "candidate", "n", "sse", "sst", "mse", "rmse", "r2"])
+
+    return parts.groupBy("job").applyInPandas(run, "job string, " + out)
+
+
+def table_scores(blocks: DataFrame, q: int, candidates: list[dict], fold: str = "fold") -> DataFrame:
+    """``cv_scores`` from a table of Gram blocks: fold, candidate and scores."""
+    folds = [r[0] for r in blocks.select(fold).distinct().orderBy(fold).collect()]       # k values
+    jobs = F.array(*[F.struct(F.lit(str(f)).alias("job"), F.when(F.col(fold) == f, "test").otherwise("train").alias("role")) for f in folds])
+    return _solve_jobs(_per_job(blocks, jobs), q, candidates).select(F.col("job").cast("int").alias("fold"), *[c.split()[0] for c in SCORES.split(", ")])
+
+
+def table_nested(blocks: DataFrame, q: int, candidates: list[dict], outer: str = "fold", inner: str = "inner") -> DataFrame:
+    """``nested_cv`` (R2) from blocks keyed by (outer, inner): a task for each
+    inner training set's path, the first best mean per outer fold, and a task for
+    each outer refit: fold, candidate (the winner), inner_score and scores."""
+    from pyspark.sql import Window
+    o, i = F.col(outer), F.col(inner)
+    folds = [r[0] for r in blocks.select(outer).distinct().orderBy(outer).collect()]     # k values
+    inners = [r[0] for r in blocks.select(inner).distinct().orderBy(inner).collect()]
+    role = lambda f, g: F.when(o != f, F.when(i == g, "test").otherwise("train"))
+    jobs = F.array(*[F.struct(F.lit(f"{f}/{g}").alias("job"), role(f, g).alias("role")) for f in folds for g in inners])
+    searched = _solve_jobs(_per_job(blocks, jobs), q, candidates)
+    mean = searched.groupBy(F.substring_index("job", "/", 1).alias("job"), "candidate").agg(F.avg("r2").alias("inner_score"))
+    first = F.row_number().over(Window.partitionBy("job").orderBy(F.desc("inner_score"), "candidate"))
+    best = mean.withColumn("rn", first).where("rn = 1").select("job", F.col("candidate").alias("only"), "inner_score")
+    jobs = F.array(*[F.struct(F.lit(str(f)).alias("job"), F.when(o == f, "test").otherwise("train").alias("role")) for f in folds])
+    refit = _solve_jobs(_per_job(blocks, jobs).join(best.select("job", "only"), "job"), q, candidates)
+    return refit.join(best.select("job", "inner_score"), "job").select(
+        F.col("job").cast("int").alias("fold"), "candidate", "inner_score", *[c.split()[0] for c in SCORES.split(", ")[1:]])

@@ -17,13 +17,12 @@ hash-selected validation share, taken with the averaged weights.
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Task functions below call this module's helpers; ship them by value so
 # executors need not import the package (spark-submit --py-files or
@@ -37,6 +36,8 @@ except Exception:  # pragma: no cover - older cloudpickle
     pass
 
 CHUNK = 4096
+SHARD_ROWS = 100_000           # of a shard, where their number follows from the rows
+PASS_NUMBERS = 8_000_000       # weights and moments of the networks that train in one pass
 
 
 @dataclass
@@ -52,7 +53,7 @@ class MLPConfig:
     min_lr: float = 1e-5
     seed: int = 42
     batch: int = 32               # rows of a step
-    shards: int = 8               # parts that are averaged; the result depends on it, not on the cluster
+    shards: int = 8               # parts that are averaged; the result depends on it, not on the cluster; 0: from the counted rows
 
 
 def _sizes(n_in: int, cfg: MLPConfig) -> list[tuple[int, int]]:
@@ -218,6 +219,167 @@ class Mismatch(ValueError):
     """Saved state belongs to other settings or other data."""
 
 
+@dataclass
+class Training:
+    """State of one network's training between epochs."""
+    config: MLPConfig
+    theta: np.ndarray
+    m: np.ndarray
+    v: np.ndarray
+    best_theta: np.ndarray
+    lr: float
+    best: float = np.inf
+    since_best: int = 0
+    since_lr: int = 0
+    steps: int = 0
+    epoch: int = 0
+    stopped: bool = False
+    history: list = field(default_factory=list)
+
+    @staticmethod
+    def begin(n_in: int, cfg: MLPConfig, mean: float) -> Training:
+        theta = init_params(n_in, cfg)
+        theta[-1] = mean                                    # start at the mean
+        return Training(cfg, theta, np.zeros(len(theta)), np.zeros(len(theta)), theta.copy(), cfg.learning_rate)
+
+    def state(self) -> dict:
+        d = {k: x for k, x in self.__dict__.items() if k != "config"}
+        return {k: x.tolist() if isinstance(x, np.ndarray) else x for k, x in d.items()}
+
+    @staticmethod
+    def resume(cfg: MLPConfig, state: dict) -> Training:
+        arrays = {"theta", "m", "v", "best_theta"}
+        return Training(cfg, **{k: np.asarray(x) if k in arrays else x for k, x in state.items()})
+
+    def judge(self, val: float) -> bool:
+        """Early stopping and rate reduction on the weights that gave ``val``;
+        false when training ends."""
+        cfg = self.config
+        if val < self.best - 1e-12:
+            self.best, self.best_theta, self.since_best, self.since_lr = float(val), self.theta.copy(), 0, 0
+            return True
+        self.since_best += 1
+        self.since_lr += 1
+        if self.since_lr >= cfg.lr_patience and self.lr > cfg.min_lr:
+            self.lr, self.since_lr = max(self.lr * cfg.lr_factor, cfg.min_lr), 0
+        self.stopped = self.since_best >= cfg.patience
+        return not self.stopped
+
+
+class Dealt:
+    """Rows dealt onto shards once, for any number of networks."""
+
+    def __init__(self, df: DataFrame, features: list[str], label: str, shards: int,
+                 valid: str = "is_valid", rowkey: str = "_rowkey"):
+        """``shards``: their number, or 0 for one per ``SHARD_ROWS`` counted
+        rows (at least 8)."""
+        self.features = list(features)
+        self.shards = shards or max(8, -(-df.count() // SHARD_ROWS))
+        data = df.select(*self.features, F.col(label).cast("double").alias("__y"),
+                         F.col(valid).alias("__v"), F.col(rowkey).alias("__k"))
+        data = data.withColumn("__s", F.pmod(F.xxhash64("__k"), F.lit(int(self.shards))).cast("int"))
+        self.data = data.repartition("__s").sortWithinPartitions("__s", "__k", "__y", *self.features).persist()
+        self.mean = self.data.where(~F.col("__v")).agg(F.avg("__y")).first()[0] or 0.0
+
+    def unpersist(self) -> None:
+        self.data.unpersist()
+
+
+def groups(nets: list[Training]) -> list[list[Training]]:
+    """Networks that share a pass: their numbers together stay in the bound."""
+    out, held = [], 0
+    for net in nets:
+        size = 3 * len(net.theta)
+        if not out or held + size > PASS_NUMBERS:
+            out.append([])
+            held = 0
+        out[-1].append(net)
+        held += size
+    return out
+
+
+def run_epoch(dealt: Dealt, nets: list[Training]) -> None:
+    """One epoch of every network, in one pass over the rows."""
+    spark, feats = dealt.data.sparkSession, dealt.features
+    settings = []
+    for net in nets:
+        cfg, shapes = net.config, _sizes(len(feats), net.config)
+        l2s = list(cfg.l2) + [0.0] * (len(cfg.hidden) - len(cfg.l2))
+        drops = list(cfg.dropout) + [0.0] * (len(cfg.hidden) - len(cfg.dropout))
+        settings.append((shapes, l2s, drops, net.lr, net.steps, net.epoch, cfg.batch))
+    bc = spark.sparkContext.broadcast([(net.theta, net.m, net.v) for net in nets])
+
+    def part(batches):
+        shard, states, left = None, [], []
+
+        def begin():
+            return [[*(x.copy() for x in weights), settings[i][4], np.zeros(5)] for i, weights in enumerate(bc.value)]
+
+        def step(i, x, y, key):
+            shapes, l2s, drops, lr, _, epoch, _ = settings[i]
+            th, mm, vv, t, st = states[i]
+            params = _unpack(th, shapes)
+            masks = [dropout_mask(key, epoch, li, shapes[li][1], drops[li]) for li in range(len(shapes) - 1)]
+            g, sse = grad_sums(params, x, y, masks)
+            st[:2] += sse, len(y)
+            states[i][:4] = [*_adam(th, mm, vv, t + 1, g / len(y) + _penalty_grad(params, l2s, shapes), lr), t + 1]
+
+        def end():
+            rows = []
+            for i, (th, mm, vv, t, st) in enumerate(states):
+                if left[i] is not None and len(left[i][1]):
+                    step(i, *left[i])
+                    th, mm, vv, t, st = states[i]
+                st[4] = (t - settings[i][4]) * st[1]
+                whole = np.concatenate([th, mm, vv]) * st[1]
+                if st[1]:
+                    rows += [(i, c, whole[c * CHUNK:(c + 1) * CHUNK].tolist()) for c in range(-(-len(whole) // CHUNK))]
+                rows.append((i, -1, st.tolist()))
+            return pd.DataFrame(rows, columns=["net", "chunk", "g"])
+
+        for pdf in batches:
+            for s, rows in pdf.groupby("__s", sort=False):
+                if s != shard:
+                    if shard is not None:
+                        yield end()
+                    shard, states, left = s, begin(), [None] * len(settings)
+                x, y = rows[feats].to_numpy(dtype=float), rows["__y"].to_numpy(dtype=float)
+                isv = rows["__v"].to_numpy(dtype=bool)
+                key = rows["__k"].to_numpy(dtype=np.int64).view(np.uint64)
+                for i, (shapes, *_, batch) in enumerate(settings):
+                    if isv.any():
+                        e = forward(_unpack(bc.value[i][0], shapes), x[isv])[-1][:, 0] - y[isv]
+                        states[i][4][2:4] += float((e ** 2).sum()), isv.sum()
+                    now = (x[~isv], y[~isv], key[~isv])
+                    if left[i] is not None:
+                        now = tuple(np.concatenate(z) for z in zip(left[i], now))
+                    full = len(now[1]) // batch * batch
+                    for a in range(0, full, batch):
+                        step(i, *(z[a:a + batch] for z in now))
+                    left[i] = tuple(z[full:] for z in now)
+        if shard is not None:
+            yield end()
+
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    summed = dealt.data.mapInPandas(part, "net int, chunk int, g array<double>").groupBy("net", "chunk") \
+                  .agg(Summarizer.sum(array_to_vector("g")).alias("s")).collect()     # 3 P + 5 numbers a network
+    bc.unpersist()
+    parts = {(r["net"], r["chunk"]): r["s"].toArray() for r in summed}
+    for i, net in enumerate(nets):
+        shapes, l2s = settings[i][:2]
+        st, P = parts[i, -1], len(net.theta)
+        pen = _penalty(_unpack(net.theta, shapes), l2s)
+        loss = st[0] / max(st[1], 1.0) + pen
+        val = (st[2] / st[3] + pen) if st[3] > 0 else loss
+        net.history.append({"epoch": net.epoch, "loss": float(loss), "val_loss": float(val), "lr": net.lr})
+        net.epoch += 1
+        if net.judge(val) and st[1] > 0:
+            whole = np.concatenate([parts[i, c] for c in range(-(-3 * P // CHUNK))])[:3 * P] / st[1]
+            net.theta, net.m, net.v = whole[:P], whole[P:2 * P], whole[2 * P:]
+            net.steps += int(round(st[4] / st[1]))
+
+
 def fit_mlp(df: DataFrame, features: list[str], label: str, cfg: MLPConfig,
             valid: str = "is_valid", rowkey: str = "_rowkey",
             snapshot: str | None = None, snapshot_every: int = 25) -> MLPFit:
@@ -228,121 +390,99 @@ def fit_mlp(df: DataFrame, features: list[str], label: str, cfg: MLPConfig,
     ``snapshot_every`` epochs, each into a folder of its own; a rerun resumes
     at the last finished one, and raises ``Mismatch`` if layers, features,
     settings (but the number of epochs) or rows are not the same."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
-
     spark = df.sparkSession
-    feats = list(features)
-    shapes = _sizes(len(feats), cfg)
-    l2s = list(cfg.l2) + [0.0] * (len(cfg.hidden) - len(cfg.l2))
-    drops = list(cfg.dropout) + [0.0] * (len(cfg.hidden) - len(cfg.dropout))
-    theta = init_params(len(feats), cfg)
-    P = len(theta)
-    width = 3 * P                      # weights and both moments are averaged
-    n_chunks = (width + CHUNK - 1) // CHUNK
-    data = df.select(*feats, F.col(label).cast("double").alias("__y"),
-                     F.col(valid).alias("__v"), F.col(rowkey).alias("__k"))
-    data = data.withColumn("__s", F.pmod(F.xxhash64("__k"), F.lit(int(cfg.shards))).cast("int"))
-    data = data.repartition("__s").sortWithinPartitions("__s", "__k", "__y", *feats).persist()
-    theta[-1] = data.where(~F.col("__v")).agg(F.avg("__y")).first()[0] or 0.0    # start at the mean
-    m, v, steps = np.zeros(P), np.zeros(P), 0
-    lr = cfg.learning_rate
-    best, best_theta, since_best, since_lr = np.inf, theta.copy(), 0, 0
-    history = []
-    start = 0
-    who = None
+    dealt = Dealt(df, features, label, cfg.shards, valid, rowkey)
+    cfg = replace(cfg, shards=dealt.shards)
+    net, who = Training.begin(len(dealt.features), cfg, dealt.mean), None
     if snapshot:
         from ..session import list_names
-        who = identity(data, feats, {k: x for k, x in asdict(cfg).items() if k != "epochs"})
+        who = identity(dealt.data, dealt.features, {k: x for k, x in asdict(cfg).items() if k != "epochs"})
         done = sorted(n for n in list_names(spark, snapshot) if n.startswith("epoch="))
         if done:
-            st0 = json.loads(spark.read.json(f"{snapshot}/{done[-1]}").first()["state"])
-            if st0["who"] != who:
+            state = json.loads(spark.read.json(f"{snapshot}/{done[-1]}").first()["state"])
+            if state.pop("who") != who:
                 raise Mismatch(f"{snapshot} holds the training of another network, other settings or other rows")
-            theta, m, v = (np.asarray(st0[k]) for k in ("theta", "m", "v"))
-            best_theta = np.asarray(st0["best_theta"])
-            best, since_best, since_lr, lr, steps = (st0[k] for k in ("best", "since_best", "since_lr", "lr", "steps"))
-            history, start = st0["history"], st0["epoch"]
-    for epoch in range(start, cfg.epochs):
-        if snapshot and epoch > start and epoch % snapshot_every == 0:
-            state = {"who": who, "theta": theta.tolist(), "m": m.tolist(), "v": v.tolist(), "best_theta": best_theta.tolist(),
-                     "best": best, "since_best": since_best, "since_lr": since_lr, "lr": lr, "steps": steps,
-                     "history": history, "epoch": epoch}
-            spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1) \
-                 .write.mode("overwrite").json(f"{snapshot}/epoch={epoch:06d}")
-        bc = spark.sparkContext.broadcast((theta, m, v))
-
-        def part(batches, epoch=epoch, bc=bc, lr=lr, steps=steps):
-            first = _unpack(bc.value[0], shapes)
-            shard, state, left = None, None, None
-
-            def begin(s):
-                return s, [*(x.copy() for x in bc.value), steps, np.zeros(5)]
-
-            def step(x, y, key):
-                th, mm, vv, t, st = state
-                params = _unpack(th, shapes)
-                masks = [dropout_mask(key, epoch, li, shapes[li][1], drops[li]) for li in range(len(shapes) - 1)]
-                g, sse = grad_sums(params, x, y, masks)
-                st[:2] += sse, len(y)
-                state[:4] = [*_adam(th, mm, vv, t + 1, g / len(y) + _penalty_grad(params, l2s, shapes), lr), t + 1]
-
-            def end():
-                if left is not None and len(left[1]):
-                    step(*left)
-                th, mm, vv, t, st = state
-                st[4] = (t - steps) * st[1]
-                whole = np.concatenate([th, mm, vv]) * st[1]
-                rows = [(c, whole[c * CHUNK:(c + 1) * CHUNK].tolist()) for c in range(n_chunks)] if st[1] else []
-                return pd.DataFrame([*rows, (-1, st.tolist())], columns=["chunk", "g"])
-
-            for pdf in batches:
-                for s, rows in pdf.groupby("__s", sort=False):
-                    if s != shard:
-                        if shard is not None:
-                            yield end()
-                        (shard, state), left = begin(s), None
-                    x, y = rows[feats].to_numpy(dtype=float), rows["__y"].to_numpy(dtype=float)
-                    isv = rows["__v"].to_numpy(dtype=bool)
-                    key = rows["__k"].to_numpy(dtype=np.int64).view(np.uint64)
-                    if isv.any():
-                        e = forward(first, x[isv])[-1][:, 0] - y[isv]
-                        state[4][2:4] += float((e ** 2).sum()), isv.sum()
-                    now = (x[~isv], y[~isv], key[~isv])
-                    if left is not None:
-                        now = tuple(np.concatenate(z) for z in zip(left, now))
-                    full = len(now[1]) // cfg.batch * cfg.batch
-                    for a in range(0, full, cfg.batch):
-                        step(*(z[a:a + cfg.batch] for z in now))
-                    left = tuple(z[full:] for z in now)
-            if shard is not None:
-                yield end()
-
-        summed = data.mapInPandas(part, "chunk int, g array<double>").groupBy("chunk") \
-                     .agg(Summarizer.sum(array_to_vector("g")).alias("s")).collect()     # 3 P + 5 numbers
-        parts = {r["chunk"]: r["s"].toArray() for r in summed}
-        bc.unpersist()
-        st = parts.pop(-1)
-        pen = _penalty(_unpack(theta, shapes), l2s)
-        loss = st[0] / max(st[1], 1.0) + pen
-        val = (st[2] / st[3] + pen) if st[3] > 0 else loss
-        history.append({"epoch": epoch, "loss": float(loss), "val_loss": float(val), "lr": lr})
-        # early stopping / plateau bookkeeping on the weights that produced val
-        if val < best - 1e-12:
-            best, best_theta, since_best, since_lr = float(val), theta.copy(), 0, 0
-        else:
-            since_best += 1
-            since_lr += 1
-            if since_lr >= cfg.lr_patience and lr > cfg.min_lr:
-                lr, since_lr = max(lr * cfg.lr_factor, cfg.min_lr), 0
-            if since_best >= cfg.patience:
-                break
-        if st[1] > 0:
-            whole = np.concatenate([parts[c] for c in range(n_chunks)])[:width] / st[1]
-            theta, m, v = whole[:P], whole[P:2 * P], whole[2 * P:]
-            steps += int(round(st[4] / st[1]))
-    data.unpersist()
-    return MLPFit(feats, cfg, best_theta, history)
+            net = Training.resume(cfg, state)
+    start = net.epoch
+    while net.epoch < cfg.epochs and not net.stopped:
+        if snapshot and net.epoch > start and net.epoch % snapshot_every == 0:
+            spark.createDataFrame([(json.dumps({"who": who, **net.state()}),)], "state string").coalesce(1) \
+                 .write.mode("overwrite").json(f"{snapshot}/epoch={net.epoch:06d}")
+        run_epoch(dealt, [net])
+    dealt.unpersist()
+    return MLPFit(dealt.features, cfg, net.best_theta, net.history)
+
+
+@dataclass
+class Halving:
+    """Result of ``halving_search``: the trained networks, each with the rung at
+    which it was left out (the last one for those that stayed)."""
+    fits: list
+    rungs: list
+    budgets: list
+
+    @property
+    def best(self) -> int:
+        losses = [min(h["val_loss"] for h in f.history) for f in self.fits]
+        last = max(self.rungs)
+        return min((i for i, r in enumerate(self.rungs) if r == last), key=lambda i: (losses[i], i))
+
+
+def budgets(first: int, most: int, factor: int = 3) -> list[int]:
+    """Epochs at the end of each rung: ``first``, times ``factor``, ... ``most``."""
+    out = []
+    while first < most:
+        out.append(first)
+        first *= factor
+    return [*out, most]
+
+
+def halving_search(df: DataFrame, features: list[str], label: str, configs: list[MLPConfig], first: int = 15,
+                   factor: int = 3, valid: str = "is_valid", rowkey: str = "_rowkey", progress: str | None = None) -> Halving:
+    """Successive halving over trials: all train for ``first`` epochs, the best
+    ``1 / factor`` of them (by their best ``val_loss``, at least one) go on to
+    ``factor`` times as many, up to their own ``epochs``.
+
+    Rows are dealt onto shards once for the whole search, and one pass trains
+    all live networks (in groups of at most ``PASS_NUMBERS`` numbers).  A network
+    is what ``fit_mlp`` gives for the same epochs.  ``progress``: a folder on
+    shared storage; each finished rung is written there, and a rerun resumes
+    behind the last one, or raises ``Mismatch`` for other trials or rows."""
+    if not configs or len({c.shards for c in configs}) > 1:
+        raise ValueError("trials of a search need the same number of shards")
+    spark = df.sparkSession
+    dealt = Dealt(df, features, label, configs[0].shards, valid, rowkey)
+    configs = [replace(c, shards=dealt.shards) for c in configs]
+    nets = [Training.begin(len(dealt.features), c, dealt.mean) for c in configs]
+    steps = budgets(min(first, max(c.epochs for c in configs)), max(c.epochs for c in configs), factor)
+    left, done, who = [len(steps) - 1] * len(nets), 0, None
+    if progress:
+        from ..session import list_names
+        who = identity(dealt.data, dealt.features, [asdict(c) for c in configs], steps)
+        names = sorted(n for n in list_names(spark, progress) if n.startswith("rung="))
+        if names:
+            rows = spark.read.parquet(f"{progress}/{names[-1]}").orderBy("net").collect()
+            if len(rows) != len(nets) or any(r["who"] != who for r in rows):
+                raise Mismatch(f"{progress} holds a search over other trials or other rows")
+            nets = [Training.resume(c, json.loads(r["state"])) for c, r in zip(configs, rows)]
+            left, done = [r["left"] for r in rows], len(names)
+    live = [i for i in range(len(nets)) if left[i] >= done]
+    for rung in range(done, len(steps)):
+        while going := [nets[i] for i in live if not nets[i].stopped and nets[i].epoch < min(steps[rung], nets[i].config.epochs)]:
+            for group in groups(going):
+                run_epoch(dealt, group)
+        if rung + 1 < len(steps):
+            order = sorted(live, key=lambda i: (nets[i].best, i))
+            keep = order[:max(1, len(order) // factor)]
+            for i in set(live) - set(keep):
+                left[i] = rung
+            live = sorted(keep)
+        if progress:
+            rows = [(i, who, left[i], json.dumps(net.state())) for i, net in enumerate(nets)]
+            spark.createDataFrame(rows, "net int, who string, left int, state string").coalesce(1) \
+                 .write.mode("overwrite").parquet(f"{progress}/rung={rung:03d}")
+    dealt.unpersist()
+    return Halving([MLPFit(dealt.features, n.config, n.best_theta, n.history) for n in nets], left, steps)
 
 
 def row_key(df: DataFrame, keys=("series", "day"), out: str = "_rowkey") -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,7 @@ def column_means(df: DataFrame, cols: list[str]) -> list[float]:
 # method limit, so tasks fold rows into partial matrices with NumPy.
 JVM_MAX_SUMS = 66      # q(q+1)/2 for q = 11: ten inputs and the target
 BLOCK = 64             # partial sums per shuffled row on the wide path
+RELATIVE_SPREAD = 1e-28     # of the sum of squares: less is what the means' rounding leaves
 MAX_COLUMNS = 2_000    # of a Gram matrix: 2 million numbers, 16 MB, per group
 
 
@@ -194,17 +195,56 @@ def sum_groups(mats: dict[tuple, np.ndarray], keep) -> np.ndarray:
     return np.sum(sel, axis=0)
 
 
+def pair_moments(batches, cols: list[str]):
+    """Co-moments of each pair of columns over the rows of a task where both are
+    present, one row per pair (i < j): n, means and centred sums.  One product
+    of matrices per batch (values, squares and presence masks)."""
+    p, shift, acc = len(cols), None, None
+    for pdf in batches:
+        x = pdf[cols].to_numpy(dtype=float)
+        mask = ~np.isnan(x)
+        if shift is None:           # any value near the column's; moments don't depend on it
+            at = mask.argmax(0)
+            shift = np.where(mask.any(0), x[at, np.arange(p)], 0.0)
+            shift = np.where(np.isfinite(shift), shift, 0.0)
+        x = np.where(mask, x - shift, 0.0)
+        m = mask.astype(float)
+        new = [m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x]
+        acc = new if acc is None else [a + b for a, b in zip(acc, new)]
+    if acc is None:
+        shift, acc = np.zeros(p), [np.zeros((p, p))] * 4
+    i, j = np.triu_indices(p, 1)
+    n, sx, sxx, sxy = acc
+    count = n[i, j]
+    some = np.maximum(count, 1)
+    mx, my = sx[i, j] / some, sx[j, i] / some
+    yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "n": count, "mx": mx + shift[i], "my": my + shift[j],
+                        "cxx": sxx[i, j] - count * mx * mx, "cyy": sxx[j, i] - count * my * my, "cxy": sxy[i, j] - count * mx * my})
+
+
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair (long form, ``i < j``) over the rows
-    where both are present.  One aggregation for up to ``JVM_MAX_SUMS`` pairs,
-    so generated code stays below the JIT method limit; more pairs take one
-    aggregation for each such batch."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    out = None
-    for k in range(0, len(pairs), JVM_MAX_SUMS):
-        part = pairs[k:k + JVM_MAX_SUMS]
-        wide = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(part)])
-        stack = ", ".join(f"'{a}', '{b}', c{i}" for i, (a, b) in enumerate(part))
-        rows = wide.selectExpr(f"stack({len(part)}, {stack}) AS (var_a, var_b, corr)")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    where both are present, for any number of pairs in one scan.
+
+    Each task adds up one masked Gram matrix over its Arrow batches (products
+    of values, squares and presence masks) and emits one row per pair; a pair's
+    rows, at most one per task, are merged exactly: their centred sums plus
+    what their means differ by.  A pair with fewer than two common rows or a
+    constant side has a null correlation; NaN counts as missing."""
+    cols = list(cols)
+    names = [F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(cols)]
+    inner = [f"c{k}" for k in range(len(cols))]
+    parts = df.select(*names).mapInPandas(
+        lambda batches: pair_moments(batches, inner),
+        "i int, j int, n double, mx double, my double, cxx double, cyy double, cxy double")
+    pair, n = Window.partitionBy("i", "j"), F.col("n")
+    for side in ("x", "y"):         # from the pair's own mean over all tasks
+        mean = F.try_divide(F.sum(n * F.col(f"m{side}")).over(pair), F.sum(n).over(pair))
+        parts = parts.withColumn(f"d{side}", F.col(f"m{side}") - mean)
+    sums = [F.sum(F.col(f"c{a}{b}") + n * F.col(f"d{a}") * F.col(f"d{b}")).alias(f"c{a}{b}") for a, b in ("xx", "yy", "xy")]
+    large = [F.sum(n * F.col(f"m{side}") * F.col(f"m{side}")).alias(f"q{side}") for side in ("x", "y")]
+    merged = parts.groupBy("i", "j").agg(*sums, *large)
+    varies = [(F.col(f"c{s}{s}") > 0) & (F.col(f"c{s}{s}") > RELATIVE_SPREAD * F.col(f"q{s}")) for s in ("x", "y")]
+    corr = F.when(varies[0] & varies[1], F.col("cxy") / F.sqrt(F.col("cxx") * F.col("cyy")))
+    name = F.array(*[F.lit(c) for c in cols])
+    return merged.select(F.element_at(name, F.col("i") + 1).alias("var_a"), F.element_at(name, F.col("j") + 1).alias("var_b"), corr.alias("corr"))

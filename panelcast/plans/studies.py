@@ -191,6 +191,30 @@ def network_study(spark: SparkSession, sf: str, trials: int = 3, epochs: int = 3
             "metrics": metrics(model.transform(d.where("is_test")), "y", "prediction")}
 
 
+def network_search(spark: SparkSession, sf: str, trials: int = presets.NETWORK_TRIALS, epochs: int = presets.NETWORK_EPOCHS,
+                   first: int = 15, seed: int = 42, model_path: str | None = None, progress: str | None = None) -> dict[str, DataFrame]:
+    """Successive halving over ``trials`` random networks of at most ``epochs``
+    epochs (defaults: the reference's search), on rows that are dealt once and
+    with all live networks in one pass: trials, best parameters, test metrics.
+    ``progress`` (shared folder) keeps finished rungs, so that a rerun resumes."""
+    from dataclasses import asdict
+
+    from ..operators.mlp import NetworkModel, halving_search, sample_configs
+    from ..sources import io
+    d, pre, terms, drop = network_data(spark, sf, seed)
+    train = pre.transform(d.where(~F.col("is_test")))
+    found = halving_search(train, terms, "y", sample_configs(trials, seed, epochs), first, progress=progress)
+    rows = [(i, "-".join(map(str, f.config.hidden)), f.config.learning_rate, float(min(h["val_loss"] for h in f.history)),
+             len(f.history), r) for i, (f, r) in enumerate(zip(found.fits, found.rungs))]
+    best = found.best
+    model = NetworkModel(found.fits[best], pre, drop)
+    if model_path:
+        io.save_model(model, model_path)
+    return {"trials": spark.createDataFrame(rows, "trial int, layers string, learning_rate double, val_loss double, epochs int, rung int"),
+            "best": spark.createDataFrame([(best, json.dumps(asdict(found.fits[best].config)))], "trial int, params string"),
+            "metrics": metrics(model.transform(d.where("is_test")), "y", "prediction")}
+
+
 def tree_study(spark: SparkSession, sf: str, kind: str = "tree", grid: dict | None = None,
                strict: bool = False, seed: int = 42, parallelism: int = 4,
                progress: str | None = None) -> dict[str, DataFrame]:

@@ -17,8 +17,9 @@ REFERENCE_SCHEMA = T.StructType(
 
 def read_panel(spark: SparkSession, path: str, schema: T.StructType | None = None,
                fmt: str = "parquet", required: list[str] | None = None,
-               keys: tuple = ()) -> DataFrame:
-    """Read a daily table with a fixed schema.
+               keys: tuple = (), options: dict | None = None) -> DataFrame:
+    """Read a daily table with a fixed schema: Parquet, CSV, JSON or a folder of
+    workbooks (``fmt="workbook"``, see ``sources.workbook`` for its ``options``).
 
     ``keys``: columns that must tell rows apart, such as ``("series",
     "day")``; lags and exact folds rest on it.  One aggregation checks it,
@@ -35,8 +36,12 @@ def read_panel(spark: SparkSession, path: str, schema: T.StructType | None = Non
         df = r.option("header", "true").option("mode", "FAILFAST").csv(path)
     elif fmt == "json":
         df = r.option("mode", "FAILFAST").json(path)
+    elif fmt == "workbook":
+        from .workbook import register_workbooks
+        register_workbooks(spark)
+        df = r.format(fmt).options(**(options or {})).load(path)
     else:
-        df = r.format(fmt).load(path)
+        df = r.format(fmt).options(**(options or {})).load(path)
     missing = [c for c in (required or []) if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing} in {path}")

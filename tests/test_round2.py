@@ -171,3 +171,22 @@ def test_building_a_gram_plan_starts_no_job(spark, folded):
 def test_boost_log_study_scores_the_winner_on_blocks(spark, tmp_path):
     out = studies.boost_log_study(spark, SF_SMALL, str(tmp_path / "m"), {"n_estimators": [2], "max_depth": [2, 30], "num_leaves": [4], "learning_rate": [0.1]})
     assert out["block_scores"].count() == 5 and out["search"].count() == 2
+
+
+def test_a_vote_shares_its_members(spark, panel, monkeypatch):
+    """Learners that a vote has in common with another model are fitted once per
+    fold; predictions are those of separate comparisons."""
+    from panelcast.operators import fitting
+    d = splits.kfold(panel.select("series", "day", "x_qty", "x_tax", "y").dropna(), 2, 42, "hash").persist()
+    tree, forest = {"max_depth": 3}, {"n_estimators": 3, "max_depth": 3, "bootstrap": False}
+    vote = ModelSpec("vote", "voting", ["x_qty", "x_tax"], members=[("forest", forest), ("tree", tree)], strict=False)
+    alone = ModelSpec("tree", "tree", ["x_qty", "x_tax"], tree, strict=False)
+    apart = [compare_scores([s], d).select("fold", "r2", "mse").orderBy("fold").collect() for s in (alone, vote)]
+    fits = []
+    one = fitting._fit_member
+    monkeypatch.setattr(fitting, "_fit_member", lambda est, rows: fits.append(type(est).__name__) or one(est, rows))
+    got = compare_scores([alone, vote], d, parallelism=4)
+    assert len(fits) == 4                                   # two learners on two folds, not three
+    for name, want in zip(("tree", "vote"), apart):
+        assert got.where(F.col("model") == name).select("fold", "r2", "mse").orderBy("fold").collect() == want
+    d.unpersist()
