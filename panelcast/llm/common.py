@@ -12,6 +12,7 @@ from ..session import ensure_checkpoint_dir, ship_package
 #: A side with at most this many narrow rows (ids or hashes) is broadcast; a
 #: larger one is joined through a shuffle.  The count is taken before.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +45,10 @@ def drop_staged(df: DataFrame) -> None:
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint only below the row bound; the caller counted ``rows``."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def maybe_broadcast(df: DataFrame, rows: int, size: int = 0) -> DataFrame:
+    """Broadcast hint only below the bounds; the caller counted ``rows`` and,
+    where they hold more than a few numbers, their ``size`` in bytes."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -13,7 +13,9 @@ Jaccard distance is a metric, and regions are built around pivots:
    it at 0.9, a quarter at 0.8), so with m > D subspaces they are at distance 0 in one of them: the pivots of a subspace are the
    distinct subsets found there, and the window around each has width 0.
    Documents are replicated to the regions of all their subsets.  Sets of
-   similar size use the same m; those near a border of sizes use both.
+   similar size use the same m; those near a border of sizes use both.  Two
+   sets that link agree in m - D subspaces at least: before any set is read, a
+   set leaves the size classes in which it shares fewer regions than that.
    Regions with one document end here, the others are joined where they share
    documents, so that every link lies inside one region.  Where that chains
    many small regions to a large one, they are worked on one by one instead.
@@ -56,6 +58,7 @@ REGION_SHINGLES = 4_000_000     # and in shingles
 PIVOTS = 16
 DEPTH = 3
 CELLS = 16_000_000      # of an incidence matrix held at a time
+PRUNING = 2             # times that shared regions are counted
 
 
 class Rule(NamedTuple):
@@ -141,31 +144,40 @@ def size_classes(n: int, rule: Rule = RULE) -> list[tuple[int, int]]:
     return out
 
 
+def placed_signatures(s: np.ndarray, rule: Rule = RULE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One hash for each (class, subspace, subset) region of a set, the start of
+    its class, and how many regions of the class any set that links to this one
+    shares with it at least: of m subspaces D at most differ, and those that are
+    empty here are no regions unless there are many."""
+    out, starts, needs = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    if len(s) >= rule.fewest:
+        m_of = mix(s ^ _P1)
+        for low, d in size_classes(len(s), rule):
+            m = rule.subspaces(d)
+            bucket = (m_of % np.uint64(m)).astype(np.int64)
+            o = np.argsort(bucket, kind="stable")
+            used, first = np.unique(bucket[o], return_index=True)
+            sums = np.add.reduceat(m_of[o], first)
+            seed = np.array([low], np.uint64) * _P2
+            mine = mix(sums * _P1 + used.astype(np.uint64) * _P3 + seed)
+            if len(used) <= d:      # so many are empty that a pair may agree in empty ones only
+                empty = np.setdiff1d(np.arange(m), used).astype(np.uint64)
+                mine = np.concatenate([mine, mix(empty * _P3 + seed + np.uint64(1))])
+            out.append(mine)
+            starts.append(np.full(len(mine), low, np.int32))
+            needs.append(np.full(len(mine), len(mine) - d, np.int32))
+    return np.concatenate(out), np.concatenate(starts), np.concatenate(needs)
+
+
 def signatures(s: np.ndarray, rule: Rule = RULE) -> np.ndarray:
-    """One hash for each (class, subspace, subset) region of a set."""
-    if len(s) < rule.fewest:
-        return np.empty(0, np.uint64)
-    out = []
-    m_of = mix(s ^ _P1)
-    for low, d in size_classes(len(s), rule):
-        m = rule.subspaces(d)
-        bucket = (m_of % np.uint64(m)).astype(np.int64)
-        o = np.argsort(bucket, kind="stable")
-        used, first = np.unique(bucket[o], return_index=True)
-        sums = np.add.reduceat(m_of[o], first)
-        seed = np.array([low], np.uint64) * _P2
-        out.append(mix(sums * _P1 + used.astype(np.uint64) * _P3 + seed))
-        if len(used) <= d:      # so many are empty that a pair may agree in empty ones only
-            empty = np.setdiff1d(np.arange(m), used).astype(np.uint64)
-            out.append(mix(empty * _P3 + seed + np.uint64(1)))
-    return np.concatenate(out)
+    return placed_signatures(s, rule)[0]
 
 
 def signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
-_BASE = "doc_id long, th long, n long, d1 long, d2 long, sigs array<long>"
+_BASE = "doc_id long, th long, n long, d1 long, d2 long, sigs array<long>, lows array<int>, needs array<int>"
 
 
 def base_table(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
@@ -178,8 +190,9 @@ def base_table(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
             rows = []
             for i, h, t in zip(b["doc_id"], b["th"], b["text"]):
                 s = shingle_set(t, rule)
-                rows.append((i, h, len(s), *digest(s), signed(signatures(s, rule))))
-            d = pd.DataFrame(rows, columns=["doc_id", "th", "n", "d1", "d2", "sigs"])
+                sigs, lows, needs = placed_signatures(s, rule)
+                rows.append((i, h, len(s), *digest(s), signed(sigs), lows, needs))
+            d = pd.DataFrame(rows, columns=["doc_id", "th", "n", "d1", "d2", "sigs", "lows", "needs"])
             d["doc_id"] = pd.Series([None if i is None else int(i) for i in d["doc_id"]], dtype="Int64")
             yield d
 
@@ -256,8 +269,8 @@ def _edges(pairs) -> pd.DataFrame:
 
 def join_small(members: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Links inside regions of bounded size; many share a task, one is held at
-    a time."""
-    src = members.select("region", "id", "set").repartition("region").sortWithinPartitions("region")
+    a time.  A set that comes more than once counts once."""
+    src = members.select("region", "id", "set").repartition("region").sortWithinPartitions("region", "id")
 
     def run(batches):
         now, ids, sets, out = None, [], [], []
@@ -266,8 +279,9 @@ def join_small(members: DataFrame, rule: Rule = RULE) -> DataFrame:
                 if r != now:
                     out += region_links(np.array(ids), sets, rule=rule) if len(ids) > 1 else []
                     now, ids, sets = r, [], []
-                ids.append(i)
-                sets.append(s)
+                if not ids or ids[-1] != i:
+                    ids.append(i)
+                    sets.append(s)
             if len(out) > 10_000:
                 yield _edges(out)
                 out = []
@@ -386,20 +400,44 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(signed(np.array([mix(s).sum(dtype=np.uint64)]))[0]), int(signed(np.array([mix(s * _P1 + _P3).sum(dtype=np.uint64)]))[0])
 
 
-def unchained(coarse: DataFrame, sigs: DataFrame, shared: DataFrame) -> DataFrame:
+def shared_regions(base: DataFrame) -> DataFrame:
+    """(id, low, need, sig): the regions that a set shares with another one, of
+    the size classes in which it shares as many as it would with any set that it
+    links to.  Counting again where others have gone leaves out more; no link's
+    regions are ever left out, as both its sets keep theirs."""
+    sigs = base.select(F.col("d1").alias("id"), F.explode(F.arrays_zip("sigs", "lows", "needs")).alias("r")).select(
+        "id", F.col("r.lows").alias("low"), F.col("r.needs").alias("need"), F.col("r.sigs").alias("sig"))
+    rows = None
+    for _ in range(PRUNING):
+        shared = (sigs if rows is None else rows).groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("sig")
+        shared = staged(shared, "jac-shared")
+        here = (sigs if rows is None else rows).join(maybe_broadcast(shared, shared.count()), "sig").select("id", "low", "need", "sig")
+        here = staged(here.distinct() if rows is None else here, "jac-hits")
+        drop_staged(shared)
+        if rows is not None:
+            drop_staged(rows)
+        enough = staged(here.groupBy("id", "low", "need").agg(F.count("*").alias("n")).where("n >= need").select("id", "low"), "jac-enough")
+        rows = staged(here.join(maybe_broadcast(enough, enough.count()), ["id", "low"], "left_semi").select("id", "low", "need", "sig"), "jac-hits")
+        drop_staged(here)
+        drop_staged(enough)
+    return rows
+
+
+def unchained(coarse: DataFrame, hits: DataFrame) -> DataFrame:
     """(id, region): the components of shared regions, and in place of a large
     one its single regions, if they cost at most half of what it costs."""
-    big = coarse.groupBy("label").agg(F.count("*").alias("rows")).where(F.col("rows") > REGION_ROWS)
+    big = staged(coarse.groupBy("label").agg(F.count("*").alias("rows")).where(F.col("rows") > REGION_ROWS), "jac-big")
     whole = coarse.select("id", F.col("label").alias("region"))
-    large = staged(coarse.join(F.broadcast(big), "label"), "jac-large")
-    if not large.head(1):
+    n = big.count()
+    if not n:
         return whole
-    n = shared.count()
-    single = staged(sigs.join(maybe_broadcast(shared.select("sig"), n), "sig").join(large, "id").select("label", "rows", "id", "sig").distinct(), "jac-single")
+    large = staged(coarse.join(maybe_broadcast(big, n), "label"), "jac-large")
+    single = staged(hits.select("id", "sig").join(maybe_broadcast(large, large.count()), "id").select("label", "rows", "id", "sig"), "jac-single")
     cost = single.groupBy("label", "rows", "sig").count().groupBy("label", "rows").agg(F.sum(F.col("count") * F.col("count")).alias("cost"))
     split = staged(cost.where(F.col("cost") * 2 <= F.col("rows") * F.col("rows")).select("label"), "jac-unchain")
-    stay = coarse.join(F.broadcast(split), "label", "left_anti").select("id", F.col("label").alias("region"))
-    return stay.unionByName(single.join(F.broadcast(split), "label", "left_semi").select("id", F.col("sig").alias("region")))
+    split = maybe_broadcast(split, split.count())
+    stay = coarse.join(split, "label", "left_anti").select("id", F.col("label").alias("region"))
+    return stay.unionByName(single.join(split, "label", "left_semi").select("id", F.col("sig").alias("region")))
 
 
 def components(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
@@ -414,27 +452,32 @@ def labelled(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     base = staged(base_table(docs, rule), "jac-base")
     sets = staged(base.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("best"))
                   .withColumn("first", F.col("best.doc_id")), "jac-sets")
-    sigs = base.where(F.size("sigs") > 0).select(F.col("d1").alias("id"), F.explode("sigs").alias("sig"))
-    shared = staged(sigs.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
-                    .where("hub <> last").select("sig", "hub"), "jac-shared")
-    star = sigs.join(maybe_broadcast(shared, shared.count()), "sig").select("id", "hub").where("id <> hub").distinct()
-    coarse = staged(connected(star, "id", "hub"), "jac-coarse")
-    regions = staged(unchained(coarse, sigs, shared), "jac-regions")
-    drop_staged(shared)
+    hits = shared_regions(base.where(F.size("sigs") > 0))
+    hubs = hits.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("sig", "hub")
+    coarse = staged(connected(hits.join(hubs, "sig").select("id", "hub").where("id <> hub").distinct(), "id", "hub"), "jac-coarse")
+    regions = staged(unchained(coarse, hits).groupBy("id").agg(F.collect_set("region").alias("regions")), "jac-regions")
+    drop_staged(hits)
 
     # one text of each set that shares a region, fetched by its best row's id and text hash
     members = staged(regions.join(sets, F.col("id") == F.col("d1"))
-                     .select(F.col("first").cast("string").alias("doc"), F.col("best.th").alias("th"), "id", "region"), "jac-fetch")
+                     .select(F.col("first").cast("string").alias("doc"), F.col("best.th").alias("th"), "id", "regions"), "jac-fetch")
+    count, more = members.agg(F.count("*"), F.sum(F.size("regions"))).first()
     rows = docs.select(F.col("doc_id").cast("string").alias("row_doc"), F.xxhash64("text").alias("row_th"), "text")
-    texts = rows.join(maybe_broadcast(members, members.count()), F.col("row_doc").eqNullSafe(F.col("doc")) & (F.col("row_th") == F.col("th")))
+    texts = rows.join(maybe_broadcast(members, count, 48 * count + 8 * (more or 0)), F.col("row_doc").eqNullSafe(F.col("doc")) & (F.col("row_th") == F.col("th")))
 
     def run(batches):
+        done = set()                # of a row that stands several times, a task reads one
         for b in batches:
-            found = [(r, i, len(s), signed(s)) for r, i, t in zip(b["region"], b["id"], b["text"])
-                     for s in [shingle_set(t, rule)] if digest(s)[0] == i]
-            yield pd.DataFrame(found, columns=["region", "id", "n", "set"]).astype({"region": "int64", "id": "int64", "n": "int64"})
-
-    inside = staged(texts.mapInPandas(run, "region long, id long, n long, set array<long>").dropDuplicates(["region", "id"]), "jac-inside")
+            found = []
+            for where, i, t in zip(b["regions"], b["id"], b["text"]):
+                if i not in done and digest(s := shingle_set(t, rule))[0] == i:
+                    done.add(i)
+                    found.append((where, i, len(s), signed(s)))
+            yield pd.DataFrame(found, columns=["regions", "id", "n", "set"]).astype({"id": "int64", "n": "int64"})
+
+    # each set is written once and shuffled once to each of its regions
+    inside = staged(texts.mapInPandas(run, "regions array<long>, id long, n long, set array<long>"), "jac-sets-inside")
+    inside = inside.select(F.explode("regions").alias("region"), "id", "n", "set")
     edges = None
     for part in join_regions(inside, rule):
         edges = part if edges is None else edges.unionByName(part)

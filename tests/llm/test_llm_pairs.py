@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from llm_helpers import CLASH, ODD, docs_frame, words
+from pyspark.sql import functions as F
 
 from panelcast.llm import components, jaccard_regions, simhash_decontam, srs_search
 
@@ -119,6 +120,16 @@ def test_null_ids_link_and_bridge(spark):
     assert found(docs_frame(spark, rows)) == brute_components(rows)
 
 
+def shares_enough(s, t, rule=jaccard_regions.RULE):
+    """Whether in a size class both sets share as many regions as each must."""
+    (a, la, na), (b, lb, nb) = (jaccard_regions.placed_signatures(x, rule) for x in (s, t))
+    for low in np.intersect1d(la, lb):
+        x, y = a[la == low], b[lb == low]
+        if np.intersect1d(x, y).size >= max(na[la == low][0], nb[lb == low][0], 1):
+            return True
+    return False
+
+
 def test_every_linking_pair_shares_a_region():
     r = np.random.default_rng(0)
     for n in (9, 10, 13, 20, 47, 130, 400, 1000):
@@ -130,6 +141,33 @@ def test_every_linking_pair_shares_a_region():
             inter = len(np.intersect1d(s, t))
             if 100 * inter >= 90 * (len(s) + len(t) - inter):
                 assert np.intersect1d(jaccard_regions.signatures(s), jaccard_regions.signatures(t)).size
+                assert shares_enough(s, t)
+
+
+def test_chance_regions_are_pruned(spark):
+    """Texts that share a passage share some regions, but too few to link: they
+    are left out before any set is read; copies with an edit stay."""
+    passage = words(14, 77, 100_000)
+    rows = [(i, words(10, i, 100_000) + " " + passage) for i in range(90)] + [(100 + i, edited(words(150, i // 2, 100_000), i % 2, i)) for i in range(10)]
+    base = jaccard_regions.base_table(docs_frame(spark, rows))
+    every = base.select("d1", F.explode("sigs").alias("sig"))
+    shared = every.join(every.groupBy("sig").agg(F.countDistinct("d1").alias("n")).where("n > 1"), "sig").select("d1").distinct().count()
+    kept = {r.id for r in jaccard_regions.shared_regions(base).select("id").distinct().collect()}
+    ids = {r.doc_id: r.d1 for r in base.collect()}
+    assert {ids[100 + i] for i in range(10)} <= kept and len(kept) < shared and shared > 40
+
+
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    ids = list(range(10_000))
+    random.Random(5).shuffle(ids)
+    for order in (ids, sorted(ids)):
+        made = []
+        monkeypatch.setattr(components, "staged", lambda df, name, keep=components.staged: made.append(name) or keep(df, name))
+        d = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+        got = components.connected(d)
+        assert got.agg(F.count("*"), F.max("label"), F.sum("id")).first() == (10_000, 0, sum(ids))
+        monkeypatch.undo()
+        assert made.count("cc-up") <= 16
 
 
 def test_connected_components(spark):

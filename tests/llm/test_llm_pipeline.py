@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 
 def test_stages(spark):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
-    from test_llm_pairs import brute_components, brute_leaks
+    from test_llm_pairs import brute_leaks
     docs = table(spark, DATA, "documents")
     rows = {r.doc_id: r for r in docs.collect()}
     (_, language), (_, quality), (_, near), (_, clean), (_, encode) = corpus_pipeline.STAGES
@@ -33,7 +33,7 @@ def test_stages(spark):
 
     three = near(spark, two, DATA).cache()
     pairs = [(i, rows[i].text) for i in sorted(kept)]
-    first = {eval(x)[2] for x in brute_components(pairs)}
+    first = brute_first(pairs, 5, 80, 100)
     assert three.columns == docs.columns and {r.doc_id for r in three.collect()} == first
 
     four = clean(spark, three, DATA).cache()
@@ -99,6 +99,7 @@ def test_near_duplicates_of_five_words(spark, monkeypatch, small):
 
 
 def test_linking_pairs_of_the_stage_share_a_region():
+    from test_llm_pairs import shares_enough
     r, rule = np.random.default_rng(1), corpus_pipeline.NEAR
     seen = 0
     for n in (4, 5, 6, 9, 13, 20, 47, 130, 400, 1000):
@@ -110,4 +111,5 @@ def test_linking_pairs_of_the_stage_share_a_region():
             if 100 * inter >= 80 * (len(s) + len(t) - inter):
                 seen += 1
                 assert np.intersect1d(jaccard_regions.signatures(s, rule), jaccard_regions.signatures(t, rule)).size
+                assert shares_enough(s, t, rule)
     assert seen > 300
