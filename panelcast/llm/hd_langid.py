@@ -15,8 +15,9 @@ in the alphabet; learning rows with null lang, null text or no letter are left
 out; a null id counts as not held out.  Prototypes are summed as integers, so
 neither row order nor partitioning changes them.
 
-Learning reads at most about ``max_train`` texts, chosen by a hash of the id;
-prediction reads every whole text.
+Learning reads at most about ``max_train`` texts of each language, chosen by a
+hash of the id after the languages' rows are counted, so a rare language keeps
+its rows at any size; prediction reads every whole text.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, claim, fresh, held_out
+from .common import claim, fresh, held_out, maybe_broadcast
 
 DIM = 512
-MAX_TRAIN = 20_000
+MAX_TRAIN = 5_000       # of each language
 MIN_SCORE = 0.05        # below, a text is in no learned language (the noise of DIM is 0.04)
 UNIT = 1 << 20          # prototypes are sums of unit vectors in this fixed point
 CELLS = 4_000_000       # of the table letters x letter pairs held at a time
@@ -138,12 +139,21 @@ def _pair_vectors(names, middle, last, dim: int) -> np.ndarray:
     return rows[place[code]]
 
 
+def sample_languages(rows: DataFrame, bound: int) -> DataFrame:
+    """All rows of a language that has at most ``bound``, else those whose id
+    hashes below bound / count: the same rows however the input is partitioned."""
+    share = rows.groupBy("lang").agg(F.floor(F.lit(bound) / F.count("*") * (1 << 30)).alias("share"))
+    share = share.select(F.col("lang").alias("known"), "share")
+    return (rows.join(maybe_broadcast(share, share.count()), F.col("lang") == F.col("known"))
+            .where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share")))
+
+
 def learn(docs: DataFrame, dim: int = DIM, max_train: int = MAX_TRAIN,
           modulus: int = 4, rest: int = 2) -> dict[str, np.ndarray]:
     """Prototype of each language in the rows that are not held out.  Only sums
     per task and language (``dim`` numbers each) are shuffled and collected."""
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & ~held_out(modulus, rest))
-    rows = bounded_sample(rows, "doc_id", max_train).select("lang", "text")
+    rows = sample_languages(rows, max_train).select("lang", "text")
 
     def bundle(batches):
         claim("langid", _PAIRS, _VECTORS)

@@ -3,7 +3,7 @@
 import zlib
 
 import numpy as np
-from llm_helpers import ODD, docs_frame
+from llm_helpers import ODD, docs_frame, words
 
 from panelcast.llm import hd_langid, quality_rules
 
@@ -78,3 +78,12 @@ def test_quality_edge_cases(spark):
     assert len(found) == len(ODD) and all(0 <= r.score <= 1 for r in found)
     assert quality_rules.classify(docs.limit(0), none).count() == 0
     assert quality_rules.keep_good(docs, none).columns == docs.columns
+
+
+def test_a_rare_language_keeps_its_prototype(spark):
+    """The bound is one per language: few rows among many are all learned."""
+    rows = [(i, words(12, i), "en") for i in range(900)] + [(5000 + i, f"zzyx qvorn xylt zyq {i}", "zz") for i in range(4)]
+    docs = docs_frame(spark, rows)
+    assert set(hd_langid.learn(docs, max_train=60)) == {"en", "zz"}
+    kept = hd_langid.sample_languages(docs, 60).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in kept}["zz"] == 4 and 20 < {r["lang"]: r["count"] for r in kept}["en"] < 120
