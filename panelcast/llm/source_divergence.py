@@ -13,7 +13,7 @@ keeps the terms that occur in at least ``MIN_DOCS`` of its documents.
    slices as needed, each with a fit of its own: neither driver nor executors
    hold more than about one slice.
 2. The vectors of a (lang, source) group are summed sparsely: (index, count)
-   entries, added up inside each task with NumPy before the shuffle, so a source with a
+   entries, added up inside each task before the shuffle, so a source with a
    third of all rows costs no task more than another.
 3. Smoothed shares p = 1 + floor(SCALE * (count + 5) / (N + 5 V)) differ from a
    group's constant p0 (count 0) on its own terms only.  So the distance of two
@@ -49,7 +49,6 @@ TOP = 50
 MAX_VOCABULARY = 2_000_000
 MAX_INT = 2**31 - 1
 SIZING = 64             # one in so many terms is counted to size the slices
-ENTRIES = 2_000_000     # entries of sparse vectors that a task holds at a time
 PAIRS = 2_000_000       # pairs of entries that a task holds at a time
 TAG = b":"              # between the language (in hex) and the term; never part of either
 
@@ -67,15 +66,14 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
-def tagged(docs: DataFrame, once: bool = False) -> DataFrame:
-    """lang, source and the document's terms, each behind its language's tag;
-    ``once``: its distinct terms, which is all that document frequencies need."""
+def tagged(docs: DataFrame) -> DataFrame:
+    """lang, source and the document's terms, each behind its language's tag."""
     def run(batches):
         for batch in batches:
             texts = []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
-                tag, terms = lang.encode().hex().encode() + TAG, terms_of(text)
-                texts.append(b" ".join([tag + t for t in (set(terms) if once else terms)]))
+                tag = lang.encode().hex().encode() + TAG
+                texts.append(b" ".join([tag + t for t in terms_of(text)]))
             yield pa.record_batch({"lang": batch.column(0), "source": batch.column(1), "terms": pa.array(texts, pa.binary()).cast(pa.string())})
 
     rows = plain(docs).mapInArrow(run, "lang string, source string, terms string")
@@ -100,63 +98,25 @@ def slices(docs: DataFrame, min_docs: int, most: int) -> int:
     return max(1, -(-kept * SIZING // most))
 
 
-def _merged(keys: list, values: list) -> tuple[np.ndarray, np.ndarray]:
-    key, value = np.concatenate(keys), np.concatenate(values)
-    order = np.argsort(key, kind="stable")
-    key, value = key[order], value[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-    return key[first], np.add.reduceat(value, first) if len(key) else value
-
-
-def group_sums(batches):
-    """Sums of a task's sparse vectors per (lang, source), as entries (idx, n);
-    at most about ``ENTRIES`` of them are held."""
-    names: dict[tuple, int] = {}
-    keys, values, held = [], [], 0
-
-    def out(key, value):
-        known = list(names)
-        of = [known[i] for i in (key >> 32).tolist()]
-        return pa.record_batch({"lang": pa.array([x for x, _ in of], pa.string()), "source": pa.array([x for _, x in of], pa.string()),
-                                "idx": pa.array(key & MAX_INT, pa.int32()), "n": pa.array(value)})
-
-    for batch in batches:
-        indices = batch.column("indices")
-        group = [names.setdefault(x, len(names)) for x in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())]
-        group = np.repeat(np.array(group, np.int64), np.diff(np.asarray(indices.offsets)))
-        keys.append((group << 32) | np.asarray(indices.flatten()))
-        values.append(np.asarray(batch.column("values").flatten()).astype(np.int64))
-        held += len(group)
-        if held > ENTRIES:
-            key, value = _merged(keys, values)
-            if len(key) > ENTRIES // 2:
-                yield out(key, value)
-                key, value = key[:0], value[:0]
-            keys, values, held = [key], [value], len(key)
-    if keys:
-        yield out(*_merged(keys, values))
-
-
 def count_terms(docs: DataFrame, min_docs: int = MIN_DOCS, most: int = MAX_VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(lang, term) of every kept term, and lang, source, term, count of every
     kept term that occurs in the group."""
     spark = docs.sparkSession
     n = slices(docs, min_docs, most)
-    rows, distinct = tagged(docs), tagged(docs, once=True)
+    rows = tagged(docs)
     counts = vocabulary = None
     for i in range(n):
-        slice_ = (lambda df: df) if n == 1 else (lambda df: df.withColumn("terms", F.filter("terms", _slice(n, i))))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MAX_INT).fit(slice_(distinct))
+        part = rows if n == 1 else rows.withColumn("terms", F.filter("terms", _slice(n, i)))
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MAX_INT).fit(part)
         path = shared_path(spark, "divergence-vocabulary")
         model.save(path)
         mark = TAG.decode()
         terms = (spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("idx", "tagged"))
                  .select("idx", F.substring_index("tagged", mark, -1).alias("term"),
                          F.decode(F.unhex(F.substring_index("tagged", mark, 1)), "UTF-8").alias("vlang")))
-        vectors = (model.transform(slice_(rows)).select("lang", "source", F.unwrap_udt("vector").alias("v"))
-                   .select("lang", "source", F.col("v.indices").alias("indices"), F.col("v.values").alias("values")))
-        sums = (vectors.mapInArrow(group_sums, "lang string, source string, idx int, n long")
-                .groupBy("lang", "source", "idx").agg(F.sum("n").alias("count")))
+        vectors = (model.transform(part).select("lang", "source", F.unwrap_udt("vector").alias("v"))
+                   .select("lang", "source", F.inline(F.arrays_zip(F.col("v.indices").alias("idx"), F.col("v.values").alias("n")))))
+        sums = vectors.groupBy("lang", "source", "idx").agg(F.sum(F.col("n").cast("long")).alias("count"))
         sums = sums.join(terms, "idx").select("lang", "source", "term", "count")
         counts = sums if counts is None else counts.unionByName(sums)
         vocabulary = terms if vocabulary is None else vocabulary.unionByName(terms)

@@ -109,23 +109,6 @@ def test_divergence_pairs_in_chunks(monkeypatch):
         assert have == want
 
 
-def test_group_sums_in_bounded_parts(monkeypatch):
-    import pyarrow as pa
-    r = random.Random(8)
-    rows = [(r.choice(["en", "de"]), f"s{r.randrange(3)}", sorted(r.sample(range(50), r.randrange(0, 12)))) for _ in range(200)]
-    batches = [pa.record_batch({"lang": [x for x, _, _ in part], "source": [x for _, x, _ in part], "indices": pa.array([x for *_, x in part], pa.list_(pa.int32())),
-                                "values": pa.array([[1.0 + i for i in x] for *_, x in part], pa.list_(pa.float64()))}) for part in (rows[:7], rows[7:90], rows[90:])]
-    want = Counter()
-    for lang, source, idx in rows:
-        want.update({(lang, source, i): 1 + i for i in idx})
-    for most in (10, 10**6):
-        monkeypatch.setattr(source_divergence, "ENTRIES", most)
-        have = Counter()
-        for b in source_divergence.group_sums(iter(batches)):
-            have.update({(x["lang"], x["source"], x["idx"]): x["n"] for x in b.to_pylist()})
-        assert have == want
-
-
 def test_divergence_of_an_empty_table(spark):
     assert source_divergence.audit(divergence_frame(spark, [])).count() == 0
     assert got(source_divergence.audit(divergence_frame(spark, [("en", "a", "x"), ("en", "b", None)]))) == \
