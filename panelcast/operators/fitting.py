@@ -147,14 +147,18 @@ class Members:
     """Fitted learners that several models share, each fitted by the first
     thread that asks for it while others wait."""
 
-    def __init__(self, specs: list[ModelSpec]):
+    def __init__(self, specs: dict[str, ModelSpec]):
+        """``specs``: models by name; keys are taken here, in the caller's thread."""
         from collections import Counter
         from threading import Lock
-        count = Counter(k for s in specs for k in member_keys(s))
+        self.keys = {name: member_keys(s) for name, s in specs.items()}
+        count = Counter(k for keys in self.keys.values() for k in keys)
         self.shared = {k for k, n in count.items() if n > 1}        # others are not held
         self.lock, self.done = Lock(), {}
 
-    def get(self, key: str, rows, make):
+    def get(self, name: str, i: int, rows, make):
+        """Learner ``i`` of the model ``name`` on the given rows."""
+        key = self.keys[name][i]
         if key not in self.shared:
             return make()
         with self.lock:
@@ -174,7 +178,7 @@ def _fit_member(est, rows: DataFrame):
 
 def fit(spec: ModelSpec, train: DataFrame, target: str = "y",
         scaler: StandardizerModel | None = None, members_of=None) -> Fitted:
-    """Fit preprocessing and estimator on ``train``.  ``members_of(key, make)``
+    """Fit preprocessing and estimator on ``train``.  ``members_of(i, make)``
     may give a learner that was fitted on the same rows already."""
     shift = None
     if spec.kind in LINEAR:
@@ -199,9 +203,9 @@ def fit(spec: ModelSpec, train: DataFrame, target: str = "y",
             ests.append(est)
             notes += nt
         xv = asm.transform(xt)
-        for i, (key, est) in enumerate(zip(member_keys(spec), ests)):
+        for i, est in enumerate(ests):
             make = lambda est=est: _fit_member(est, xv)
-            one = members_of(key, make) if members_of else make()
+            one = members_of(i, make) if members_of else make()
             members.append(one.copy().setPredictionCol(f"__p{i}"))
         avg = " + ".join(f"__p{i}" for i in range(len(ests)))
         post = [asm] + members + [SQLTransformer(
@@ -297,7 +301,7 @@ class _Folds:
         if path and path_exists(spark, path):
             return spark.read.parquet(path)
         sc = self.scalers[tuple(spec.features)][f] if spec.scale and spec.features else None
-        share = (lambda key, make: self.members.get(key, f, make)) if self.members else None
+        share = (lambda i, make: self.members.get(key, i, f, make)) if self.members else None
         m = fit(spec, self.df.where(F.col(self.fold) != f), self.target, sc, share)
         out = result(m.transform(self.df.where(F.col(self.fold) == f)))
         if path:
@@ -311,7 +315,7 @@ class _Folds:
         for s in specs:
             self.prepare(s)
             todo.setdefault(fit_key(s), s)
-        self.members = Members(list(todo.values()))
+        self.members = Members(todo)
         jobs = [(k, f) for k in todo for f in self.folds]
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
             return dict(zip(jobs, ex.map(lambda j: self.run(todo[j[0]], *j, result), jobs)))
