@@ -34,6 +34,7 @@ from .linear import GramSet, LinearFit
 from .mlp import identity
 
 LINEAR = ("ols", "ridge", "lasso")
+ROWS_PER_TASK = 20_000      # training rows of a learner that passes over them many times
 
 
 @dataclass
@@ -176,11 +177,24 @@ def _fit_member(est, rows: DataFrame):
     return est.fit(rows)
 
 
+def deal(df: DataFrame, columns: list[str]) -> DataFrame:
+    """All rows, over as many tasks as their counted number asks for.  A tree
+    learner runs several jobs per level and round, each with a task for every
+    partition, however few rows it has; a panel comes out of its joins in
+    ``spark.sql.shuffle.partitions`` of them.  Tasks and the order inside them
+    follow from the key (without one, from ``columns``), not from the plan."""
+    keys = [c for c in ("series", "day") if c in df.columns] or list(columns)
+    return df.repartition(max(1, -(-df.count() // ROWS_PER_TASK)), *keys).sortWithinPartitions(*keys)
+
+
 def fit(spec: ModelSpec, train: DataFrame, target: str = "y",
-        scaler: StandardizerModel | None = None, members_of=None) -> Fitted:
+        scaler: StandardizerModel | None = None, members_of=None, dealt: bool = False) -> Fitted:
     """Fit preprocessing and estimator on ``train``.  ``members_of(i, make)``
-    may give a learner that was fitted on the same rows already."""
+    may give a learner that was fitted on the same rows already; ``dealt``:
+    the rows went through ``deal``."""
     shift = None
+    if spec.kind not in LINEAR and not dealt:
+        train = deal(train, [*spec.features, target])
     if spec.kind in LINEAR:
         scaler, shift = _moments(spec, train, target, scaler)
     pre, terms = _prep_stages(spec, train, scaler)
@@ -203,10 +217,15 @@ def fit(spec: ModelSpec, train: DataFrame, target: str = "y",
             ests.append(est)
             notes += nt
         xv = asm.transform(xt)
-        for i, est in enumerate(ests):
-            make = lambda est=est: _fit_member(est, xv)
+
+        def member(i):
+            make = lambda: _fit_member(ests[i], xv)
             one = members_of(i, make) if members_of else make()
-            members.append(one.copy().setPredictionCol(f"__p{i}"))
+            return one.copy().setPredictionCol(f"__p{i}")
+
+        # a round of boosting is a chain of small jobs: members run beside one another
+        with ThreadPoolExecutor(max_workers=len(ests)) as ex:
+            members = list(ex.map(member, range(len(ests))))
         avg = " + ".join(f"__p{i}" for i in range(len(ests)))
         post = [asm] + members + [SQLTransformer(
             statement=f"SELECT *, ({avg}) / {float(len(ests))!r}D AS prediction FROM __THIS__")]
@@ -278,12 +297,13 @@ class _Folds:
     under a hash of the setting, the rows and the fold rule, and a rerun reads
     those; other settings or rows have other folders."""
 
-    def __init__(self, df, target, fold, scale_scope, progress, what):
-        self.df, self.target, self.fold, self.scope, self.progress = df, target, fold, scale_scope, progress
-        self.folds = sorted(r[0] for r in df.select(fold).distinct().collect())   # k values
+    def __init__(self, df, target, fold, scale_scope, progress, what, columns=()):
+        self.df = deal(df, [*columns, target, fold]).persist()      # passed over once for each level, round and fit
+        self.target, self.fold, self.scope, self.progress = target, fold, scale_scope, progress
+        self.folds = sorted(r[0] for r in self.df.select(fold).distinct().collect())   # k values
         self.scalers: dict = {}
         self.members = None
-        self.rows = identity(df, target, fold, scale_scope, what) if progress else None
+        self.rows = identity(self.df, target, fold, scale_scope, what) if progress else None
 
     def prepare(self, spec: ModelSpec) -> None:
         key = tuple(spec.features)
@@ -302,15 +322,16 @@ class _Folds:
             return spark.read.parquet(path)
         sc = self.scalers[tuple(spec.features)][f] if spec.scale and spec.features else None
         share = (lambda i, make: self.members.get(key, i, f, make)) if self.members else None
-        m = fit(spec, self.df.where(F.col(self.fold) != f), self.target, sc, share)
+        m = fit(spec, self.df.where(F.col(self.fold) != f), self.target, sc, share, dealt=True)
         out = result(m.transform(self.df.where(F.col(self.fold) == f)))
         if path:
             out.write.mode("overwrite").parquet(path)
             return spark.read.parquet(path)
         return out
 
-    def all(self, specs: list[ModelSpec], parallelism: int, result) -> dict:
-        """(key, fold) -> result(predictions) of the distinct settings."""
+    def all(self, specs: list[ModelSpec], parallelism: int, result, read=lambda out: out) -> dict:
+        """(key, fold) -> read(result(predictions)) of the distinct settings;
+        ``result`` is what ``progress`` keeps, ``read`` runs in the pool's threads."""
         todo = {}
         for s in specs:
             self.prepare(s)
@@ -318,7 +339,11 @@ class _Folds:
         self.members = Members(todo)
         jobs = [(k, f) for k in todo for f in self.folds]
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-            return dict(zip(jobs, ex.map(lambda j: self.run(todo[j[0]], *j, result), jobs)))
+            return dict(zip(jobs, ex.map(lambda j: read(self.run(todo[j[0]], *j, result)), jobs)))
+
+
+def _inputs(specs: list[ModelSpec]) -> list[str]:
+    return list(dict.fromkeys(c for s in specs for c in s.features))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -336,7 +361,7 @@ def cross_validate(spec: ModelSpec, df: DataFrame, target: str = "y", fold: str
     cols = [c for c in keep if c in df.columns] + [fold, target]
     if _single_pass_ok(spec, scale_scope):
         return _linear_single_pass(spec, df, target, fold, None).select(*cols, "prediction")
-    pool = _Folds(df, target, fold, scale_scope, None, "predictions")
+    pool = _Folds(df, target, fold, scale_scope, None, "predictions", spec.features)
     return _union(list(pool.all([spec], parallelism, lambda p: p.select(*cols, "prediction")).values()))
 
 
@@ -352,7 +377,7 @@ def compare(specs: list[ModelSpec], df: DataFrame, target: str = "y", fold: str
     ``compare_scores``, which keeps one row of metrics per fit."""
     cols = [c for c in keep if c in df.columns] + [fold, target]
     learned = [s for s in specs if not _single_pass_ok(s, scale_scope)]
-    pool = _Folds(df, target, fold, scale_scope, progress, ["predictions", cols]) if learned else None
+    pool = _Folds(df, target, fold, scale_scope, progress, ["predictions", cols], _inputs(learned)) if learned else None
     done = pool.all(learned, parallelism, lambda p: p.select(*cols, "prediction")) if learned else {}
     out = None
     for i, s in enumerate(specs):
@@ -379,29 +404,28 @@ def compare_scores(specs: list[ModelSpec], df: DataFrame, target: str = "y", fol
         return metrics(p, target, "prediction")
 
     learned = [s for s in specs if not _single_pass_ok(s, scale_scope)]
-    pool = _Folds(df, target, fold, scale_scope, progress, ["scores", log]) if learned else None
-    done = pool.all(learned, parallelism, lambda p: _local(score(p))) if learned else {}
-    done = {k: p.first().asDict() for k, p in done.items()}
+    pool = _Folds(df, target, fold, scale_scope, progress, ["scores", log], _inputs(learned)) if learned else None
     names = ("n", "mae", "mse", "rmse", "r2")
+
+    def linear(s: ModelSpec) -> dict:
+        p = _linear_single_pass(s, pool.df if pool else df, target, fold, None)
+        if log:
+            p = p.withColumn(target, F.log1p(F.col(target).cast("double"))).withColumn("prediction", F.log1p("prediction"))
+        return {r[fold]: r.asDict() for r in metrics(p, target, "prediction", [fold]).collect()}
+
+    with ThreadPoolExecutor(max_workers=1) as ex:       # the single passes, beside the fits
+        single = {i: ex.submit(linear, s) for i, s in enumerate(specs) if _single_pass_ok(s, scale_scope)}
+        done = pool.all(learned, parallelism, score, lambda p: p.first().asDict()) if learned else {}
     rows = []
     for i, s in enumerate(specs):
-        if _single_pass_ok(s, scale_scope):
-            p = _linear_single_pass(s, df, target, fold, None)
-            if log:
-                p = p.withColumn(target, F.log1p(F.col(target).cast("double"))).withColumn("prediction", F.log1p("prediction"))
-            found = {r[fold]: r.asDict() for r in metrics(p, target, "prediction", [fold]).collect()}
-        else:
-            found = {f: done[fit_key(s), f] for f in pool.folds}
+        found = single[i].result() if i in single else {f: done[fit_key(s), f] for f in pool.folds}
         rows += [(s.name, i, int(f), *(m[n] for n in names)) for f, m in sorted(found.items())]
+    if pool:
+        pool.df.unpersist()
     return df.sparkSession.createDataFrame(
         rows, "model string, model_order int, fold int, n long, mae double, mse double, rmse double, r2 double")
 
 
-def _local(one_row: DataFrame) -> DataFrame:
-    """Run a plan of one row now, inside the pool's thread."""
-    return one_row.sparkSession.createDataFrame(one_row.collect(), one_row.schema)
-
-
 def fold_scores(pred: DataFrame, target: str = "y", by=("model", "model_order", "fold")) -> DataFrame:
     from ..functions.metrics import metrics
     return metrics(pred, target, "prediction", list(by))
