@@ -435,7 +435,8 @@ from .common import DISPLAY, F_COMPARE, F_NETWORK, F_PCA, F_TREE  # noqa: E402
 
 def _pca(spark, sf):
     from ..sources.fixture import fixture_panel
-    d = fixture_panel(spark, sf).dropna(subset=F_PCA).persist()
+    # read columns only: a cached y_drop would have every (series, day, order) shuffled
+    d = fixture_panel(spark, sf).select("series", "day", *F_PCA).dropna().persist()
     return d, pca_op.pca(d, F_PCA)
 
 

@@ -147,7 +147,7 @@ def pca_study(spark: SparkSession, sf: str, names: dict | None = None) -> dict[s
     from ..operators.pca import pca
     from ..sources.fixture import fixture_panel
     from .common import DISPLAY, F_PCA
-    d = fixture_panel(spark, sf).dropna(subset=F_PCA).persist()
+    d = fixture_panel(spark, sf).drop("y_drop").dropna(subset=F_PCA).persist()
     m = pca(d, F_PCA)
     ev = charts.variance_labels(charts.cumulative(m.explained(spark)))
     return {"scores": m.transform(d), "loadings": m.loadings(spark, names or DISPLAY), "variance": ev}

@@ -13,8 +13,10 @@ the reference's daily table has a stand-in (see FIXTURES.md):
 The plan is declarative: Catalyst prunes the scans to the columns used and
 the aggregation runs partial (map-side) before the shuffle on the key, so
 a key holding a third of all lineitem rows is combined inside each task.
-Join strategies are left to the planner and AQE, which broadcast a side
-only when its measured size is under the threshold.
+The series of each supplier is broadcast while there are at most
+``BROADCAST_ROWS`` suppliers: the planner takes a join for the product of its
+sides, and would shuffle all of lineitem before it measures.  The join with
+``part`` is left to the planner and AQE.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 MEASURES = ["x_qty", "x_price", "x_disc", "x_tax", "x_size", "x_retail", "x_open", "x_ret"]
 TARGET = "y"
 DROPPED = "y_drop"
+BROADCAST_ROWS = 1_000_000
 PANEL_COLUMNS = ["series", "day"] + MEASURES + [TARGET, DROPPED]
 
 
@@ -45,6 +48,8 @@ def fixture_panel(spark: SparkSession, sf_dir: str, key: str = "region") -> Data
         geo = (sup.join(nat, sup.s_nationkey == nat.n_nationkey)
                   .join(reg, nat.n_regionkey == reg.r_regionkey)
                   .select("s_suppkey", F.col("r_name").alias("series")))
+        if table(spark, sf_dir, "supplier").count() <= BROADCAST_ROWS:
+            geo = F.broadcast(geo)
         base = li.join(geo, li.l_suppkey == geo.s_suppkey)
     elif key == "supplier":
         base = li.withColumn("series", F.col("l_suppkey"))
