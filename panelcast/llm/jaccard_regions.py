@@ -58,6 +58,7 @@ REGION_SHINGLES = 4_000_000     # and in shingles
 PIVOTS = 16
 DEPTH = 3
 CELLS = 16_000_000      # of an incidence matrix held at a time
+BASE_ROWS = 500         # whose region hashes a task holds at a time
 PRUNING = 2             # times that shared regions are counted
 
 
@@ -180,15 +181,14 @@ def signed(a: np.ndarray) -> np.ndarray:
 _BASE = "doc_id long, th long, n long, d1 long, d2 long, sigs array<long>, lows array<int>, needs array<int>"
 
 
-def base_table(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """Text hash, set size, set digest and region hashes of every row."""
-    src = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-
-    def run(batches):
-        claim("jaccard", _WORDS)
-        for b in batches:
-            rows = []
-            for i, h, t in zip(b["doc_id"], b["th"], b["text"]):
+def base_frames(batches, rule: Rule = RULE):
+    """Rows of ``base_table`` from batches of doc_id, th and text.  Region hashes
+    can take more room than their text: those of ``BASE_ROWS`` rows are held."""
+    claim("jaccard", _WORDS)
+    for b in batches:
+        for lo in range(0, len(b), BASE_ROWS):
+            part, rows = b.iloc[lo:lo + BASE_ROWS], []
+            for i, h, t in zip(part["doc_id"], part["th"], part["text"]):
                 s = shingle_set(t, rule)
                 sigs, lows, needs = placed_signatures(s, rule)
                 rows.append((i, h, len(s), *digest(s), signed(sigs), lows, needs))
@@ -196,7 +196,11 @@ def base_table(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
             d["doc_id"] = pd.Series([None if i is None else int(i) for i in d["doc_id"]], dtype="Int64")
             yield d
 
-    return src.mapInPandas(run, _BASE)
+
+def base_table(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
+    """Text hash, set size, set digest and region hashes of every row."""
+    src = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return src.mapInPandas(lambda batches: base_frames(batches, rule), _BASE)
 
 
 def intersections(sets: list[np.ndarray], other: list[np.ndarray] | None = None) -> np.ndarray:

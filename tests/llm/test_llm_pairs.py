@@ -319,3 +319,15 @@ def test_chi_square_quantile():
 
 def test_clash_covers_the_operators_names():
     assert {"n", "id", "w", "set"} <= set(CLASH)
+
+
+def test_region_hashes_are_held_for_few_rows():
+    import pandas as pd
+    rule = jaccard_regions.Rule(words=5, num=80, den=100)
+    n = 2 * jaccard_regions.BASE_ROWS + 7
+    texts = [None if i % 50 == 0 else words(10 + i % 40, i) for i in range(n)]
+    frames = list(jaccard_regions.base_frames([pd.DataFrame({"doc_id": [str(i) for i in range(n)], "th": range(n), "text": texts})], rule))
+    assert max(map(len, frames)) <= jaccard_regions.BASE_ROWS
+    whole = pd.concat(frames)
+    assert list(whole["doc_id"]) == list(range(n)) and list(whole["th"]) == list(range(n))
+    assert list(whole["n"]) == [len(jaccard_regions.shingle_set(t, rule)) for t in texts]
