@@ -45,7 +45,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import claim, drop_staged, maybe_broadcast, staged
@@ -59,6 +59,8 @@ PIVOTS = 16
 DEPTH = 3
 CELLS = 16_000_000      # of an incidence matrix held at a time
 BASE_ROWS = 500         # whose region hashes a task holds at a time
+CLASS_BITS = 8          # of a region's hash: sizes grow by a quarter or more from class to class
+SEEN = 500_000          # sets that a task remembers to have given regions for
 PRUNING = 2             # times that shared regions are counted
 
 
@@ -131,17 +133,17 @@ def shingle_set(text: str | None, rule: Rule = RULE) -> np.ndarray:
     return np.unique(mix(out if width == rule.words else out + np.uint64(width)))
 
 
-def size_classes(n: int, rule: Rule = RULE) -> list[tuple[int, int]]:
-    """(class start, differences) of the classes that a set of ``n`` shingles
+def size_classes(n: int, rule: Rule = RULE) -> list[tuple[int, int, int]]:
+    """(number, start, differences) of the classes that a set of ``n`` shingles
     shares with any set it may link to: from that of the smallest set it may
     link to up to its own.  Differences are those of the class's largest size."""
-    out, low = [], rule.fewest
+    out, no, low = [], 0, rule.fewest
     least = -(-n * rule.num // rule.den)
     while low <= n:
         high = max(low + 1, int(low * rule.growth))
         if least < high:
-            out.append((low, rule.differences(high - 1)))
-        low = high
+            out.append((no, low, rule.differences(high - 1)))
+        no, low = no + 1, high
     return out
 
 
@@ -149,11 +151,13 @@ def placed_signatures(s: np.ndarray, rule: Rule = RULE) -> tuple[np.ndarray, np.
     """One hash for each (class, subspace, subset) region of a set, the start of
     its class, and how many regions of the class any set that links to this one
     shares with it at least: of m subspaces D at most differ, and those that are
-    empty here are no regions unless there are many."""
+    empty here are no regions unless there are many.  A hash has 48 bits, the
+    class's number in the last eight, as hashes are most of what is shuffled.
+    Regions that fall together cost work, never a link."""
     out, starts, needs = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
     if len(s) >= rule.fewest:
         m_of = mix(s ^ _P1)
-        for low, d in size_classes(len(s), rule):
+        for no, low, d in size_classes(len(s), rule):
             m = rule.subspaces(d)
             bucket = (m_of % np.uint64(m)).astype(np.int64)
             o = np.argsort(bucket, kind="stable")
@@ -164,6 +168,7 @@ def placed_signatures(s: np.ndarray, rule: Rule = RULE) -> tuple[np.ndarray, np.
             if len(used) <= d:      # so many are empty that a pair may agree in empty ones only
                 empty = np.setdiff1d(np.arange(m), used).astype(np.uint64)
                 mine = np.concatenate([mine, mix(empty * _P3 + seed + np.uint64(1))])
+            mine = np.unique((mine >> np.uint64(24) << np.uint64(CLASS_BITS)) | np.uint64(no))
             out.append(mine)
             starts.append(np.full(len(mine), low, np.int32))
             needs.append(np.full(len(mine), len(mine) - d, np.int32))
@@ -178,21 +183,30 @@ def signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
-_BASE = "doc_id long, th long, n long, d1 long, d2 long, sigs array<long>, lows array<int>, needs array<int>"
+_BASE = "doc_id long, th long, n long, d1 long, d2 long, sigs array<long>, classes array<int>, needs array<int>"
 
 
 def base_frames(batches, rule: Rule = RULE):
     """Rows of ``base_table`` from batches of doc_id, th and text.  Region hashes
-    can take more room than their text: those of ``BASE_ROWS`` rows are held."""
+    can take more room than their text: those of ``BASE_ROWS`` rows are held, and
+    of equal sets in a task the first has them."""
     claim("jaccard", _WORDS)
+    seen, none = set(), np.empty(0, np.uint64)
     for b in batches:
         for lo in range(0, len(b), BASE_ROWS):
             part, rows = b.iloc[lo:lo + BASE_ROWS], []
             for i, h, t in zip(part["doc_id"], part["th"], part["text"]):
                 s = shingle_set(t, rule)
-                sigs, lows, needs = placed_signatures(s, rule)
-                rows.append((i, h, len(s), *digest(s), signed(sigs), lows, needs))
-            d = pd.DataFrame(rows, columns=["doc_id", "th", "n", "d1", "d2", "sigs", "lows", "needs"])
+                both = digest(s)
+                again = both in seen
+                sigs, _, needs = placed_signatures(none if again else s, rule)
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(both)
+                # one number and need for each class, in place of each region's
+                classes, first = np.unique(sigs & np.uint64((1 << CLASS_BITS) - 1), return_index=True)
+                rows.append((i, h, len(s), *both, signed(sigs), classes.astype(np.int32), needs[first]))
+            d = pd.DataFrame(rows, columns=["doc_id", "th", "n", "d1", "d2", "sigs", "classes", "needs"])
             d["doc_id"] = pd.Series([None if i is None else int(i) for i in d["doc_id"]], dtype="Int64")
             yield d
 
@@ -342,8 +356,14 @@ def voronoi(members: DataFrame, sizes: DataFrame, n: int, depth: int, rule: Rule
 def join_blocks(members: DataFrame, placed: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Links of regions that pivots don't shrink, block against block.  Blocks
     hold documents that are linked to the same pivot (their group), or to none;
-    two blocks of the same group are one component and are left out."""
-    m = members.join(placed.select("region", "id", F.when(F.col("linked"), F.col("home")).alias("group")), ["region", "id"])
+    two blocks of the same group are one component and are left out.  A group
+    that fills less than a block is dealt with those of none: each block is sent
+    to every other one of its region, and many small ones are many copies."""
+    own = placed.select("region", "id", F.when(F.col("linked"), F.col("home")).alias("group"))
+    large = (own.where("group is not null").groupBy("region", "group").agg(F.count("*").alias("rows")).where(F.col("rows") >= REGION_ROWS)
+             .select(F.col("region").alias("at"), F.col("group").alias("large")))
+    own = own.join(large, (F.col("region") == F.col("at")) & (F.col("group") == F.col("large")), "left").select("region", "id", F.col("large").alias("group"))
+    m = members.join(staged(own, "jac-own"), ["region", "id"])
     sizes = m.groupBy("region", "group").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
     parts = F.greatest(F.ceil(F.col("rows") / REGION_ROWS), F.ceil(F.col("weight") / REGION_SHINGLES)).cast("int")
     sizes = staged(sizes.select("region", "group", parts.alias("parts")), "jac-parts")
@@ -405,23 +425,24 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def shared_regions(base: DataFrame) -> DataFrame:
-    """(id, low, need, sig): the regions that a set shares with another one, of
-    the size classes in which it shares as many as it would with any set that it
-    links to.  Counting again where others have gone leaves out more; no link's
-    regions are ever left out, as both its sets keep theirs."""
-    sigs = base.select(F.col("d1").alias("id"), F.explode(F.arrays_zip("sigs", "lows", "needs")).alias("r")).select(
-        "id", F.col("r.lows").alias("low"), F.col("r.needs").alias("need"), F.col("r.sigs").alias("sig"))
-    rows = None
+    """(id, sig): the regions that a set shares with another one, of the size
+    classes in which it shares as many as it would with any set that it links to.
+    Counting again where others have gone leaves out more; no link's regions are
+    ever left out, as both its sets keep theirs.  A region's rows are shuffled
+    once, and told from single ones where they meet, whatever their number: no
+    list of shared regions is joined back to all of them."""
+    needs = base.select(F.col("d1").alias("id"), F.explode(F.arrays_zip("classes", "needs")).alias("r")).select(
+        "id", F.col("r.classes").alias("class"), F.col("r.needs").alias("need")).distinct()
+    met, rows = Window.partitionBy("sig"), None
     for _ in range(PRUNING):
-        shared = (sigs if rows is None else rows).groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("sig")
-        shared = staged(shared, "jac-shared")
-        here = (sigs if rows is None else rows).join(maybe_broadcast(shared, shared.count()), "sig").select("id", "low", "need", "sig")
-        here = staged(here.distinct() if rows is None else here, "jac-hits")
-        drop_staged(shared)
+        every = base.select(F.col("d1").alias("id"), F.explode("sigs").alias("sig")) if rows is None else rows
+        here = every.select("id", "sig", F.min("id").over(met).alias("a"), F.max("id").over(met).alias("b")).where("a <> b").select("id", "sig")
+        here = staged((here.distinct() if rows is None else here).withColumn("class", F.expr(f"cast(sig & {(1 << CLASS_BITS) - 1} as int)")), "jac-hits")
         if rows is not None:
             drop_staged(rows)
-        enough = staged(here.groupBy("id", "low", "need").agg(F.count("*").alias("n")).where("n >= need").select("id", "low"), "jac-enough")
-        rows = staged(here.join(maybe_broadcast(enough, enough.count()), ["id", "low"], "left_semi").select("id", "low", "need", "sig"), "jac-hits")
+        counts = here.groupBy("id", "class").agg(F.count("*").alias("n"))
+        enough = staged(needs.join(counts, ["id", "class"]).where("n >= need").select("id", "class"), "jac-enough")
+        rows = staged(here.join(maybe_broadcast(enough, enough.count()), ["id", "class"], "left_semi").select("id", "sig"), "jac-hits")
         drop_staged(here)
         drop_staged(enough)
     return rows
@@ -429,7 +450,8 @@ def shared_regions(base: DataFrame) -> DataFrame:
 
 def unchained(coarse: DataFrame, hits: DataFrame) -> DataFrame:
     """(id, region): the components of shared regions, and in place of a large
-    one its single regions, if they cost at most half of what it costs."""
+    one its single regions, if they cost at most half of what it costs.  Near
+    copies share dozens of regions with the same members: of these one stays."""
     big = staged(coarse.groupBy("label").agg(F.count("*").alias("rows")).where(F.col("rows") > REGION_ROWS), "jac-big")
     whole = coarse.select("id", F.col("label").alias("region"))
     n = big.count()
@@ -437,11 +459,18 @@ def unchained(coarse: DataFrame, hits: DataFrame) -> DataFrame:
         return whole
     large = staged(coarse.join(maybe_broadcast(big, n), "label"), "jac-large")
     single = staged(hits.select("id", "sig").join(maybe_broadcast(large, large.count()), "id").select("label", "rows", "id", "sig"), "jac-single")
-    cost = single.groupBy("label", "rows", "sig").count().groupBy("label", "rows").agg(F.sum(F.col("count") * F.col("count")).alias("cost"))
+    # 128 bits that tell the members of regions apart
+    mark = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    kinds = (single.groupBy("label", "rows", "sig").agg(F.count("*").alias("count"), *mark).where("count > 1")
+             .groupBy("label", "rows", "count", "mark0", "mark1").agg(F.min("sig").alias("sig")))
+    kinds = staged(kinds.select("label", "rows", "sig", "count"), "jac-kinds")
+    cost = kinds.groupBy("label", "rows").agg(F.sum(F.col("count") * F.col("count")).alias("cost"))
     split = staged(cost.where(F.col("cost") * 2 <= F.col("rows") * F.col("rows")).select("label"), "jac-unchain")
     split = maybe_broadcast(split, split.count())
     stay = coarse.join(split, "label", "left_anti").select("id", F.col("label").alias("region"))
-    return stay.unionByName(single.join(split, "label", "left_semi").select("id", F.col("sig").alias("region")))
+    alone = kinds.join(split, "label", "left_semi").select("label", "sig")
+    alone = single.join(maybe_broadcast(alone, kinds.count()), ["label", "sig"], "left_semi")
+    return stay.unionByName(alone.select("id", F.col("sig").alias("region")))
 
 
 def components(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
@@ -461,6 +490,8 @@ def labelled(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     coarse = staged(connected(hits.join(hubs, "sig").select("id", "hub").where("id <> hub").distinct(), "id", "hub"), "jac-coarse")
     regions = staged(unchained(coarse, hits).groupBy("id").agg(F.collect_set("region").alias("regions")), "jac-regions")
     drop_staged(hits)
+    whole, base = base, staged(base.select("doc_id", "th", "n", "d1", "d2"), "jac-base")
+    drop_staged(whole)          # region hashes take as much room as the texts
 
     # one text of each set that shares a region, fetched by its best row's id and text hash
     members = staged(regions.join(sets, F.col("id") == F.col("d1"))

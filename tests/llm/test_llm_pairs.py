@@ -331,3 +331,24 @@ def test_region_hashes_are_held_for_few_rows():
     whole = pd.concat(frames)
     assert list(whole["doc_id"]) == list(range(n)) and list(whole["th"]) == list(range(n))
     assert list(whole["n"]) == [len(jaccard_regions.shingle_set(t, rule)) for t in texts]
+
+
+def test_regions_are_shuffled_once_however_many_are_shared(spark, monkeypatch):
+    """With more shared regions than are broadcast, a region's rows still go
+    through one shuffle of two numbers, and equal sets of a task through none."""
+    rows = [(i, edited(words(120, i // 2, 100_000), i % 2, i)) for i in range(60)] + [(1000 + i, words(90, 5)) for i in range(40)]
+    seen, real = [], jaccard_regions.staged
+
+    def staged(df, name="staged"):
+        seen.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard_regions, "staged", staged)
+    monkeypatch.setattr(jaccard_regions, "maybe_broadcast", lambda df, rows, size=0: df)
+    base = real(jaccard_regions.base_table(docs_frame(spark, rows).coalesce(1)))
+    assert base.where("doc_id >= 1000 and size(sigs) > 0").count() == 1
+    hits = jaccard_regions.shared_regions(base)
+    first = next(plan for name, plan in seen if name == "jac-hits")
+    assert first.count("Exchange hashpartitioning(sig") == 1 and "Join" not in first
+    ids = {r.doc_id: r.d1 for r in base.collect()}
+    assert {r.id for r in hits.collect()} == {ids[i] for i in range(60)}
