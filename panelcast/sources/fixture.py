@@ -15,8 +15,8 @@ the aggregation runs partial (map-side) before the shuffle on the key, so
 a key holding a third of all lineitem rows is combined inside each task.
 The series of each supplier is broadcast while there are at most
 ``BROADCAST_ROWS`` suppliers: the planner takes a join for the product of its
-sides, and would shuffle all of lineitem before it measures.  The join with
-``part`` is left to the planner and AQE.
+sides, and would shuffle all of lineitem before it measures.  So is ``part``,
+three numbers a row, up to ``PART_ROWS``; above, lineitem is shuffled once.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ MEASURES = ["x_qty", "x_price", "x_disc", "x_tax", "x_size", "x_retail", "x_open
 TARGET = "y"
 DROPPED = "y_drop"
 BROADCAST_ROWS = 1_000_000
+PART_ROWS = 2_000_000
 PANEL_COLUMNS = ["series", "day"] + MEASURES + [TARGET, DROPPED]
 
 
@@ -41,6 +42,8 @@ def fixture_panel(spark: SparkSession, sf_dir: str, key: str = "region") -> Data
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    if part.count() <= PART_ROWS:
+        part = F.broadcast(part)
     if key == "region":
         sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
         nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")

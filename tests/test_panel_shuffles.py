@@ -33,3 +33,22 @@ def test_suppliers_are_broadcast_within_a_bound(spark, monkeypatch, bound, shuff
         assert ("hashpartitioning(l_suppkey" in plan) == shuffled
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lineitem_is_not_shuffled_by_part(spark, monkeypatch):
+    """However low the planner's own threshold is, up to the bound; the rows are
+    the same above it."""
+    from panelcast.sources import fixture
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def panel():
+            d = fixture.fixture_panel(spark, "/root/testdata/sf0.001").select("series", "day", "y", "x_size")
+            return d._jdf.queryExecution().executedPlan().toString(), sorted((r.series, r.day, r.y, round(r.x_size, 9)) for r in d.collect())
+        plan, rows = panel()
+        monkeypatch.setattr(fixture, "PART_ROWS", 0)
+        above, same = panel()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "hashpartitioning(l_partkey" not in plan and "hashpartitioning(l_partkey" in above
+    assert rows == same
