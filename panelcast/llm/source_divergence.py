@@ -5,16 +5,20 @@ lower-cased.  Null text, lang and source count as the empty string.  A language
 keeps the terms that occur in at least ``MIN_DOCS`` of its documents.
 
 1. Spark's ``CountVectorizer`` (minDF = ``MIN_DOCS``, the largest integer as
-   vocabSize) learns the vocabulary of every language in one fit: each term is
+   vocabSize) learns the vocabulary of every language in one fit: a term is
    tagged with its language, so that document frequencies and vocabularies of
-   the languages stay apart.  It turns each document into an exact sparse
-   vector.  A vocabulary above ``MAX_VOCABULARY`` terms (estimated from a 64th
-   of the terms over all documents) is dealt by a hash of the term into as many
-   slices as needed, each with a fit of its own: neither driver nor executors
-   hold more than about one slice.
-2. The vectors of a (lang, source) group are summed sparsely: (index, count)
-   entries, added up inside each task before the shuffle, so a source with a
-   third of all rows costs no task more than another.
+   the languages stay apart.  Document frequencies are counted inside each Arrow
+   batch before, and the fit gets a term in as many rows as documents have it
+   (up to ``MIN_DOCS`` rows a batch, which decides as all of them would).
+   A vocabulary above ``MAX_VOCABULARY`` terms (estimated from a 64th of the
+   terms over all documents) is dealt by a hash of the term into as many slices
+   as needed, each with a fit of its own: neither driver nor executors hold
+   more than about one slice.
+2. All terms of all documents are counted per (lang, source) inside each Arrow
+   batch.  The terms that a group has n times there are one bag; the fitted
+   model turns bags into sparse vectors, and n is summed by group and index,
+   inside each task before the shuffle, so a source with a third of all rows
+   costs no task more than another.
 3. Smoothed shares p = 1 + floor(SCALE * (count + 5) / (N + 5 V)) differ from a
    group's constant p0 (count 0) on its own terms only.  So the distance of two
    groups g and s over all V terms is
@@ -36,6 +40,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,16 +54,60 @@ TOP = 50
 MAX_VOCABULARY = 2_000_000
 MAX_INT = 2**31 - 1
 SIZING = 64             # one in so many terms is counted to size the slices
+PIECE = 4 << 20         # bytes of text that are split at a time
 PAIRS = 2_000_000       # pairs of entries that a task holds at a time
 TAG = b":"              # between the language (in hex) and the term; never part of either
 
 
 #: Bytes of terms (A-Z lower-cased) stay; all others become spaces.
-_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
-
-
-def terms_of(text: bytes) -> list[bytes]:
-    return text.translate(_BYTES).split()
+_BYTES = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8)
+
+
+def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of every term of every text, in order: its row and its number among the
+    batch's distinct terms; and those."""
+    if not len(texts):
+        return np.empty(0, np.int64), np.empty(0, np.int64), pa.array([], pa.binary())
+    texts = texts.cast(pa.binary())
+    _, offsets, values = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = _BYTES[np.frombuffer(values, np.uint8)[at[0]:at[-1]]] if values else np.empty(0, np.uint8)
+    at -= at[0]
+    inside = data != 32
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    starts, ends = at[at < len(data)], at[at > 0] - 1          # a term ends where its text does
+    first[starts], last[ends] = inside[starts], inside[ends]
+    first = np.flatnonzero(first)
+    size = np.flatnonzero(last) + 1 - first
+    row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(first, at)))
+    bounds = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=bounds[1:])
+    found = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]).dictionary_encode()
+    return row, np.asarray(found.indices).astype(np.int64), found.dictionary
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, ascending, and how often each occurs."""
+    key = np.sort(key)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    return key[first], np.diff(first, append=len(key))
+
+
+def _lists(langs: pa.Array, lang: np.ndarray, terms: pa.Array, term: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Lists (by their bounds) of terms, each behind its language's tag."""
+    tags = pa.array([x.encode().hex().encode() + TAG for x in langs.to_pylist()], pa.binary())
+    flat = pc.binary_join_element_wise(tags.take(pa.array(lang)), terms.take(pa.array(term)), b"")
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat.cast(pa.string()))
+
+
+def _pieces(batches):
+    """Batches of at most about ``PIECE`` bytes of text."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * PIECE / max(1, batch.column("text").nbytes)))
+        for lo in range(0, batch.num_rows, step):
+            yield batch.slice(lo, step)
 
 
 def plain(docs: DataFrame) -> DataFrame:
@@ -66,18 +115,39 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
-def tagged(docs: DataFrame) -> DataFrame:
-    """lang, source and the document's terms, each behind its language's tag."""
+def frequencies(min_docs: int):
+    """Of every batch rows whose j-th holds the terms that j or more of its
+    documents have.  A term is in as many rows as documents, which is what the
+    fit counts; rows past ``min_docs`` could not change whether it is kept."""
     def run(batches):
         for batch in batches:
-            texts = []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
-                tag = lang.encode().hex().encode() + TAG
-                texts.append(b" ".join([tag + t for t in terms_of(text)]))
-            yield pa.record_batch({"lang": batch.column(0), "source": batch.column(1), "terms": pa.array(texts, pa.binary()).cast(pa.string())})
+            row, code, terms = split(batch.column("text"))
+            langs = batch.column("lang").dictionary_encode()
+            key, _ = _counted((row << 32) | code)
+            key, n = _counted((np.asarray(langs.indices).astype(np.int64)[key >> 32] << 32) | (key & MAX_INT))
+            key, n = key[np.argsort(-n, kind="stable")], np.minimum(n, min_docs)
+            size = [int((n > j).sum()) for j in range(n.max(initial=0))]
+            key = np.concatenate([key[:k] for k in size]) if size else key
+            yield pa.record_batch({"terms": _lists(langs.dictionary, key >> 32, terms, key & MAX_INT, np.cumsum([0, *size]))})
 
-    rows = plain(docs).mapInArrow(run, "lang string, source string, terms string")
-    return rows.withColumn("terms", F.when(F.col("terms") == "", F.array().cast("array<string>")).otherwise(F.split("terms", " ")))
+    return run
+
+
+def bags(batches):
+    """lang, source, n and the terms that a batch's documents of that group
+    have n times together.  Every term of every document is counted."""
+    for batch in batches:
+        row, code, terms = split(batch.column("text"))
+        langs, sources = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
+        group = np.asarray(langs.indices).astype(np.int64) * len(sources.dictionary) + np.asarray(sources.indices)
+        key, n = _counted((group[row] << 32) | code)
+        order = np.lexsort((n, key >> 32))
+        key, n = key[order], n[order]
+        group = key >> 32
+        first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (n[1:] != n[:-1])]) if len(key) else np.empty(0, np.int64)
+        lang, source = group // max(1, len(sources.dictionary)), group % max(1, len(sources.dictionary))
+        yield pa.record_batch({"lang": langs.dictionary.take(pa.array(lang[first])), "source": sources.dictionary.take(pa.array(source[first])),
+                               "n": pa.array(n[first], pa.int64()), "terms": _lists(langs.dictionary, lang, terms, key & MAX_INT, np.append(first, len(key)))})
 
 
 def _slice(n: int, i: int):
@@ -88,10 +158,12 @@ def slices(docs: DataFrame, min_docs: int, most: int) -> int:
     """Number of vocabulary slices of at most about ``most`` terms: kept terms
     are counted among one in ``SIZING`` of all terms, over all documents."""
     def run(batches):
-        for batch in batches:
-            found = [lang.encode() + TAG + t for lang, text in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist())
-                     for t in set(terms_of(text)) if zlib.crc32(t) % SIZING == 0]
-            yield pa.record_batch({"term": pa.array(found, pa.binary())})
+        for batch in _pieces(batches):
+            row, code, terms = split(batch.column("text"))
+            few = np.array([zlib.crc32(t) % SIZING == 0 for t in terms.to_pylist()], bool)
+            key, _ = _counted(((row << 32) | code)[few[code]])
+            lang = batch.column("lang").cast(pa.binary()).take(pa.array(key >> 32))
+            yield pa.record_batch({"term": pc.binary_join_element_wise(lang, terms.take(pa.array(key & MAX_INT)), TAG)})
 
     few = plain(docs).mapInArrow(run, "term binary")
     kept = few.groupBy("term").count().where(F.col("count") >= min_docs).count()
@@ -103,21 +175,22 @@ def count_terms(docs: DataFrame, min_docs: int = MIN_DOCS, most: int = MAX_VOCAB
     kept term that occurs in the group."""
     spark = docs.sparkSession
     n = slices(docs, min_docs, most)
-    rows = tagged(docs)
+    held = plain(docs).select("lang", "text").mapInArrow(frequencies(min_docs), "terms array<string>")
+    rows = plain(docs).mapInArrow(bags, "lang string, source string, n long, terms array<string>")
     counts = vocabulary = None
     for i in range(n):
-        part = rows if n == 1 else rows.withColumn("terms", F.filter("terms", _slice(n, i)))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MAX_INT).fit(part)
+        part = lambda df: df if n == 1 else df.withColumn("terms", F.filter("terms", _slice(n, i)))
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MAX_INT).fit(part(held))
         path = shared_path(spark, "divergence-vocabulary")
         model.save(path)
         mark = TAG.decode()
         terms = (spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("idx", "tagged"))
                  .select("idx", F.substring_index("tagged", mark, -1).alias("term"),
                          F.decode(F.unhex(F.substring_index("tagged", mark, 1)), "UTF-8").alias("vlang")))
-        vectors = (model.transform(part).select("lang", "source", F.unwrap_udt("vector").alias("v"))
-                   .select("lang", "source", F.inline(F.arrays_zip(F.col("v.indices").alias("idx"), F.col("v.values").alias("n")))))
-        sums = vectors.groupBy("lang", "source", "idx").agg(F.sum(F.col("n").cast("long")).alias("count"))
-        sums = sums.join(terms, "idx").select("lang", "source", "term", "count")
+        vectors = (model.transform(part(rows)).select("source", "n", F.unwrap_udt("vector").alias("v"))
+                   .select("source", "n", F.explode("v.indices").alias("idx")))    # a bag has each term once
+        sums = vectors.groupBy("source", "idx").agg(F.sum("n").alias("count"))     # an index is one language's
+        sums = sums.join(terms, "idx").select(F.col("vlang").alias("lang"), "source", "term", "count")
         counts = sums if counts is None else counts.unionByName(sums)
         vocabulary = terms if vocabulary is None else vocabulary.unionByName(terms)
     return vocabulary.select(F.col("vlang").alias("lang"), "term"), counts

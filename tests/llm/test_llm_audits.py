@@ -91,6 +91,50 @@ def test_divergence_slices_give_the_same(spark, monkeypatch):
     assert got(source_divergence.audit(docs, min_docs=2, most=20)) == got(source_divergence.audit(docs, min_docs=2))
 
 
+def divergence_batches(rows, size):
+    import pyarrow as pa
+    columns = [pa.array([x or "" for x in c], pa.string()) for c in zip(*rows)]
+    whole = pa.record_batch(dict(zip(("lang", "source", "text"), columns)))
+    return [whole.slice(lo, size) for lo in range(0, len(rows), size)]
+
+
+def test_divergence_terms_are_those_of_the_definition():
+    term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = ["", "a", "bC", " d  e ", "é1ü", "", "\x00", "z", "z z", "中文Ünï\u0085x", ""]
+    for batch in divergence_batches([("", "", x) for x in texts], 4):
+        row, code, terms = source_divergence.split(batch.column("text"))
+        terms = [t.decode() for t in terms.to_pylist()]
+        have = [[terms[c] for r, c in zip(row, code) if r == i] for i in range(batch.num_rows)]
+        assert have == [term.findall(x.translate(low)) for x in batch.column("text").to_pylist()]
+
+
+def test_divergence_counts_terms_before_the_model():
+    """All of a batch's terms are counted, and Spark's model gets each once per
+    group, and per document frequency up to the least that decides."""
+    rows = divergence_rows()
+    for size in (1, 50, 1000):
+        for least in (1, 3, 10**6):
+            bags, held, count, df = Counter(), Counter(), Counter(), Counter()
+            for batch in divergence_batches(rows, size):
+                n = Counter()
+                for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    terms = [lang.encode().hex() + ":" + t.decode() for t in re.findall(rb"[a-z\x80-\xff]+", text.encode().lower())]
+                    count.update((lang, source, t) for t in terms)
+                    n.update(set(terms))
+                df.update({t: min(x, least) for t, x in n.items()})
+                for out in source_divergence.bags([batch]):
+                    seen = [(r["lang"], r["source"], t) for r in out.to_pylist() for t in r["terms"]]
+                    assert len(seen) == len(set(seen))
+                    for r in out.to_pylist():
+                        bags.update({(r["lang"], r["source"], t): r["n"] for t in r["terms"]})
+                for out in source_divergence.frequencies(least)([batch]):
+                    for r in out.to_pylist():
+                        assert len(r["terms"]) == len(set(r["terms"]))
+                        held.update(r["terms"])
+            assert bags == count and held == df
+
+
 def test_divergence_pairs_in_chunks(monkeypatch):
     r = np.random.default_rng(1)
     no = np.sort(np.argsort(r.random((50, 9)), axis=1)[:, :6], axis=1)
