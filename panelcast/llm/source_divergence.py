@@ -4,21 +4,19 @@ Terms are runs of characters other than ASCII non-letters, with A-Z (only)
 lower-cased.  Null text, lang and source count as the empty string.  A language
 keeps the terms that occur in at least ``MIN_DOCS`` of its documents.
 
-1. Spark's ``CountVectorizer`` (minDF = ``MIN_DOCS``, the largest integer as
-   vocabSize) learns the vocabulary of every language in one fit: a term is
-   tagged with its language, so that document frequencies and vocabularies of
-   the languages stay apart.  Document frequencies are counted inside each Arrow
-   batch before, and the fit gets a term in as many rows as documents have it
-   (up to ``MIN_DOCS`` rows a batch, which decides as all of them would).
-   A vocabulary above ``MAX_VOCABULARY`` terms (estimated from a 64th of the
-   terms over all documents) is dealt by a hash of the term into as many slices
-   as needed, each with a fit of its own: neither driver nor executors hold
-   more than about one slice.
-2. All terms of all documents are counted per (lang, source) inside each Arrow
-   batch.  The terms that a group has n times there are one bag; the fitted
-   model turns bags into sparse vectors, and n is summed by group and index,
-   inside each task before the shuffle, so a source with a third of all rows
-   costs no task more than another.
+1. All terms of all documents are counted once per (lang, source): inside each
+   Arrow batch, where the terms that a group has n times in d documents are one
+   bag, then by Spark's aggregate over groups and terms, so a source with a third
+   of all rows costs no task more than another.  A term is tagged with its
+   language, so that frequencies and vocabularies of the languages stay apart.
+2. Spark's ``CountVectorizer`` (minDF = ``MIN_DOCS``, the largest integer as
+   vocabSize) learns the vocabulary of every language in one fit: it gets every
+   term in as many rows as documents have it (up to ``MIN_DOCS``, which decides as
+   all of them would).  A group's term is kept if the model's vector of it is not
+   empty.  A vocabulary above ``MAX_VOCABULARY`` terms (estimated from a 64th of
+   the terms over all documents) is dealt by a hash of the term into as many
+   slices as needed, each with a fit of its own: neither driver nor executors
+   hold more than about one slice.
 3. Smoothed shares p = 1 + floor(SCALE * (count + 5) / (N + 5 V)) differ from a
    group's constant p0 (count 0) on its own terms only.  So the distance of two
    groups g and s over all V terms is
@@ -36,8 +34,6 @@ the smaller item in UTF-8 order; extra columns are not read.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,7 +50,6 @@ TOP = 50
 MAX_VOCABULARY = 2_000_000
 MAX_INT = 2**31 - 1
 SIZING = 64             # one in so many terms is counted to size the slices
-PIECE = 4 << 20         # bytes of text that are split at a time
 PAIRS = 2_000_000       # pairs of entries that a task holds at a time
 TAG = b":"              # between the language (in hex) and the term; never part of either
 
@@ -67,7 +62,7 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Of every term of every text, in order: its row and its number among the
     batch's distinct terms; and those."""
     if not len(texts):
-        return np.empty(0, np.int64), np.empty(0, np.int64), pa.array([], pa.binary())
+        return np.empty(0, np.int32), np.empty(0, np.int32), pa.array([], pa.binary())
     texts = texts.cast(pa.binary())
     _, offsets, values = texts.buffers()
     at = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
@@ -79,18 +74,23 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     last[:-1] &= ~inside[1:]
     starts, ends = at[at < len(data)], at[at > 0] - 1          # a term ends where its text does
     first[starts], last[ends] = inside[starts], inside[ends]
-    first = np.flatnonzero(first)
-    size = np.flatnonzero(last) + 1 - first
-    row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(first, at)))
+    first, size = np.flatnonzero(first), np.flatnonzero(last)
+    del last
+    size += 1
+    size -= first
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(np.searchsorted(first, at)))
     bounds = np.zeros(len(size) + 1, np.int32)
     np.cumsum(size, out=bounds[1:])
-    found = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]).dictionary_encode()
-    return row, np.asarray(found.indices).astype(np.int64), found.dictionary
+    data = data[inside]
+    del first, size, inside
+    found = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+    return row, np.asarray(found.indices), found.dictionary
 
 
 def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers, ascending, and how often each occurs."""
-    key = np.sort(key)
+    """The distinct numbers, ascending, and how often each occurs.  Sorts the
+    given array."""
+    key.sort()
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     return key[first], np.diff(first, append=len(key))
 
@@ -102,71 +102,81 @@ def _lists(langs: pa.Array, lang: np.ndarray, terms: pa.Array, term: np.ndarray,
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat.cast(pa.string()))
 
 
-def _pieces(batches):
-    """Batches of at most about ``PIECE`` bytes of text."""
-    for batch in batches:
-        step = max(1, int(batch.num_rows * PIECE / max(1, batch.column("text").nbytes)))
-        for lo in range(0, batch.num_rows, step):
-            yield batch.slice(lo, step)
-
-
 def plain(docs: DataFrame) -> DataFrame:
     """lang, source and text, nulls as empty strings."""
     return docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
+def _document_frequencies(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """A batch's tagged terms, and how many of its documents have each."""
+    row, code, terms = split(batch.column("text"))
+    langs = batch.column("lang").dictionary_encode()
+    key, _ = _counted((row.astype(np.int64) << 32) | code)
+    key, n = _counted((np.asarray(langs.indices).astype(np.int64)[key >> 32] << 32) | (key & MAX_INT))
+    return _lists(langs.dictionary, key >> 32, terms, key & MAX_INT, np.array([0, len(key)])).flatten(), n
+
+
 def frequencies(min_docs: int):
-    """Of every batch rows whose j-th holds the terms that j or more of its
-    documents have.  A term is in as many rows as documents, which is what the
-    fit counts; rows past ``min_docs`` could not change whether it is kept."""
+    """Of every batch rows whose j-th holds the terms that j or more documents
+    have.  A term is in as many rows as documents, which is what the fit counts;
+    rows past ``min_docs`` could not change whether it is kept.  A batch holds
+    documents, or tagged terms and how many documents have each (docs)."""
     def run(batches):
         for batch in batches:
-            row, code, terms = split(batch.column("text"))
-            langs = batch.column("lang").dictionary_encode()
-            key, _ = _counted((row << 32) | code)
-            key, n = _counted((np.asarray(langs.indices).astype(np.int64)[key >> 32] << 32) | (key & MAX_INT))
-            key, n = key[np.argsort(-n, kind="stable")], np.minimum(n, min_docs)
+            terms, n = (batch.column("tagged"), np.asarray(batch.column("docs"))) if "docs" in batch.schema.names else _document_frequencies(batch)
+            order, n = np.argsort(-n, kind="stable"), np.minimum(n, min_docs)
             size = [int((n > j).sum()) for j in range(n.max(initial=0))]
-            key = np.concatenate([key[:k] for k in size]) if size else key
-            yield pa.record_batch({"terms": _lists(langs.dictionary, key >> 32, terms, key & MAX_INT, np.cumsum([0, *size]))})
+            at = np.concatenate([order[:k] for k in size]) if size else order
+            yield pa.record_batch({"terms": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), terms.take(pa.array(at)))})
 
     return run
 
 
 def bags(batches):
-    """lang, source, n and the terms that a batch's documents of that group
-    have n times together.  Every term of every document is counted."""
+    """lang, source, n, docs and the terms that a batch's documents of that
+    group have n times together, in docs of them.  Every term of every document
+    is counted."""
     for batch in batches:
         row, code, terms = split(batch.column("text"))
         langs, sources = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
         group = np.asarray(langs.indices).astype(np.int64) * len(sources.dictionary) + np.asarray(sources.indices)
-        key, n = _counted((group[row] << 32) | code)
-        order = np.lexsort((n, key >> 32))
-        key, n = key[order], n[order]
-        group = key >> 32
-        first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (n[1:] != n[:-1])]) if len(key) else np.empty(0, np.int64)
-        lang, source = group // max(1, len(sources.dictionary)), group % max(1, len(sources.dictionary))
-        yield pa.record_batch({"lang": langs.dictionary.take(pa.array(lang[first])), "source": sources.dictionary.take(pa.array(source[first])),
-                               "n": pa.array(n[first], pa.int64()), "terms": _lists(langs.dictionary, lang, terms, key & MAX_INT, np.append(first, len(key)))})
-
-
-def _slice(n: int, i: int):
-    return lambda t: F.pmod(F.xxhash64(t), F.lit(n)) == i
-
-
-def slices(docs: DataFrame, min_docs: int, most: int) -> int:
+        _, group = np.unique(group, return_inverse=True)       # at most as many as rows
+        few, most = max(1, len(terms)), max(1, batch.num_rows)
+        key = group[row]                                       # one array, changed in place: it is as long as all terms
+        for by, more in ((few, code), (most, row)):
+            key *= by
+            key += more
+        del row, code, more
+        key, times = _counted(key)
+        row, key = key % most, key // most
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        n, docs = np.add.reduceat(times, first) if len(key) else times, np.diff(first, append=len(key))
+        row, code, group = row[first], key[first] % few, key[first] // few
+        order = np.lexsort((docs, n, group))
+        row, code, group, n, docs = (x[order] for x in (row, code, group, n, docs))
+        new = (group[1:] != group[:-1]) | (n[1:] != n[:-1]) | (docs[1:] != docs[:-1])
+        first = np.flatnonzero(np.r_[True, new]) if len(code) else np.empty(0, np.int64)
+        one = pa.array(row[first])                             # a document of the group
+        yield pa.record_batch({"lang": batch.column("lang").take(one), "source": batch.column("source").take(one),
+                               "n": pa.array(n[first], pa.int64()), "docs": pa.array(docs[first], pa.int64()),
+                               "terms": _lists(langs.dictionary, np.asarray(langs.indices)[row], terms, code, np.append(first, len(code)))})
+
+
+def tally(docs: DataFrame) -> DataFrame:
+    """source, tagged, count and docs of every term of every (lang, source):
+    its occurrences there, and how many documents have it."""
+    rows = plain(docs).mapInArrow(bags, "lang string, source string, n long, docs long, terms array<string>")
+    each = rows.select("source", "n", "docs", F.explode("terms").alias("tagged"))
+    # Counted inside batches already, so summed behind the shuffle only.
+    return each.repartition("source", "tagged").groupBy("source", "tagged").agg(F.sum("n").alias("count"), F.sum("docs").alias("docs"))
+
+
+def slices(docs: DataFrame, min_docs: int, most: int, counted: DataFrame | None = None) -> int:
     """Number of vocabulary slices of at most about ``most`` terms: kept terms
-    are counted among one in ``SIZING`` of all terms, over all documents."""
-    def run(batches):
-        for batch in _pieces(batches):
-            row, code, terms = split(batch.column("text"))
-            few = np.array([zlib.crc32(t) % SIZING == 0 for t in terms.to_pylist()], bool)
-            key, _ = _counted(((row << 32) | code)[few[code]])
-            lang = batch.column("lang").cast(pa.binary()).take(pa.array(key >> 32))
-            yield pa.record_batch({"term": pc.binary_join_element_wise(lang, terms.take(pa.array(key & MAX_INT)), TAG)})
-
-    few = plain(docs).mapInArrow(run, "term binary")
-    kept = few.groupBy("term").count().where(F.col("count") >= min_docs).count()
+    are counted among one in ``SIZING`` of all terms, over all documents.
+    ``counted``: the documents' ``tally``, if at hand."""
+    few = (tally(docs) if counted is None else counted).where(F.crc32(F.col("tagged").cast("binary")) % SIZING == 0)
+    kept = few.groupBy("tagged").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).count()
     return max(1, -(-kept * SIZING // most))
 
 
@@ -174,26 +184,24 @@ def count_terms(docs: DataFrame, min_docs: int = MIN_DOCS, most: int = MAX_VOCAB
     """(lang, term) of every kept term, and lang, source, term, count of every
     kept term that occurs in the group."""
     spark = docs.sparkSession
-    n = slices(docs, min_docs, most)
-    held = plain(docs).select("lang", "text").mapInArrow(frequencies(min_docs), "terms array<string>")
-    rows = plain(docs).mapInArrow(bags, "lang string, source string, n long, terms array<string>")
+    counted = staged(tally(docs), "divergence-terms")
+    n = slices(docs, min_docs, most, counted)
+    mark = TAG.decode()
+    term = F.substring_index("tagged", mark, -1).alias("term")
+    lang = F.decode(F.unhex(F.substring_index("tagged", mark, 1)), "UTF-8").alias("lang")
     counts = vocabulary = None
     for i in range(n):
-        part = lambda df: df if n == 1 else df.withColumn("terms", F.filter("terms", _slice(n, i)))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MAX_INT).fit(part(held))
+        part = counted if n == 1 else counted.where(F.pmod(F.xxhash64("tagged"), F.lit(n)) == i)
+        held = part.groupBy("tagged").agg(F.sum("docs").alias("docs")).mapInArrow(frequencies(min_docs), "terms array<string>")
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=MAX_INT).fit(held)
         path = shared_path(spark, "divergence-vocabulary")
         model.save(path)
-        mark = TAG.decode()
-        terms = (spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("idx", "tagged"))
-                 .select("idx", F.substring_index("tagged", mark, -1).alias("term"),
-                         F.decode(F.unhex(F.substring_index("tagged", mark, 1)), "UTF-8").alias("vlang")))
-        vectors = (model.transform(part(rows)).select("source", "n", F.unwrap_udt("vector").alias("v"))
-                   .select("source", "n", F.explode("v.indices").alias("idx")))    # a bag has each term once
-        sums = vectors.groupBy("source", "idx").agg(F.sum("n").alias("count"))     # an index is one language's
-        sums = sums.join(terms, "idx").select(F.col("vlang").alias("lang"), "source", "term", "count")
+        terms = spark.read.parquet(f"{path}/data").select(F.explode("vocabulary").alias("tagged")).select(lang, term)
+        sums = (model.transform(part.withColumn("terms", F.array("tagged"))).where(F.size(F.unwrap_udt("vector").getField("indices")) > 0)
+                .select(lang, "source", term, "count"))
         counts = sums if counts is None else counts.unionByName(sums)
         vocabulary = terms if vocabulary is None else vocabulary.unionByName(terms)
-    return vocabulary.select(F.col("vlang").alias("lang"), "term"), counts
+    return vocabulary, counts
 
 
 def share(count: Column, n: Column, v: Column) -> Column:

@@ -135,6 +135,52 @@ def test_divergence_counts_terms_before_the_model():
             assert bags == count and held == df
 
 
+def test_divergence_bags_hold_document_counts():
+    """One splitting of the texts gives occurrences and document frequencies."""
+    rows = divergence_rows()
+    for size in (1, 50, 1000):
+        want, have = Counter(), Counter()
+        for batch in divergence_batches(rows, size):
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+                want.update({(lang, source, lang.encode().hex() + ":" + t.decode()) for t in re.findall(rb"[a-z\x80-\xff]+", text.encode().lower())})
+            for out in source_divergence.bags([batch]):
+                for r in out.to_pylist():
+                    have.update({(r["lang"], r["source"], t): r["docs"] for t in r["terms"]})
+        assert have == want
+
+
+def test_divergence_frequencies_of_counted_terms():
+    import pyarrow as pa
+    docs = {"a:x": 1, "a:y": 7, "b:x": 3, "b:z": 4}
+    batch = pa.record_batch({"tagged": pa.array(list(docs)), "docs": pa.array(list(docs.values()), pa.int64())})
+    for least in (1, 3, 10):
+        out = [r["terms"] for x in source_divergence.frequencies(least)([batch, batch.slice(0, 0)]) for r in x.to_pylist()]
+        assert all(len(r) == len(set(r)) for r in out)
+        assert Counter(t for r in out for t in r) == {t: min(n, least) for t, n in docs.items()}
+
+
+def test_divergence_reads_the_texts_once(spark, monkeypatch):
+    """Sizing, fit and counts share one splitting, for several slices too."""
+    prepare(spark)
+    monkeypatch.setattr(source_divergence, "SIZING", 1)
+    rows = divergence_rows()
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    docs = divergence_frame(spark, rows)
+    docs = docs.mapInArrow(through, docs.schema)
+    found = []
+    for most in (10**6, 100):
+        before = seen.value
+        found.append(got(source_divergence.count_terms(docs, 2, most)[1]))
+        assert seen.value - before == len(rows)
+    assert found[0] and found[0] == found[1] and source_divergence.slices(docs, 2, 100) > 1
+
+
 def test_divergence_pairs_in_chunks(monkeypatch):
     r = np.random.default_rng(1)
     no = np.sort(np.argsort(r.random((50, 9)), axis=1)[:, :6], axis=1)
