@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expand import Standardizer, StandardizerModel, poly_names, poly_sql, poly_terms, qi, spread
-from ..session import path_exists
+from ..session import ensure_checkpoint_dir, path_exists
 from . import trees as tr
 from .linear import GramSet, LinearFit
 from .mlp import identity
 
 LINEAR = ("ols", "ridge", "lasso")
 ROWS_PER_TASK = 20_000      # training rows of a learner that passes over them many times
+CHAIN_ROUNDS = 100          # rounds of boosting above which a checkpoint folder is asked for
 
 
 @dataclass
@@ -216,6 +217,8 @@ def fit(spec: ModelSpec, train: DataFrame, target: str = "y",
                                         label="__label", prediction=f"__p{i}")
             ests.append(est)
             notes += nt
+        if any(kind == "boost" and est.getMaxIter() > CHAIN_ROUNDS for (kind, _), est in zip(kinds, ests)):
+            ensure_checkpoint_dir(train.sparkSession)       # without one the rounds' lineage is never cut
         xv = asm.transform(xt)
 
         def member(i):

@@ -608,13 +608,15 @@ def q_boost_random_search(spark, sf):
 @register("compare_models")
 def q_compare_models(spark, sf):
     """The reference comparison: least squares on the degree-2 expansion,
-    boosting, and a vote of boosting, forest and boosting (second setting)."""
+    boosting, and a vote of boosting, forest and boosting (second setting),
+    with the reference's 300, 300 and 500 trees."""
+    from ..operators import presets
     from ..operators.fitting import compare_scores
     d = splits.kfold(prep(spark, sf, F_COMPARE + ["y"]), K, SEED, "hash").persist()
-    specs = [ModelSpec("least_squares_degree2", "ols", F_COMPARE, degree=2),
-             ModelSpec("boosting", "boost", F_COMPARE, BOOST_SMALL, strict=False),
-             ModelSpec("voting", "voting", F_COMPARE, members=[("boost", BOOST_SMALL), ("forest", RF_COMPARE),
-                                                              ("boost", BOOST_LEAFWISE_SMALL)], strict=False)]
+    specs = [ModelSpec("least_squares_degree2", "ols", F_COMPARE, degree=presets.COMPARE_DEGREE),
+             ModelSpec("boosting", "boost", F_COMPARE, presets.COMPARE_BOOST, strict=False),
+             ModelSpec("voting", "voting", F_COMPARE, members=[("boost", presets.COMPARE_BOOST), ("forest", presets.COMPARE_FOREST),
+                                                              ("boost", presets.COMPARE_BOOST_LEAFWISE)], strict=False)]
     sc = compare_scores(specs, d, parallelism=8)   # all fold fits share one pool
     d.unpersist()
     return sc.select("model", "model_order", "fold", R("r2").alias("r2"))
